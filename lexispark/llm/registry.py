@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import chat, decontamination, oracles, packing, quality, toxicity
+from lexispark.llm import chat, decontamination, oracles, packing, quality, substrings, toxicity
 from lexispark.session import table
 
 
@@ -22,6 +22,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,8 +46,8 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_toxicity, op4_quality, op5_chat, op8_pack)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_quality, op5_chat, op8_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": oracles.OP1, "op4_quality": oracles.OP4, "op5_chat": oracles.OP5}
+    return {"op1_decontaminate": oracles.OP1, "op2_substrings": oracles.OP2, "op4_quality": oracles.OP4, "op5_chat": oracles.OP5}
