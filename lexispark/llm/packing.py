@@ -14,10 +14,12 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,27 +35,68 @@ SECOND_LEVEL = 1 << 62
 
 class ChunkIds(dict):
     """Ids (little-endian 32 bits) of a run without ASCII white space. The tokenizer
-    drops white space and never joins what it parts, so runs stand for themselves."""
+    drops white space and never joins what it parts, so runs stand for themselves; A-Z
+    is lower-cased first, as the tokenizer does, unless a control string may be near.
 
-    LIMIT, LONGEST = 400_000, 64
+    Runs are remembered in two generations of bounded size: when the young one is full
+    it becomes the old one, and what is asked again moves on to the next young one.
+    """
+
+    LIMIT, LONGEST = 250_000, 40
+    _of_worker: dict[str, ChunkIds] = {}
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        self.marks = {c: self._whole(c) for c in (".", ",")}
+
+    @classmethod
+    def shared(cls, path: str) -> ChunkIds:
+        """One for each file in a Python worker, kept from task to task."""
+        if path not in cls._of_worker:
+            cls._of_worker[path] = cls(path)
+        return cls._of_worker[path]
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _make(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8")
+        simple = _SIMPLE.fullmatch(text)
+        if not simple:
+            return self._whole(text)
+        if simple[2]:
+            return self[chunk[:-1]] + self.marks[simple[2]]
+        # one run of lower-case letters, which needs no normalizing and no splitting
+        word = text if text.isascii() else chunk.decode("latin-1").translate(_BYTE_LEVEL)
+        return b"".join([x.id.to_bytes(4, "little") for x in self.tokenizer.model.tokenize(word)])
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
+        out = self.old.get(chunk)
+        if out is None:
+            out = self._make(chunk)
         if len(chunk) <= self.LONGEST:
             if len(self) >= self.LIMIT:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = out
         return out
 
     def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode("utf-8").split())) if text else b""
+        if not text:
+            return b""
+        raw = text.encode("utf-8")
+        if b"<|" not in raw:
+            raw = raw.translate(C.LOWER)
+        return b"".join(map(self.__getitem__, raw.split()))
+
+
+_SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
+#: The byte-level alphabet for the bytes of such words (all else is no Latin-1 letter).
+_BYTE_LEVEL = {b: c for b, c in zip([*range(0x7F, 0xA1), 0xAD], range(256 + 33, 256 + 33 + 35), strict=True)}
 
 
 class Packer:
@@ -139,7 +182,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     end = end_id.to_bytes(4, "little")
 
     def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, p = ChunkIds(tokenizer), Packer(size, open_windows, min_cut, TaskContext.get().partitionId() << 32)
+        ids_of, p = ChunkIds.shared(tokenizer), Packer(size, open_windows, min_cut, TaskContext.get().partitionId() << 32)
         for doc_ids, texts in C.batches(it):
             for d, t in zip(doc_ids, texts, strict=True):
                 ids = ids_of.of(t) + end
