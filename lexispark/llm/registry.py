@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import chat, decontamination, jaccard, oracles, packing, quality, substrings, templates, toxicity
+from lexispark.llm import chat, decontamination, jaccard, oracles, packing, quality, substrings, templates, token_counts, toxicity
 from lexispark.session import table
 
 
@@ -45,6 +45,13 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = token_counts.revision_edits(table(spark, sf_dir, "documents"))
+    return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), keep_ids=False)
 
@@ -55,7 +62,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_quality, op5_chat, op6_jaccard, op8_pack, op10_lines)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_quality, op5_chat, op6_jaccard, op7_token_counts, op8_pack, op10_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
