@@ -1,8 +1,70 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: toxic documents go, recurring lines go, one document of each group
+of near copies stays, documents with benchmark passages go, and the rest is packed.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of documents. n_chars follows the text where lines were dropped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexispark.llm import common, decontamination, jaccard, packing, templates, toxicity
+from lexispark.llm.registry import word_tokenizer
+from lexispark.session import table
+
+#: Rows of a group of near copies: five words a shingle, similarity 0.8 or more.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar scores below 0.5."""
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), carry=tuple(docs.columns))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their recurring lines but the first dropped."""
+    out = templates.dedup_lines(docs)
+    n = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
+    return out.withColumn("n_chars", n).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of links the document with the smallest id; documents without
+    words all stay."""
+    found = jaccard.jaccard_components(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
+    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.where("n_hit > 0").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences with their ids."""
+    return packing.pack(docs, word_tokenizer())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_recurring_lines),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: The grammar is learned and packing is no relation, so no SQL gives these rows.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import chat, decontamination, jaccard, oracles, packing, quality, substrings, templates, token_counts, toxicity
+from lexispark.llm import chat, decontamination, jaccard, oracles, packing, quality, substrings, suffixes, templates, token_counts, toxicity
 from lexispark.session import table
 
 
@@ -56,13 +56,17 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), keep_ids=False)
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = templates.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_quality, op5_chat, op6_jaccard, op7_token_counts, op8_pack, op10_lines)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_quality, op5_chat, op6_jaccard, op7_token_counts, op8_pack, op9_suffixes, op10_lines)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -126,7 +126,8 @@ def repeated_minimisers(docs: DataFrame, k: int, m: int) -> DataFrame:
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 5) -> tuple[DataFrame, DataFrame]:
     """Documents (uid, doc_id, n_words, whole_sha256, and the text if a path of it may
-    repeat), and the windows to remove (uid, start, n: so many from start on)."""
+    repeat), and the windows to remove (uid, start, n: so many from start on, source: a
+    document with a smaller id that has them)."""
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sent = spark.sparkContext.broadcast(C.key_filter(repeated_minimisers(source, k, m), "h", BITS))
@@ -153,7 +154,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = base.where("text IS NOT NULL").select("uid", "doc_id", F.explode(F.arrays_zip("hs", "cs", "firsts", "ns")).alias("p")).select("uid", "doc_id", F.col("p.hs").alias("h"), F.col("p.cs").alias("c"), F.col("p.firsts").alias("start"), F.col("p.ns").alias("n"))
 
     compacted = C.written(places.groupBy("h", "c").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")))
-    later = places.join(compacted.where("source < last").select("h", "c", "source"), ["h", "c"]).where("doc_id > source").select("uid", "start", "n")
+    later = places.join(compacted.where("source < last").select("h", "c", "source"), ["h", "c"]).where("doc_id > source").select("uid", "start", "n", "source")
 
     branching = compacted.groupBy("h").agg(F.count("*").alias("ways"), F.min("source").alias("low"), F.max("source").alias("high")).where("ways > 1 AND low < high").select("h")
     opened = compacted.join(branching, "h").select(F.xxhash64("h", "c", "source").alias("key"))
@@ -176,7 +177,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     single = C.written(keyed.mapInArrow(edges, "uid long, doc_id long, h long, e long, start long"))
     firsts = single.groupBy("h", "e").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
-    branched = single.join(firsts, ["h", "e"]).where("doc_id > source").select("uid", "start", F.lit(1).cast("long").alias("n"))
+    branched = single.join(firsts, ["h", "e"]).where("doc_id > source").select("uid", "start", F.lit(1).cast("long").alias("n"), "source")
     return base.select("uid", "doc_id", "n_words", "whole_sha256", "text"), later.unionByName(branched)
 
 
