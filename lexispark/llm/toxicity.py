@@ -115,9 +115,10 @@ def held_out(id_col):
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(5)) == 0
 
 
-def learn_lexicon(rows: DataFrame, most: int, least_docs: int, least_weight: float) -> dict[str, float]:
-    """Words and stems of toxic texts with their log ratio, at most ``most`` of them.
-    rows: text, toxic."""
+def learn_lexicon(rows: DataFrame, most: int, least_weight: float) -> dict[str, float]:
+    """Words and stems of toxic texts with their log ratio, at most ``most`` of them. A
+    word must lie in so many toxic texts that, among the words of that many texts, none
+    is expected there by chance. rows: text, toxic."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -137,6 +138,7 @@ def learn_lexicon(rows: DataFrame, most: int, least_docs: int, least_weight: flo
     total = sums.where("name = ''").first()
     if not total or not total["n0"] or not total["n1"]:
         return {}
+    least_docs = int(np.ceil(np.log10(total["n0"] + total["n1"]))) + 1
     weight = F.log((F.col("n1") + 0.5) / (total["n1"] + 1)) - F.log((F.col("n0") + 0.5) / (total["n0"] + 1))
     found = sums.where((F.col("name") != "") & (F.col("n1") >= least_docs)).select("name", weight.alias("weight")).where(F.col("weight") >= least_weight)
     return {r["name"]: r["weight"] for r in found.orderBy(F.desc("weight"), "name").limit(most).collect()}
@@ -163,7 +165,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> n
 PRIOR = np.array([2.0, 2.0, 1.0, 0.5, 0.0, 0.0, -0.5, 0.0, -3.5])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", sample_rows: int = 20_000, most_words: int = 5000, least_docs: int = 6, least_weight: float = 3.4, carry: tuple[str, ...] = ()) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", sample_rows: int = 20_000, most_words: int = 5000, least_weight: float = 3.4, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted, and the columns of docs named in carry.
     sample_rows bounds what is learned from; every row is scored."""
     lab = labels.select(labels[label_id_col].alias("k"), labels[label_col].cast("int").alias("toxic")).where(F.col("k").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("k")))
@@ -171,7 +173,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     text = F.coalesce(docs[text_col], F.lit(""))
     sample = docs.select(docs[id_col].alias("k"), text.alias("text")).join(F.broadcast(lab), "k").select("text", "toxic")  # lab has sample_rows rows at most
     sample = C.written(sample.groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")))
-    grammar = Grammar(learn_lexicon(sample, most_words, least_docs, least_weight))
+    grammar = Grammar(learn_lexicon(sample, most_words, least_weight))
 
     def seen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, toxic in C.batches(it):
