@@ -1,6 +1,201 @@
-"""Vocabulary queries over the driver tables."""
+"""Vocabulary, lexicon and gloss queries over the driver tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexispark.functions import text as T
+from lexispark.functions.greek import strip_marks
+from lexispark.operators import lexicon as L
+from lexispark.operators import vocab as V
+from lexispark.session import table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+STOP = ("the", "of", "and", "to", "in", "a", "is", "that", "der", "die", "und", "das", "le", "la", "les", "de", "et", "el", "los", "y", "en", "que", "un")
+STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
+_TOK = r"SELECT doc_id, lang, source, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS token_ord FROM (SELECT doc_id, lang, source, regexp_extract_all(lower(coalesce(text, '')), '\p{L}+') AS t FROM documents)"
+
+
+def query(name: str, sql: str):
+    def put(f):
+        QUERIES[name], ORACLES[name] = f, sql
+        return f
+
+    return put
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    return V.tokens(table(spark, d, "documents"), "doc_id", "text", "lang", "source")
+
+
+@query("tokens_per_document", f"SELECT doc_id, count(*) AS n_tokens, count(DISTINCT token) AS n_distinct FROM ({_TOK}) GROUP BY doc_id")
+def tokens_per_document(spark, d):
+    w = T.words(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", w.alias("w")).where(F.size("w") > 0).select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+
+
+@query("lemma_frequency", f"SELECT lang, token AS lemma, count(*) AS frequency FROM ({_TOK}) GROUP BY ALL")
+def lemma_frequency(spark, d):
+    return V.frequencies(tokens(spark, d).withColumnRenamed("token", "lemma"), "lang", "lemma")
+
+
+@query("stopword_filtered_vocab", f"SELECT lang, token AS lemma, count(*) AS frequency FROM ({_TOK}) WHERE token NOT IN ({STOP_SQL}) GROUP BY ALL")
+def stopword_filtered_vocab(spark, d):
+    return V.frequencies(V.drop_stop_words(tokens(spark, d).withColumnRenamed("token", "lemma"), STOP), "lang", "lemma")
+
+
+_FREQ = f"SELECT lang, token AS lemma, count(*) AS frequency FROM ({_TOK}) WHERE token NOT IN ({STOP_SQL}) GROUP BY ALL"
+
+
+@query("vocab_levels", f"SELECT lang, lemma, frequency, CAST(ntile(3) OVER (PARTITION BY lang ORDER BY frequency DESC, lemma) AS INTEGER) AS level FROM ({_FREQ})")
+def vocab_levels(spark, d):
+    r = V.ranked(stopword_filtered_vocab(spark, d), ["lang"], "frequency", "lemma")
+    return r.select("lang", "lemma", "frequency", V.level(F.col("rank"), F.col("n")).alias("level"))
+
+
+@query("vocab_ids", f"WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS lemma FROM benchmark) SELECT lang, lemma, row_number() OVER (PARTITION BY lang ORDER BY frequency DESC, lemma) AS id FROM ({_FREQ}) SEMI JOIN b USING (lemma)")
+def vocab_ids(spark, d):
+    defined = V.tokens(table(spark, d, "benchmark"), "item_id", "text").select(F.col("token").alias("lemma")).distinct()
+    kept = stopword_filtered_vocab(spark, d).join(defined, "lemma", "left_semi")
+    return V.ranked(kept, ["lang"], "frequency", "lemma").select("lang", "lemma", F.col("rank").alias("id"))
+
+
+@query("first_pos_per_lemma", f"SELECT token AS lemma, arg_min(source, (doc_id, token_ord)) AS pos FROM ({_TOK}) WHERE source <> '' GROUP BY token")
+def first_pos_per_lemma(spark, d):
+    return tokens(spark, d).groupBy(F.col("token").alias("lemma")).agg(V.first_value(F.col("source"), F.struct("doc_id", "token_ord")).alias("pos"))
+
+
+_FORMS = r"SELECT lower(form) AS lemma, form, count(*) AS occurrences, min(doc_id * 1000000 + o) AS first_ord FROM (SELECT doc_id, unnest(t) AS form, generate_subscripts(t, 1) AS o FROM (SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS t FROM documents)) GROUP BY ALL"
+
+
+@query("form_occurrences", f"SELECT lemma, string_agg(form || ':' || occurrences, ' ' ORDER BY occurrences DESC, first_ord) AS forms, CAST(sum(occurrences) AS BIGINT) AS frequency FROM ({_FORMS}) GROUP BY lemma")
+def form_occurrences(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("o", "form"))
+    forms = rows.groupBy(F.lower("form").alias("lemma"), "form").agg(F.count("*").alias("occurrences"), F.min(F.col("doc_id") * 1_000_000 + F.col("o") + 1).alias("first_ord"))
+    nested = V.nested_forms(forms.withColumn("morphology", F.lit("")), "lemma")
+    return nested.select("lemma", F.array_join(F.transform("forms", lambda x: F.concat(x["form"], F.lit(":"), x["occurrences"].cast("string"))), " ").alias("forms"), F.aggregate("forms", F.lit(0).cast("long"), lambda a, x: a + x["occurrences"]).alias("frequency"))
+
+
+_SENT = r"SELECT doc_id, s AS sentence, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS sentence_ord FROM (SELECT doc_id, trim(unnest(x)) AS s, generate_subscripts(x, 1) AS o FROM (SELECT doc_id, string_split(regexp_replace(text, '([.;·])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents)) WHERE s <> ''"
+
+
+@query("sentences", f"SELECT doc_id, sentence_ord, sentence FROM ({_SENT})")
+def sentences(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence_ord", "sentence")).withColumn("sentence_ord", F.col("sentence_ord").cast("long"))
+
+
+@query(
+    "context_topk",
+    f"""WITH s AS ({_SENT}), t AS (SELECT DISTINCT doc_id, sentence_ord, sentence, unnest(regexp_extract_all(lower(sentence), '\\p{{L}}+')) AS form FROM s),
+w AS (SELECT form, CAST(doc_id % 7 AS VARCHAR) AS ref, doc_id * 100000 + sentence_ord AS ord, sentence, strpos(lower(sentence), form) - 1 AS st FROM t WHERE length(form) BETWEEN 4 AND 6),
+f AS (SELECT left(form, 4) AS lemma, ref, form, min(ord) AS ord, arg_min(st, ord) AS st FROM w WHERE st >= 0 GROUP BY ALL),
+l AS (SELECT lemma, list({{'ord': ord, 'ref': ref, 'form': form, 'st': st}} ORDER BY ord, ref, form) AS c FROM f GROUP BY lemma),
+r AS (SELECT lemma, list_reduce(c, lambda a, x: CASE WHEN len(a) < 3 AND len(list_filter(a, lambda y: y.ref = x.ref OR y.form = x.form)) = 0 THEN list_concat(a, [x]) ELSE a END, []) AS c FROM (SELECT lemma, list_transform(c, lambda x: x) AS c FROM l))
+SELECT lemma, CAST(unnest(range(0, len(c))) AS INTEGER) AS k, unnest(list_transform(c, lambda x: x.ref)) AS ref, unnest(list_transform(c, lambda x: x.form)) AS form, CAST(unnest(list_transform(c, lambda x: x.st)) AS INTEGER) AS highlight_start FROM r""",
+)
+def context_topk(spark, d):
+    s = sentences(spark, d)
+    t = s.select(F.pmod("doc_id", F.lit(7)).cast("string").alias("ref"), (F.col("doc_id") * 100_000 + F.col("sentence_ord")).alias("ord"), "sentence", F.explode(F.array_distinct(T.words(F.col("sentence")))).alias("form")).where(F.length("form").between(4, 6))
+    c = V.select_contexts(t.withColumn("lemma", F.substring("form", 1, 4)), "lemma")
+    return c.select("lemma", F.posexplode("contexts").alias("k", "c")).select("lemma", "k", "c.ref", "c.form", "c.highlight_start")
+
+
+def part_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary of benchmark words: headword, and the first item's number as definition."""
+    w = V.tokens(table(spark, d, "benchmark"), "item_id", "text").withColumnRenamed("token", "headword")
+    return L.first_wins(w.withColumn("definition", F.col("item_id").cast("string")), "headword", "definition", "item_id")
+
+
+_LEX = r"lex AS (SELECT headword, CAST(min(item_id) AS VARCHAR) AS definition FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS headword FROM benchmark) GROUP BY headword)"
+_LEMMAS = f"lemmas AS (SELECT DISTINCT token AS lemma FROM ({_TOK}))"
+
+
+def lemmas(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).select(F.col("token").alias("lemma")).distinct()
+
+
+@query("lexicon_exact", f"WITH {_LEX}, {_LEMMAS} SELECT lemma, definition FROM lemmas LEFT JOIN lex ON lemma = headword")
+def lexicon_exact(spark, d):
+    return L.exact(lemmas(spark, d), part_lexicon(spark, d))
+
+
+@query("lexicon_stripped", f"WITH {_LEX}, {_LEMMAS}, st AS (SELECT strip_accents(headword) AS stripped, min(headword) AS headword FROM lex GROUP BY ALL) SELECT lemma, headword, definition FROM lemmas JOIN st ON strip_accents(lemma) = stripped JOIN lex USING (headword)")
+def lexicon_stripped(spark, d):
+    lex = part_lexicon(spark, d)
+    heads = lex.groupBy(strip_marks("headword").alias("stripped")).agg(F.min("headword").alias("headword"))
+    return lemmas(spark, d).withColumn("stripped", strip_marks("lemma")).join(heads, "stripped").join(lex, "headword").select("lemma", "headword", "definition")
+
+
+@query(
+    "lexicon_prefix",
+    f"WITH {_LEX}, {_LEMMAS}, p AS (SELECT prefix, min(headword) AS headword FROM (SELECT headword, left(headword, unnest(range(4, length(headword) + 1))) AS prefix FROM lex) GROUP BY prefix), "
+    "q AS (SELECT lemma, left(lemma, unnest(range(4, length(lemma) + 1))) AS prefix FROM lemmas) SELECT lemma, arg_max(headword, length(prefix)) AS headword FROM q JOIN p USING (prefix) GROUP BY lemma",
+)
+def lexicon_prefix(spark, d):
+    return L.longest_prefix(lemmas(spark, d), part_lexicon(spark, d))
+
+
+_JUNK = ", ".join(f"'{w}'" for w in T.JUNK_GLOSSES)
+_PIECES = r"pieces AS (SELECT item_id, unnest(x) AS gloss, generate_subscripts(x, 1) - 1 AS k FROM (SELECT item_id, string_split(text, ' ') AS x FROM benchmark))"
+
+
+@query("gloss_filter", f"WITH {_PIECES} SELECT item_id, k, gloss, length(gloss) >= 2 AND length(regexp_replace(gloss, '[^A-Za-z]', '', 'g')) >= length(gloss) * 0.5 AND regexp_replace(lower(gloss), '[.:,]+$', '') NOT IN ({_JUNK}) AS usable FROM pieces")
+def gloss_filter(spark, d):
+    p = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("k", "gloss"))
+    return p.select("item_id", F.col("k").cast("long").alias("k"), "gloss", T.usable_gloss(F.col("gloss")).alias("usable"))
+
+
+_NORM = "SELECT conv_id, turn, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM conversations"
+
+
+@query(
+    "truncate_gloss",
+    f"""WITH n AS ({_NORM}), c AS (SELECT *, trim(split_part(t, ';', 1)) AS clause, regexp_extract(t, '^((?:[^.]|\\.[0-9A-Za-z_])*)\\.(?:[^0-9A-Za-z_]|$)', 1) AS sent, left(t, 80) AS head FROM n)
+SELECT conv_id, turn, CASE WHEN coalesce(t, '') = '' THEN '' WHEN contains(t, ';') AND length(clause) BETWEEN 3 AND 80 THEN clause WHEN length(trim(sent)) BETWEEN 3 AND 80 THEN trim(sent)
+ WHEN length(t) <= 80 THEN t WHEN contains(head, ' ') THEN regexp_extract(head, '^(.*) ', 1) || '…' ELSE head || '…' END AS gloss FROM c WHERE NOT regexp_matches(t, '\\b[A-Z]\\.|\\.[^\\x00-\\x7F]')""",
+)
+def truncate_gloss(spark, d):
+    t = table(spark, d, "conversations").where(~F.col("text").rlike(r"\b[A-Z]\.|\.[^\x00-\x7F]"))
+    return t.select("conv_id", "turn", T.short_definition(F.col("text")).alias("gloss"))
+
+
+_STEM = "CASE " + " ".join(f"WHEN ends_with(token, '{s}') AND length(token) >= {n} THEN " + ("left(token, length(token) - 3) || 'y'" if s in ("ied", "ies") else f"left(token, length(token) - {len(s)})") for s, n in T.SUFFIXES) + " ELSE token END"
+
+
+@query("stem_counts", f"SELECT {_STEM} AS stem, count(*) AS frequency FROM ({_TOK}) WHERE lang = 'en' GROUP BY 1")
+def stem_counts(spark, d):
+    return V.frequencies(tokens(spark, d).where("lang = 'en'").select(T.stem(F.col("token")).alias("stem")), "stem")
+
+
+@query("override_join", "SELECT n_nationkey, coalesce(CASE WHEN n_regionkey = 1 THEN 'region-' || r_name END, n_name) AS n_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+def override_join(spark, d):
+    o = table(spark, d, "region").where("r_regionkey = 1").select(F.col("r_regionkey").alias("n_regionkey"), F.concat(F.lit("region-"), "r_name").alias("n_name"))
+    return V.apply_overrides(table(spark, d, "nation"), o, ["n_regionkey"], ["n_name"]).select("n_nationkey", "n_name")
+
+
+@query("works_upsert", "SELECT coalesce(n.n_nationkey, r.r_regionkey + 20) AS id, CASE WHEN r.r_regionkey IS NOT NULL THEN r.r_name ELSE n.n_name END AS title, CASE WHEN r.r_regionkey IS NOT NULL THEN 7 ELSE CAST(n.n_regionkey AS BIGINT) END AS lemma_count FROM nation n FULL JOIN region r ON n.n_nationkey = r.r_regionkey + 20")
+def works_upsert(spark, d):
+    index = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"), F.col("n_regionkey").cast("long").alias("lemma_count"))
+    new = table(spark, d, "region").select((F.col("r_regionkey") + 20).alias("id"), F.col("r_name").alias("title"), F.lit(7).cast("long").alias("lemma_count"))
+    return V.upsert(index, new, "id")
+
+
+@query("best_context_for_prompt", f"WITH s AS ({_SENT}), p AS (SELECT doc_id, regexp_extract(lower(text), '\\p{{L}}+$') AS form, list(sentence ORDER BY sentence_ord) AS c FROM s JOIN documents USING (doc_id) GROUP BY ALL) SELECT doc_id, coalesce(list_filter(c, lambda x: form <> '' AND contains(lower(x), form))[1], c[1]) AS sentence FROM p")
+def best_context_for_prompt(spark, d):
+    form = F.regexp_extract(F.lower("text"), r"\p{L}+$", 0)
+    p = table(spark, d, "documents").select("doc_id", form.alias("form"), T.sentences(F.col("text")).alias("c")).where(F.size("c") > 0)
+    return p.select("doc_id", F.coalesce(F.get(F.filter("c", lambda x: (F.col("form") != "") & F.contains(F.lower(x), F.col("form"))), F.lit(0)), F.get("c", F.lit(0))).alias("sentence"))
+
+
+@query("mark_span", "SELECT doc_id, CASE WHEN s > 0 AND s + 2 <= length(text) THEN left(text, s - 1) || '[[' || substr(text, s, 3) || ']]' || substr(text, s + 3) ELSE text END AS marked FROM (SELECT doc_id, text, strpos(lower(text), 'the') AS s FROM documents)")
+def mark_span(spark, d):
+    at = F.position(F.lit("the"), F.lower("text")) - 1
+    return table(spark, d, "documents").select("doc_id", T.mark_span(F.col("text"), at, at + 3).alias("marked"))
+
+
+@query("page_text", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text FROM pages")
+def page_text(spark, d):
+    t = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), r"\s+", " ")).alias("text"))
