@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.plans import vocabulary
+from lexispark.plans import enrichment, study, vocabulary
 
-MODULES = (vocabulary,)
+MODULES = (vocabulary, study, enrichment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
