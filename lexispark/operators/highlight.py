@@ -134,9 +134,9 @@ def locate_occurrence(text: Column, needle: Column, k: Column) -> Column:
     there is none."""
 
     def place(t: Column, n: Column) -> Column:
-        before = F.array_join(F.slice(F.split(t, F.concat(F.lit(r"\Q"), n, F.lit(r"\E")), -1), F.lit(1), k), n)
-        times = F.size(F.split(t, F.concat(F.lit(r"\Q"), n, F.lit(r"\E")), -1)) - 1
-        return F.when((F.length(n) > 0) & (times >= k), F.length(before))
+        pieces = F.split(t, F.concat(F.lit(r"\Q"), n, F.lit(r"\E")), -1)
+        before = F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x)) + (k - 1) * F.length(n)
+        return F.when((F.length(n) > 0) & (F.size(pieces) > k), before)
 
     return F.coalesce(place(text, needle), place(F.lower(text), F.lower(needle)))
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,20 +79,19 @@ def tei(docs: DataFrame, id_col: str = "work_id", xml_col: str = "xml") -> DataF
     """A row for each section of each document; a document that can't be read gives one
     row with the error. docs: work_id, xml."""
 
-    def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SECTIONS.split(", ")]
+    def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows = []
-            for key, xml in zip(batch["id"], batch["xml"], strict=True):
+            for r in batch.to_pylist():
                 try:
-                    rows += [{"id": key} | r for r in text_sections(xml or "")]
+                    rows += [{"id": r["id"]} | x for x in text_sections(r["xml"] or "")]
                 except (ElementTree.ParseError, ValueError) as e:
-                    rows.append({"id": key, "error": str(e)})
-            out = pd.DataFrame(rows, columns=["id", *names])
-            out["section_ord"] = out["section_ord"].astype("Int32")
-            yield out
+                    rows.append({"id": r["id"], "error": str(e)})
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    out = docs.select(F.col(id_col).cast("string").alias("id"), F.col(xml_col).cast("string").alias("xml")).mapInPandas(parse, f"id string, {SECTIONS}")
+    names = [("id", pa.string()), *((c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in SECTIONS.split(", "))]
+    schema = pa.schema(names)
+    out = docs.select(F.col(id_col).cast("string").alias("id"), F.col(xml_col).cast("string").alias("xml")).mapInArrow(parse, f"id string, {SECTIONS}")
     return out.withColumn("reference_system", T.reference_system(F.col("div_type"), F.col("div_subtype"))).withColumnRenamed("id", id_col)
 
 
@@ -106,23 +105,27 @@ def dictionary_entries(docs: DataFrame, file_col: str = "file", xml_col: str = "
     """file, entry_ord, key, orth, first_sense, all_glosses of each entry; a file that
     isn't well formed gives none."""
 
-    def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    strings = pa.list_(pa.string())
+    schema = pa.schema([("file", pa.string()), ("entry_ord", pa.int64()), ("key", pa.string()), ("orth", pa.string()), ("first_sense", strings), ("all_glosses", strings)])
+
+    def glosses(e: ElementTree.Element) -> list[str]:
+        return [(t.text or "").strip().strip(",;.: ") for t in e.iter() if _local(t.tag) == "tr"]
+
+    def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows = []
-            for f, xml in zip(batch["file"], batch["xml"], strict=True):
+            for r in batch.to_pylist():
                 try:
-                    root = ElementTree.fromstring(xml or "")
+                    root = ElementTree.fromstring(r["xml"] or "")
                 except ElementTree.ParseError:
                     continue
-                found = (e for e in root.iter() if _local(e.tag) in ("entry", "entryFree"))
-                for i, e in enumerate(found):
-                    glosses = lambda x: [(t.text or "").strip().strip(",;.: ") for t in x.iter() if _local(t.tag) == "tr"]
+                for i, e in enumerate(x for x in root.iter() if _local(x.tag) in ("entry", "entryFree")):
                     orth = next((o.text or "".join(o.itertext()).strip() for o in e.iter() if _local(o.tag) == "orth"), None)
-                    sense = next((s for s in e.iter() if _local(s.tag) == "sense"), None)
-                    rows.append((f, i, e.get("key", ""), orth, glosses(sense) if sense is not None else [], glosses(e)))
-            yield pd.DataFrame(rows, columns=["file", "entry_ord", "key", "orth", "first_sense", "all_glosses"])
+                    sense = next((x for x in e.iter() if _local(x.tag) == "sense"), None)
+                    rows.append({"file": r["file"], "entry_ord": i, "key": e.get("key", ""), "orth": orth, "first_sense": [] if sense is None else glosses(sense), "all_glosses": glosses(e)})
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return docs.select(F.col(file_col).cast("string").alias("file"), F.col(xml_col).cast("string").alias("xml")).mapInPandas(parse, "file string, entry_ord long, key string, orth string, first_sense array<string>, all_glosses array<string>")
+    return docs.select(F.col(file_col).cast("string").alias("file"), F.col(xml_col).cast("string").alias("xml")).mapInArrow(parse, "file string, entry_ord long, key string, orth string, first_sense array<string>, all_glosses array<string>")
 
 
 def dictionary(entries: DataFrame, fallback_most: int = 5) -> DataFrame:
