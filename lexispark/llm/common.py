@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -118,6 +119,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of jobs whose frames nobody holds any more; it
+    does so when the driver's JVM collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def key_filter(keys: DataFrame, col: str, bits: int = FILTER_BITS) -> bytes:
     """A bitmap of the keys' low bits, of 2**bits bits at most whatever the number of
     keys. It only spares work: a key outside it is surely absent, one inside may be."""

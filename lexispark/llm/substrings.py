@@ -37,6 +37,8 @@ from lexispark.llm import common as C
 
 #: Bitmaps of 8 MB.
 BITS = 26
+#: A first window and a number of windows, fewer than this, go in one integer.
+RUN = 1 << 10
 
 
 class Sums:
@@ -126,40 +128,43 @@ def repeated_minimisers(docs: DataFrame, k: int, m: int) -> DataFrame:
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 5) -> tuple[DataFrame, DataFrame]:
     """Documents (uid, doc_id, n_words, whole_sha256, and the text if a path of it may
-    repeat), and the windows to remove (uid, start, n: so many from start on, source: a
-    document with a smaller id that has them)."""
+    repeat), and the windows to remove (uid, run: RUN times the first plus how many, source:
+    a document with a smaller id that has them)."""
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sent = spark.sparkContext.broadcast(C.key_filter(repeated_minimisers(source, k, m), "h", BITS))
+    C.release(spark)
 
     def second(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, paths, uid = C.KeyFilter(sent.value, BITS), Paths(k, m), TaskContext.get().partitionId() << 36
         for ids, texts in C.batches(it):
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(8)]
             for d, t in zip(ids, texts, strict=True):
                 words = C.blank_words(t)
-                row: list = [None, None, None, None, None]
+                row: list = [None, None, None, None]
                 if d is not None and len(words) >= k:
                     h, c, first, n = paths.cut(words)
                     hit = known.has(h)
                     if hit.any():
-                        row = [t, C.signed(h[hit]), C.signed(c[hit]), first[hit], n[hit]]
+                        row = [t, C.signed(h[hit]), C.signed(c[hit]), first[hit] * RUN + n[hit]]
                 for col, v in zip(cols, (uid, d, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), *row), strict=True):
                     col.append(v)
                 uid += 1
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), longs, longs, longs, longs), strict=True)], names=["uid", "doc_id", "n_words", "whole_sha256", "text", "hs", "cs", "firsts", "ns"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), longs, longs, longs), strict=True)], names=["uid", "doc_id", "n_words", "whole_sha256", "text", "hs", "cs", "runs"])
 
-    base = C.written(source.mapInArrow(second, "uid long, doc_id long, n_words long, whole_sha256 string, text string, hs array<long>, cs array<long>, firsts array<long>, ns array<long>"))
-    places = base.where("text IS NOT NULL").select("uid", "doc_id", F.explode(F.arrays_zip("hs", "cs", "firsts", "ns")).alias("p")).select("uid", "doc_id", F.col("p.hs").alias("h"), F.col("p.cs").alias("c"), F.col("p.firsts").alias("start"), F.col("p.ns").alias("n"))
+    base = C.written(source.mapInArrow(second, "uid long, doc_id long, n_words long, whole_sha256 string, text string, hs array<long>, cs array<long>, runs array<long>"))
+    places = base.where("text IS NOT NULL").select("uid", "doc_id", F.explode(F.arrays_zip("hs", "cs", "runs")).alias("p")).select("uid", "doc_id", F.col("p.hs").alias("h"), F.col("p.cs").alias("c"), F.col("p.runs").alias("run"))
 
-    compacted = C.written(places.groupBy("h", "c").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")))
-    later = places.join(compacted.where("source < last").select("h", "c", "source"), ["h", "c"]).where("doc_id > source").select("uid", "start", "n", "source")
+    compacted = places.groupBy("h", "c").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
+    compacted = C.written(compacted.select("h", "c", "source", (F.col("source") < F.col("last")).alias("again")))
+    C.release(spark)
+    later = places.join(compacted.where("again").select("h", "c", "source"), ["h", "c"]).where("doc_id > source").select("uid", "run", "source")
 
     branching = compacted.groupBy("h").agg(F.count("*").alias("ways"), F.min("source").alias("low"), F.max("source").alias("high")).where("ways > 1 AND low < high").select("h")
     opened = compacted.join(branching, "h").select(F.xxhash64("h", "c", "source").alias("key"))
     to_open = spark.sparkContext.broadcast(C.key_filter(opened, "key", BITS))
-    keyed = base.where("text IS NOT NULL").select("uid", "doc_id", "text", F.transform(F.arrays_zip("hs", "cs"), lambda p: F.xxhash64(p["hs"], p["cs"], F.col("doc_id"))).alias("keys"), "hs", "firsts", "ns")
+    keyed = base.where("text IS NOT NULL").select("uid", "doc_id", "text", F.transform(F.arrays_zip("hs", "cs"), lambda p: F.xxhash64(p["hs"], p["cs"], F.col("doc_id"))).alias("keys"), "hs", "runs")
 
     def edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, paths = C.KeyFilter(to_open.value, BITS), Paths(k, m)
@@ -168,16 +173,18 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 hit = known.has(b.column(3)[i].values.to_numpy())
                 if not hit.any():
                     continue
-                h, first, n = (b.column(j)[i].values.to_numpy()[hit] for j in (4, 5, 6))
+                h, run = (b.column(j)[i].values.to_numpy()[hit] for j in (4, 5))
+                first, n = run // RUN, run % RUN
                 at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                 sums = paths.sums.of(paths.hashes.of(C.blank_words(b.column(2)[i].as_py())))
                 e = paths.sums.runs(sums, at, at + k)
                 same = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(same, b.column(0)[i].as_py())), pa.array(np.full(same, b.column(1)[i].as_py())), pa.array(np.repeat(h, n)), pa.array(C.signed(e)), pa.array(at)], names=["uid", "doc_id", "h", "e", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(same, b.column(0)[i].as_py())), pa.array(np.full(same, b.column(1)[i].as_py())), pa.array(np.repeat(h, n)), pa.array(C.signed(e)), pa.array(at * RUN + 1)], names=["uid", "doc_id", "h", "e", "run"])
 
-    single = C.written(keyed.mapInArrow(edges, "uid long, doc_id long, h long, e long, start long"))
+    single = C.written(keyed.mapInArrow(edges, "uid long, doc_id long, h long, e long, run long"))
+    C.release(spark)
     firsts = single.groupBy("h", "e").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
-    branched = single.join(firsts, ["h", "e"]).where("doc_id > source").select("uid", "start", F.lit(1).cast("long").alias("n"), "source")
+    branched = single.join(firsts, ["h", "e"]).where("doc_id > source").select("uid", "run", "source")
     return base.select("uid", "doc_id", "n_words", "whole_sha256", "text"), later.unionByName(branched)
 
 
@@ -194,7 +201,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 edge = np.zeros(len(words) + 1, np.int64)
                 gone = 0
                 if spans.is_valid and len(spans.values):
-                    s, n = (spans.values.field(j).to_numpy() for j in (0, 1))
+                    s, n = np.divmod(spans.values.to_numpy(), RUN)
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + n + k - 1, -1)
                     out = np.cumsum(edge[:-1]) > 0
@@ -206,7 +213,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    spans = removed.groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = removed.groupBy("uid").agg(F.collect_list("run").alias("spans"))
     touched = base.where("text IS NOT NULL").join(spans, "uid", "left").select("doc_id", "whole_sha256", "text", "spans")
     rest = base.where("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
     out = touched.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string").unionByName(rest)

@@ -36,7 +36,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in it:
             out: list[tuple] = []
             for d, spans in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                start, n, source = (spans.values.field(j).to_numpy() for j in range(3))
+                run, source = (spans.values.field(j).to_numpy() for j in range(2))
+                start, n = np.divmod(run, substrings.RUN)
                 order = np.argsort(start, kind="stable")
                 start, end, source = start[order], (start + n)[order] + span - 1, source[order]
                 reach = np.maximum.accumulate(end)
@@ -45,5 +46,5 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out += zip([d] * len(new), start[new].tolist(), (reach[last] - start[new]).tolist(), np.minimum.reduceat(source, new).tolist(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [[]] * 4)], names=["doc_id", "start", "n_words", "source_doc_id"])
 
-    lists = found.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "source")).alias("spans"))
+    lists = found.groupBy("uid").agg(F.collect_list(F.struct("run", "source")).alias("spans"))
     return base.select("uid", "doc_id").join(lists, "uid").select("doc_id", "spans").mapInArrow(merge, "doc_id long, start long, n_words long, source_doc_id long")
