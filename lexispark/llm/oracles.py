@@ -50,3 +50,24 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
  CAST(sum(upto) FILTER (WHERE role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+OP6 = r"""
+WITH RECURSIVE dw AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(w[p:p + 3], ' ') AS s FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 2, 2))) AS p FROM dw WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+shared AS (SELECT a.rid AS a, b.rid AS b, count(*) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+reach AS (SELECT rid AS a, rid AS b FROM dw UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a AS rid, min(doc_id) AS component_id FROM reach JOIN dw ON b = rid GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM dw LEFT JOIN n USING (rid) JOIN comp USING (rid)
+"""
+
+OP9 = r"""
+WITH dw AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, rid, p, sha256(array_to_string(w[p + 1:p + 50], ' ')) AS s FROM (SELECT doc_id, rid, w, unnest(range(0, len(w) - 49)) AS p FROM dw)),
+firsts AS (SELECT s, min(doc_id) AS first_doc FROM win GROUP BY s),
+hit AS (SELECT rid, doc_id, p, first_doc FROM win JOIN firsts USING (s) WHERE first_doc < doc_id),
+edge AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS g FROM edge)
+SELECT doc_id, min(p) AS start, max(p) + 50 - min(p) AS n_words, min(first_doc) AS source_doc_id FROM run GROUP BY rid, doc_id, g
+"""
