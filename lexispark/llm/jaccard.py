@@ -136,9 +136,10 @@ def shared_prefix_shingles(source: DataFrame, k: int, percent: int, frequent) ->
     return found.where("low <> high").select("h")
 
 
-def nodes_with_lists(source: DataFrame, k: int, percent: int, frequent, shared) -> DataFrame:
+def nodes_with_lists(source: DataFrame, k: int, percent: int, frequent, shared) -> tuple[DataFrame, DataFrame]:
     """One row for each distinct set that has a short list in common with another: node,
-    k1, k2, n, text, and hs and at, its shingles of shared lists and their places."""
+    k1, k2, n, and hs and at, its shingles of shared lists and their places; and the texts
+    (node, text), which stay where they were written until a pair asks for them."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, late, known = Sets(k), C.KeyFilter(frequent.value, BITS), C.KeyFilter(shared.value, BITS)
@@ -162,11 +163,27 @@ def nodes_with_lists(source: DataFrame, k: int, percent: int, frequent, shared)
 
     found = C.written(source.mapInArrow(run, "node long, k1 long, k2 long, n long, text string, hs array<long>, at array<long>"))
     once = found.groupBy("k1", "k2").agg(F.min("node").alias("node"))
-    return C.written(found.join(once, ["k1", "k2", "node"]))
+    C.release(source.sparkSession)
+    return C.written(found.drop("text").join(once, ["k1", "k2", "node"])), found.select("node", "text")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b, short: shingles in common among the first ones) that link."""
+def texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of texts that a pair may ask for; a bitmap drops nearly all others before they
+    are shuffled."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.xxhash64("node").alias("key"))
+    sent = pairs.sparkSession.sparkContext.broadcast(C.key_filter(asked, "key"))
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = C.KeyFilter(sent.value)
+        for b in it:
+            yield b.filter(pa.array(known.has(b.column(0).to_numpy()))).select(["node", "text"])
+
+    return texts.select(F.xxhash64("node").alias("key"), "node", "text").mapInArrow(keep, "node long, text string")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link."""
+    pairs = C.written(pairs.select("a", "b"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(k)
@@ -180,8 +197,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFr
                     out.append((a, other))
             yield _batch([[x for x, _ in out], [y for _, y in out]], [pa.int64()] * 2, ["a", "b"])
 
-    text = nodes.select("node", "text")
-    full = pairs.select("a", "b").join(text.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(text.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+    text = texts_of(texts, pairs)
+    full = pairs.join(text.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(text.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
     return full.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
 
 
@@ -232,19 +249,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = base_sets(source, k)
     frequent = spark.sparkContext.broadcast(C.key_filter(base.where("h IS NOT NULL"), "h", BITS))
     shared = spark.sparkContext.broadcast(C.key_filter(shared_prefix_shingles(source, k, percent, frequent), "h", BITS))
-    nodes = nodes_with_lists(source, k, percent, frequent, shared)
+    C.release(spark)
+    nodes, texts = nodes_with_lists(source, k, percent, frequent, shared)
 
     lists = nodes.select("node", "n", F.explode(F.arrays_zip("hs", "at")).alias("p")).select(F.col("p.hs").alias("h"), "node", "n", F.col("p.at").alias("at"))
     sizes = lists.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "at")).alias("pivot")).where("size > 1")
     entries = C.written(lists.join(sizes, "h"))
+    C.release(spark)
     short = entries.where(F.col("size") <= long_list)
     a = short.select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"))
     b = short.select("h", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"))
     paired = a.join(b, "h").where((F.col("a") < F.col("b")) & fits("an", "bn", "aat", "bat", percent)).select("a", "b")
     long = entries.where(F.col("size") > long_list)
     starred = long.select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), F.col("pivot.n").alias("an"), F.col("n").alias("bn"), F.col("pivot.at").alias("aat"), F.col("at").alias("bat")).where((F.col("a") != F.col("b")) & fits("an", "bn", "aat", "bat", percent)).select("a", "b")
-    links = C.written(verified(paired.unionByName(starred).distinct(), nodes, k, percent))
+    links = C.written(verified(paired.unionByName(starred).distinct(), texts, k, percent))
 
+    C.release(spark)
     placed = long.join(components(links), "node", "left").select("h", "node", "n", "at", F.coalesce("comp", "node").alias("comp"))
     placed = C.written(placed)
     per = placed.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("h", F.col("main.comp").alias("main"))
@@ -252,7 +272,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         outside = placed.join(per, "h").where("comp <> main").select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("comp").alias("ac"))
         others = placed.join(per.select("h"), "h").select("h", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("comp").alias("bc"))
         more = outside.join(others, "h").where((F.col("ac") != F.col("bc")) & fits("an", "bn", "aat", "bat", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = C.written(links.unionByName(verified(more, nodes, k, percent)))
+        links = C.written(links.unionByName(verified(more, texts, k, percent)))
 
     named = base.where("h IS NULL AND n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low"))
     comps = nodes.select("node", "k1", "k2").join(components(links), "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("comp"))
