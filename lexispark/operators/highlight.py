@@ -108,25 +108,25 @@ def find(translation: Column, gloss: Column, definition: Column | None = None) -
     low = F.lower(translation)
     at = lambda p: F.regexp_instr(low, F.concat(F.lit(r"(?U)\b\Q"), p, F.lit(r"\E\b")))
     as_phrase = lambda p, m: F.struct(p.alias("p"), F.lit(m).alias("m"))
-    phrases = F.flatten(F.transform(cands, lambda c: F.concat(F.array(as_phrase(c, "exact_phrase")), F.transform(_lookup(PHRASES, c), lambda p: as_phrase(p, "phrase_override")))))
-    hit = F.get(F.filter(F.transform(phrases, lambda x: F.struct(x["m"].alias("method"), (at(x["p"]) - 1).alias("start"), (at(x["p"]) - 1 + F.length(x["p"])).alias("end"))), lambda x: x["start"] >= 0), F.lit(0))
-    single = F.filter(F.transform(cands, lambda c: F.regexp_extract_all(c, F.lit(WORD), 1)), lambda w: F.size(w) == 1)
-    forms = F.array_distinct(F.flatten(F.transform(single, lambda w: renderings(F.get(w, F.lit(0))))))
-    words = F.regexp_extract_all(translation, F.lit(WORD), 1)
-    # places of the words: each is looked for behind the one before
-    start = F.struct(F.expr("cast(array() as array<struct<w:string,s:int>>)").alias("done"), F.lit(0).alias("from"))
-    placed = F.aggregate(
-        words,
-        start,
-        lambda acc, w: F.struct(F.concat(acc["done"], F.array(F.struct(w.alias("w"), (F.position(w, translation, acc["from"] + 1) - 1).alias("s")))).alias("done"), (F.position(w, translation, acc["from"] + 1) - 1 + F.length(w)).alias("from")),
-        lambda acc: acc["done"],
-    )
-    token = F.get(F.filter(placed, lambda x: F.arrays_overlap(variants(x["w"]), forms)), F.lit(0))
-    method = F.when(F.size(words) == 0, "none").when(hit.isNotNull(), hit["method"]).when((F.size(forms) > 0) & token.isNotNull(), "exact_token").otherwise("none")
-    first = F.when(method == "exact_token", token["s"]).when(method != "none", hit["start"])
-    last = F.when(method == "exact_token", token["s"] + F.length(token["w"])).when(method != "none", hit["end"])
-    sure = F.when(method == "exact_token", "medium").when(method == "none", "low").otherwise("high")
-    return F.struct(method.alias("method"), sure.alias("confidence"), first.alias("start"), last.alias("end"))
+    result = lambda m, start, size: F.struct(m.alias("method"), F.when(m == "exact_token", "medium").when(m == "none", "low").otherwise("high").alias("confidence"), start.cast("int").alias("start"), (start + size).cast("int").alias("end"))
+    nothing = result(F.lit("none"), F.lit(None).cast("int"), F.lit(0))
+
+    def by_phrase(c: Column) -> Column:
+        phrases = F.flatten(F.transform(c, lambda x: F.concat(F.array(as_phrase(x, "exact_phrase")), F.transform(_lookup(PHRASES, x), lambda p: as_phrase(p, "phrase_override")))))
+        placed = F.transform(phrases, lambda x: F.struct(x["m"].alias("m"), (at(x["p"]) - 1).alias("s"), F.length(x["p"]).alias("n")))
+        return F.get(F.filter(placed, lambda x: x["s"] >= 0), F.lit(0))
+
+    def by_token(c: Column) -> Column:
+        single = F.filter(F.transform(c, lambda x: F.regexp_extract_all(x, F.lit(WORD), 1)), lambda w: F.size(w) == 1)
+        forms = F.array_distinct(F.flatten(F.transform(single, lambda w: renderings(F.get(w, F.lit(0))))))
+        words = F.array_distinct(F.regexp_extract_all(translation, F.lit(WORD), 1))
+        first = T.let(forms, lambda f: F.get(F.filter(words, lambda w: F.arrays_overlap(variants(w), f)), F.lit(0)))
+        # the first place where it stands as a word of its own
+        alone = lambda w: F.regexp_instr(translation, F.concat(F.lit(r"(?<![A-Za-z])(?<![A-Za-z]')\Q"), w, F.lit(r"\E(?![A-Za-z]|'[A-Za-z])")))
+        return T.let(first, lambda w: F.when(w.isNull(), nothing).otherwise(T.let(alone(w), lambda i: result(F.lit("exact_token"), F.when(i > 0, i).otherwise(F.position(w, translation)) - 1, F.length(w)))))
+
+    found = T.let(cands, lambda c: T.let(by_phrase(c), lambda h: F.when(h.isNotNull(), result(h["m"], h["s"], h["n"])).otherwise(by_token(c))))
+    return F.when(F.coalesce(translation.rlike("[A-Za-z]"), F.lit(False)), found).otherwise(nothing)
 
 
 def locate_occurrence(text: Column, needle: Column, k: Column) -> Column:
