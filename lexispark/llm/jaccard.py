@@ -217,10 +217,43 @@ def probe(a: np.ndarray, b: np.ndarray, percent: int, step: int = 256) -> bool:
     return met >= need
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node of its component) by large-star and small-star
-    rounds; each round's links are written, so that none is made twice. edges: a, b."""
+def joined_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as links of each node to the smallest node it reaches by them;
+    that node links to itself."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for b in it:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = top(_own(up, x)), top(_own(up, y))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    for lo in range(0, len(nodes), 50_000):
+        part = nodes[lo : lo + 50_000]
+        yield _batch([part, [top(x) for x in part]], [pa.int64()] * 2, ["a", "b"])
+
+
+def _own(up: dict[int, int], x: int) -> int:
+    up.setdefault(x, x)
+    return x
+
+
+def components(edges: DataFrame, block: int = 500_000) -> DataFrame:
+    """node, comp (the smallest node of its component, which has no row itself). Links are first joined up within
+    tasks of about ``block`` links each; where that takes several tasks, large-star and
+    small-star rounds join up the rest. Each round's links are written, so that none is
+    made twice. edges: a, b."""
     links = C.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    tasks = -(-links.count() // block)
+    links = C.written(links.repartition(tasks).mapInArrow(joined_up, "a long, b long") if tasks > 1 else links.coalesce(1).mapInArrow(joined_up, "a long, b long"))
+    links = links.where("a <> b")
+    if tasks <= 1:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

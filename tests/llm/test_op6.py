@@ -66,3 +66,17 @@ def test_long_lists_and_odd_cases(spark):
         got = sorted((tuple(x) for x in jaccard.jaccard_components(d, long_list=long_list).collect()), key=repr)
         assert got == brute(docs)
     assert jaccard.jaccard_components(d.limit(0)).count() == 0
+
+
+def test_components_in_one_task_or_many(spark):
+    r = random.Random(1)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100 + r.randrange(60), 100 + r.randrange(60)) for _ in range(40)] + [(7, 7), (200, 201), (200, 201)]
+    up = {x: x for e in edges for x in e}
+    for _ in up:
+        for x, y in edges:
+            up[x] = up[y] = min(up[x], up[y])
+    d = spark.createDataFrame(edges, "a long, b long")
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    for block in (500_000, 9):
+        assert {x.node: x.comp for x in jaccard.components(d, block).collect()} == {x: up[x] for x in linked if up[x] != x}
+    assert jaccard.components(d.limit(0)).count() == 0
