@@ -5,8 +5,8 @@ node. Two nodes link if ``100 * |A and B| >= percent * |A or B|``. Every set is
 by one global order, frequent shingles last; of sets that link, each has one of its first
 ``n - ceil(n * percent / 100) + 1`` shingles in common with the other's. So:
 
-1. shingles seen in several documents of one read block go to a fixed-size bitmap, which
-   makes the order (it changes the work, never the result);
+1. shingles seen in several documents of one read block go to fixed-size bitmaps, one for
+   each level of frequency, which make the order (it changes the work, never the result);
 2. inverted lists are kept for those first, rare shingles alone: the short lists, merged
    by a Spark join; shingles with a list of one are dropped by a bitmap before that;
 3. the other shingles, whose lists are long, are probed: each by binary search in the
@@ -69,10 +69,31 @@ def required(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def ordered(s: np.ndarray, frequent: C.KeyFilter) -> np.ndarray:
-    """Rare shingles first, each part by hash."""
-    late = frequent.has(s)
-    return np.concatenate((s[~late], s[late]))
+#: A shingle's level is the number of these counts it reaches, in documents of read blocks
+#: that have it twice or more; and the bits of each level's bitmap.
+LEVELS = ((2, BITS), (8, 23), (32, 23), (128, 23), (512, 22), (2048, 22))
+
+
+def level_bitmaps(base: DataFrame) -> list[bytes]:
+    seen = C.written(base.where("h IS NOT NULL").groupBy("h").agg(F.sum("seen").alias("seen")))
+    return [C.key_filter(seen.where(F.col("seen") >= least), "h", bits) for least, bits in LEVELS]
+
+
+class Order:
+    """The global order: shingles of low levels first, those of a level by hash."""
+
+    def __init__(self, bitmaps: list[bytes]) -> None:
+        self.levels = [C.KeyFilter(b, bits) for b, (_, bits) in zip(bitmaps, LEVELS, strict=True)]
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        late = self.levels[0].has(s)
+        rest = s[late]
+        if len(rest):
+            level = np.zeros(len(rest), np.int8)
+            for x in self.levels[1:]:
+                level += x.has(rest)
+            rest = rest[np.argsort(level, kind="stable")]
+        return np.concatenate((s[~late], rest))
 
 
 def _batch(cols: list, types: list, names: list[str]) -> pa.RecordBatch:
@@ -114,13 +135,13 @@ def shared_prefix_shingles(source: DataFrame, k: int, percent: int, frequent) ->
     """h of shingles that are among the first of two different sets or more."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, late = Sets(k), C.KeyFilter(frequent.value, BITS)
+        sets, order_of = Sets(k), Order(frequent.value)
         for _, texts in C.batches(it):
             hs, ks, size = [], [], 0
             for i, t in enumerate(texts):
                 s = sets.of(t)
                 if len(s):
-                    p = ordered(s, late)[: prefix_length(len(s), percent)]
+                    p = order_of.of(s)[: prefix_length(len(s), percent)]
                     hs.append(p)
                     ks.append(np.full(len(p), sets.keys(s)[0]))
                     size += len(p)
@@ -142,7 +163,7 @@ def nodes_with_lists(source: DataFrame, k: int, percent: int, frequent, shared)
     (node, text), which stay where they were written until a pair asks for them."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, late, known = Sets(k), C.KeyFilter(frequent.value, BITS), C.KeyFilter(shared.value, BITS)
+        sets, order_of, known = Sets(k), Order(frequent.value), C.KeyFilter(shared.value, BITS)
         uid = TaskContext.get().partitionId() << 36
         longs = pa.list_(pa.int64())
         for _, texts in C.batches(it):
@@ -153,7 +174,7 @@ def nodes_with_lists(source: DataFrame, k: int, percent: int, frequent, shared)
                 if not len(s) or (key := sets.keys(s)) in names:
                     continue
                 names.add(key)
-                p = ordered(s, late)[: prefix_length(len(s), percent)]
+                p = order_of.of(s)[: prefix_length(len(s), percent)]
                 at = np.nonzero(known.has(p))[0]
                 if len(at):
                     for c, v in zip(cols, (uid, *key, len(s), t, C.signed(p[at]), at), strict=True):
@@ -275,12 +296,12 @@ def fits(a_n: str, b_n: str, a_at: str, b_at: str, percent: int):
     return (100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n)) & (most >= need)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, long_list: int = 64) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, long_list: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     base = base_sets(source, k)
-    frequent = spark.sparkContext.broadcast(C.key_filter(base.where("h IS NOT NULL"), "h", BITS))
+    frequent = spark.sparkContext.broadcast(level_bitmaps(base))
     shared = spark.sparkContext.broadcast(C.key_filter(shared_prefix_shingles(source, k, percent, frequent), "h", BITS))
     C.release(spark)
     nodes, texts = nodes_with_lists(source, k, percent, frequent, shared)
