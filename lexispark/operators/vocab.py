@@ -64,17 +64,39 @@ def nested_forms(forms: DataFrame, *by: str) -> DataFrame:
     return forms.groupBy(*by).agg(F.transform(s, lambda x: F.struct(x["form"].alias("form"), x["morphology"].alias("morphology"), x["occurrences"].alias("occurrences"))).alias("forms"))
 
 
-def select_contexts(candidates: DataFrame, *by: str, most: int = 3) -> DataFrame:
+def context_candidates(candidates: DataFrame, *by: str, most: int = 3, ref_first: bool = False) -> DataFrame:
+    """The candidates that may be among the first ``most`` contexts of their lemma whose ref
+    and form are both new: of each ref and form the first, and of these (2 most - 1)(most - 1)
+    + 1 a lemma at most. candidates: ord, ref, form, and sentence or start.
+
+    A row behind ``most`` rows of its ref can't be chosen: none of theirs was (or the ref is
+    taken), so ``most`` other forms are. The same holds of forms. What is left of a ref or a
+    form is ``most`` rows, so a chosen row shuts out 2 most - 2 others. Each limit is kept in
+    the tasks before the shuffle too. ref_first says that ord goes by ref first, so that the
+    first ``most`` refs of a form are known before rows of the same ref are joined up."""
+    carry = ["sentence"] if "sentence" in candidates.columns else []
+    found = candidates.withColumn("start", T.find_form(F.col("sentence"), F.col("form"))) if carry else candidates
+    found = found.where("start >= 0")
+    if ref_first:
+        found = found.withColumn("_r", F.dense_rank().over(W.partitionBy(*by, "form").orderBy("ref"))).where(F.col("_r") <= most).drop("_r")
+    first = found.groupBy(*by, "ref", "form").agg(F.min_by(F.struct("ord", *carry, "start"), "ord").alias("c")).select(*by, "ref", "form", "c.*")
+    for part, n in ((["ref"], most), (["form"], most), ([], (2 * most - 1) * (most - 1) + 1)):
+        first = first.withColumn("_r", F.row_number().over(W.partitionBy(*by, *part).orderBy("ord", "ref", "form"))).where(F.col("_r") <= n).drop("_r")
+    return first
+
+
+def select_contexts(candidates: DataFrame, *by: str, most: int = 3, ref_first: bool = False) -> DataFrame:
     """Per lemma the first contexts whose ref and form are both new, at most ``most``.
-    candidates: ord, ref, form, sentence.
-
-    Forms not found in their sentence are no candidates. Of those with the same ref and
-    form only the first can matter, so a list is as long as its distinct pairs."""
-    found = candidates.withColumn("start", T.find_form(F.col("sentence"), F.col("form"))).where("start >= 0")
-    first = found.groupBy(*by, "ref", "form").agg(F.min_by(F.struct("ord", "sentence", "start"), "ord").alias("c"))
-    item = F.struct(F.col("c.ord").alias("ord"), "ref", "form", F.col("c.sentence").alias("sentence"), F.col("c.start").alias("highlight_start"), (F.col("c.start") + F.length("form")).alias("highlight_end"))
+    candidates: ord, ref, form, sentence; or start, the form's place, in place of sentence,
+    and the contexts have none.
+
+    Forms not found in their sentence are no candidates. The lists are short, however many
+    candidates a lemma has (context_candidates)."""
+    first = context_candidates(candidates, *by, most=most, ref_first=ref_first)
+    carry = ["sentence"] if "sentence" in first.columns else []
+    item = F.struct("ord", "ref", "form", *carry, F.col("start").alias("highlight_start"), (F.col("start") + F.length("form")).alias("highlight_end"))
     lists = first.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("_c"))
-    new = lambda acc, x: (F.size(acc) < most) & ~F.exists(acc, lambda y: (y["ref"] == x["ref"]) | (y["form"] == x["form"]))
+    new = lambda acc, x: (F.size(acc) < most) & ~F.exists(acc, lambda y: y["ref"].eqNullSafe(x["ref"]) | y["form"].eqNullSafe(x["form"]))
     return lists.withColumn("contexts", F.aggregate("_c", F.slice("_c", 1, 0), lambda acc, x: F.when(new(acc, x), F.concat(acc, F.array(x))).otherwise(acc))).drop("_c")
 
 

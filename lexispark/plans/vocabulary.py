@@ -18,9 +18,11 @@ STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
 _TOK = r"SELECT doc_id, lang, source, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS token_ord FROM (SELECT doc_id, lang, source, regexp_extract_all(lower(coalesce(text, '')), '\p{L}+') AS t FROM documents)"
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None = None):
     def put(f):
-        QUERIES[name], ORACLES[name] = f, sql
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
         return f
 
     return put
@@ -102,6 +104,17 @@ def context_topk(spark, d):
     return c.select("lemma", F.posexplode("contexts").alias("k", "c")).select("lemma", "k", "c.ref", "c.form", "c.highlight_start")
 
 
+@query("context_topk_all")
+def context_topk_all(spark, d):
+    """Contexts of every lemma (a form in lower case), the document as ref; no filter on forms."""
+    s = sentences(spark, d)
+    forms = F.array_distinct(F.regexp_extract_all("sentence", F.lit(r"(\p{L}+)"), 1))
+    at = T.let(F.lower("sentence"), lambda low: F.transform(forms, lambda f: F.struct(f.alias("form"), (F.position(F.lower(f), low) - 1).alias("start"))))
+    t = s.select(F.col("doc_id").alias("ref"), F.struct("doc_id", "sentence_ord").alias("ord"), F.explode(at).alias("x")).select("ref", "ord", "x.form", "x.start")
+    c = V.select_contexts(t.withColumn("lemma", F.lower("form")), "lemma", ref_first=True)
+    return c.select("lemma", F.posexplode("contexts").alias("k", "c")).select("lemma", "k", F.col("c.ref").alias("doc_id"), F.col("c.ord.sentence_ord").alias("sentence_ord"), "c.form", "c.highlight_start")
+
+
 def part_lexicon(spark: SparkSession, d: str) -> DataFrame:
     """A dictionary of benchmark words: headword, and the first item's number as definition."""
     w = V.tokens(table(spark, d, "benchmark"), "item_id", "text").withColumnRenamed("token", "headword")
