@@ -53,7 +53,7 @@ def short_definition(c: Column, most: int = 80) -> Column:
     behind the last whole word."""
     t = F.trim(F.regexp_replace(c, r"\s+", " "))
     clause = F.trim(F.substring_index(t, ";", 1))
-    sentence = F.trim(F.element_at(F.split(t, r"(?<!\b[A-Z])\.(?!\w)", 2), 1))
+    sentence = F.trim(F.element_at(F.split(t, r"(?U)(?<!\b[A-Z])\.(?!\w)", 2), 1))
     fits = lambda x: (F.length(x) > 2) & (F.length(x) <= most)
     head = F.substring(t, 1, most)
     spaces = F.length(head) - F.length(F.replace(head, F.lit(" "), F.lit("")))

@@ -7,9 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lexispark.functions import text as T
 from lexispark.operators import highlight as H
 from lexispark.operators import quality as Q
 from lexispark.operators import questions as K
+from lexispark.operators import vocab as V
 from lexispark.plans import study
 from lexispark.session import table
 from lexispark.streaming import answers as SA
@@ -73,6 +75,17 @@ def highlight_span(spark, d):
     return t.select("doc_id", H.find(F.col("text"), F.lit("onon, of (it)")).alias("h")).select("doc_id", "h.method", "h.confidence", "h.start")
 
 
+@query("highlight_span_all")
+def highlight_span_all(spark, d):
+    """Every document against a gloss of its own: the short form of a benchmark item, taken in
+    turn by doc_id, and the item's whole text as definition."""
+    items = V.ranked(table(spark, d, "benchmark").select(F.lit(1).alias("one"), F.col("item_id").cast("string").alias("item"), "text"), ["one"], "one", "item")
+    items = items.select(F.col("rank").alias("_rank"), F.col("text").alias("definition"), T.short_definition(F.col("text")).alias("gloss"))
+    docs = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(items.agg(F.count("*").alias("_n"))), how="cross")  # a single row
+    placed = docs.withColumn("_rank", F.pmod("doc_id", F.nullif("_n", F.lit(0))) + 1).join(items, "_rank", "left")
+    return placed.select("doc_id", H.find(F.col("text"), F.col("gloss"), F.col("definition")).alias("h")).select("doc_id", "h.method", "h.confidence", "h.start")
+
+
 _J = "FROM documents d LEFT JOIN labels l USING (doc_id)"
 _BAD = {"lang": "lang NOT IN ('en', 'de', 'fr')", "short": "length(text) < 200", "n_chars": "n_chars <> length(text)", "label": "quality IS NULL", "toxic": "toxic = 1 AND quality = 1"}
 

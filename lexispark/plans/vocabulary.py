@@ -174,6 +174,12 @@ def truncate_gloss(spark, d):
     return t.select("conv_id", "turn", T.short_definition(F.col("text")).alias("gloss"))
 
 
+@query("truncate_gloss_all")
+def truncate_gloss_all(spark, d):
+    """Every row; no SQL, as DuckDB's patterns have no lookbehind."""
+    return table(spark, d, "conversations").select("conv_id", "turn", T.short_definition(F.col("text")).alias("gloss"))
+
+
 _STEM = "CASE " + " ".join(f"WHEN ends_with(token, '{s}') AND length(token) >= {n} THEN " + ("left(token, length(token) - 3) || 'y'" if s in ("ied", "ies") else f"left(token, length(token) - {len(s)})") for s, n in T.SUFFIXES) + " ELSE token END"
 
 

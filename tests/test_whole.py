@@ -44,5 +44,32 @@ def test_contexts_of_every_form(spark):
     assert {k: [v[i] for i in sorted(v)] for k, v in got.items()} == {k: greedy(v) for k, v in items.items()}
 
 
+def short(t, most=80):
+    t = re.sub(r"\s+", " ", t or "").strip()
+    clause, sentence = t.split(";")[0].strip(), re.split(r"(?<!\b[A-Z])\.(?!\w)", t)[0].strip()
+    if ";" in t and 2 < len(clause) <= most:
+        return clause
+    if sentence != t and 2 < len(sentence) <= most:
+        return sentence
+    return t if len(t) <= most else (t[:most].rsplit(" ", 1)[0] if " " in t[:most] else t[:most]) + "…"
+
+
+def test_glosses_of_initials_nulls_and_letters_beyond_ascii(spark, tmp_path):
+    texts = ["by A. Smith. Then more", "a work of J. R. Brown", "one.été. Two", "x.λόγος is one. More", None, "", "a thing; B. more", "é A. b. c", "See 3.5 of it. End", "word " * 30, "y" * 90]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r.gloss for r in registry.queries()["truncate_gloss_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: short(t) for i, t in enumerate(texts)} and got[0] == "by A. Smith" and got[2] == "one.été"
+
+
+def test_highlights_of_every_language_and_gloss(spark, tmp_path):
+    items = [(0, "virtue; rest"), (1, "say; rest"), (2, "city; rest"), (3, "(,)."), (4, None)]
+    texts = [(0, "Es ist virtue", "de"), (1, "the story goes on", None), (2, "les cities", "fr"), (3, "nothing", "en"), (4, "nothing", "en"), (5, "kein", "de"), (6, "he told him", "es"), (7, "city", "en"), (8, None, "en"), (None, "virtue", "en")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.method, r.start) for r in registry.queries()["highlight_span_all"](spark, str(tmp_path)).collect()}
+    none = ("none", None)
+    assert got == {0: ("exact_phrase", 7), 1: ("phrase_override", 4), 2: ("exact_token", 4), 3: none, 4: none, 5: none, 6: ("exact_token", 3), 7: ("exact_phrase", 0), 8: none, None: none}
+
+
 def _sentences():
     return registry.oracle_sql()["sentences"].replace("FROM documents", f"FROM '{SF}/documents.parquet'")
