@@ -2,7 +2,8 @@
 of near copies stays, documents with benchmark passages go, and the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
-the columns of documents. n_chars follows the text where lines were dropped.
+the columns of documents. n_chars follows the text where lines were dropped. Rows are
+judged one by one, never by id: ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -32,18 +33,16 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of links the document with the smallest id; documents without
-    words all stay."""
-    found = jaccard.jaccard_components(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
-    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of links one row, with the smallest id (one without an id only if
+    none has one); documents without words all stay."""
+    found = jaccard.jaccard_components(docs, k=NEAR_WORDS, percent=NEAR_PERCENT, carry=tuple(docs.columns))
+    return found.where("first").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns))
+    return found.where("n_hit = 0").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

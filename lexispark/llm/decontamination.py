@@ -65,10 +65,10 @@ def _items(items: DataFrame, item_col: str, text_col: str, k: int, span: int) ->
     return items.select(items[item_col].cast("string").alias("item_id"), items[text_col].alias("text")).mapInArrow(run, "is_fp boolean, item_id string, win string, n int, fp long")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside shared windows), items (sorted
     ids of the items found), spans (start, end of the merged hits, in words) and uid, a
-    key of the row."""
+    key of the row; and a struct, row, of the columns of docs named in carry."""
     found = C.written(_items(items, item_col, item_text_col, k, span))
     bitmap = C.key_filter(found.where("is_fp"), "fp")
     spark = docs.sparkSession
@@ -77,7 +77,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hashes, uid = C.KeyFilter(sent.value), C.WordHashes(), TaskContext.get().partitionId() << 36
-        for ids, texts in C.batches(it):
+        for batch in it:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
             uids, counts, starts, wins = [], [], [], []
             for t in texts:
                 words = C.alnum_words(t)
@@ -98,10 +99,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                             got += [(p, n) for p in np.nonzero(known.has(g))[0].tolist()]
                 starts.append([p for p, _ in got])
                 wins.append([b" ".join(words[p : p + n]).decode() for p, n in got])
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(wins, pa.list_(pa.string()))], names=["uid", "doc_id", "n_words", "starts", "wins"])
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), ids, pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(wins, pa.list_(pa.string())), *batch.columns[2:]], names=["uid", "doc_id", "n_words", "starts", "wins", *batch.schema.names[2:]])
 
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    base = C.written(source.mapInArrow(run, "uid long, doc_id long, n_words long, starts array<int>, wins array<string>"))
+    own = [docs[c].alias(f"_c{i}") for i, c in enumerate(carry)]
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *own)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:]]
+    base = C.written(source.mapInArrow(run, ", ".join(["uid long, doc_id long, n_words long, starts array<int>, wins array<string>", *kept])))
     hits = base.where(F.size("wins") > 0).select("uid", F.explode(F.arrays_zip("starts", "wins")).alias("h")).select("uid", F.col("h.starts").alias("start"), F.col("h.wins").alias("win"))
     windows = found.where("NOT is_fp").groupBy("win", "n").agg(F.collect_set("item_id").alias("ids"))
     true = hits.join(windows, "win").groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
@@ -112,4 +115,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
     true = true.select("uid", "items", merged.alias("spans"))
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]), F.lit(0).cast("long"))
-    return base.drop("starts", "wins").join(true, "uid", "left").select("uid", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"))
+    return base.drop("starts", "wins").join(true, "uid", "left").select("uid", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"), *([F.struct(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]).alias("row")] if carry else []))

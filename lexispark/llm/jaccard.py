@@ -101,34 +101,40 @@ def _batch(cols: list, types: list, names: list[str]) -> pa.RecordBatch:
 
 
 def base_sets(source: DataFrame, k: int) -> DataFrame:
-    """A row for each document (doc_id, n, k1, k2), and rows (h, seen) of shingles that
-    lie in two documents or more of a read block."""
+    """A row for each document (doc_id, n, k1, k2, uid, a key of the row, and the columns
+    that source has behind id and text), and rows (h, seen) of shingles that lie in two
+    documents or more of a read block."""
+    names = ["doc_id", "n", "k1", "k2", "h", "seen", "uid", *source.columns[2:]]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(k)
-        for ids, texts in C.batches(it):
+        sets, uid = Sets(k), TaskContext.get().partitionId() << 36
+        for batch in it:
+            ids, texts = (batch.column(i).to_pylist() for i in range(2))
             rows: list[list] = [[], [], [], []]
             block: list[np.ndarray] = []
-            names: set = set()
+            known: set = set()
             size = 0
             for i, (d, t) in enumerate(zip(ids, texts, strict=True)):
                 s = sets.of(t)
                 key = sets.keys(s)
                 for c, v in zip(rows, (d, len(s), *key), strict=True):
                     c.append(v)
-                if key not in names:  # copies don't make their shingles frequent
-                    names.add(key)
+                if key not in known:  # copies don't make their shingles frequent
+                    known.add(key)
                     block.append(s)
                     size += len(s)
                 if block and (size > 2_000_000 or i == len(ids) - 1):
                     h, n = np.unique(np.concatenate(block), return_counts=True)
                     h, n = h[n > 1], n[n > 1]
-                    yield _batch([[None] * len(h)] * 4 + [C.signed(h), n], [pa.int64()] * 6, ["doc_id", "n", "k1", "k2", "h", "seen"])
+                    nulls = [pa.nulls(len(h), c.type) for c in batch.columns[2:]]
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(len(h), pa.int64())] * 4, pa.array(C.signed(h)), pa.array(n, pa.int64()), pa.nulls(len(h), pa.int64()), *nulls], names=names)
                     block, size = [], 0
-            none = [None] * len(ids)
-            yield _batch([*rows, none, none], [pa.int64()] * 6, ["doc_id", "n", "k1", "k2", "h", "seen"])
+            none = pa.nulls(len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in rows], none, none, pa.array(np.arange(uid, uid + len(ids)), pa.int64()), *batch.columns[2:]], names=names)
+            uid += len(ids)
 
-    return C.written(source.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, h long, seen long"))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:]]
+    return C.written(source.mapInArrow(run, ", ".join(["doc_id long, n long, k1 long, k2 long, h long, seen long, uid long", *kept])))
 
 
 def shared_prefix_shingles(source: DataFrame, k: int, percent: int, frequent) -> DataFrame:
@@ -296,11 +302,13 @@ def fits(a_n: str, b_n: str, a_at: str, b_at: str, percent: int):
     return (100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n)) & (most >= need)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, long_list: int = 16) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, long_list: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id. With columns of docs named in carry also these, as
+    a struct, row, and first: whether the row is the one of its component with the smallest
+    id (null ids last, then the first row read); always true without shingles."""
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    base = base_sets(source, k)
+    base = base_sets(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)]), k)
     frequent = spark.sparkContext.broadcast(level_bitmaps(base))
     shared = spark.sparkContext.broadcast(C.key_filter(shared_prefix_shingles(source, k, percent, frequent), "h", BITS))
     C.release(spark)
@@ -328,11 +336,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = outside.join(others, "h").where((F.col("ac") != F.col("bc")) & fits("an", "bn", "aat", "bat", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = C.written(links.unionByName(verified(more, texts, k, percent)))
 
-    named = base.where("h IS NULL AND n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low"))
+    # null ids come last, as first says: a struct of (is null, id, uid) is the order of rows
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
+    named = base.where("h IS NULL AND n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), *([F.min(place).alias("first_row")] if carry else []))
     comps = nodes.select("node", "k1", "k2").join(components(links), "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("comp"))
     sets = named.join(comps, ["k1", "k2"], "left")
-    lows = sets.where("comp IS NOT NULL").groupBy("comp").agg(F.min("low").alias("comp_low"))
-    sets = C.written(sets.join(lows, "comp", "left").select("k1", "k2", F.coalesce("comp_low", "low").alias("component_id")))
+    least = [F.min("first_row").alias("comp_first")] if carry else []
+    lows = sets.where("comp IS NOT NULL").groupBy("comp").agg(F.min("low").alias("comp_low"), *least)
+    own = [F.coalesce("comp_first", "first_row")["uid"].alias("first_uid")] if carry else []
+    sets = C.written(sets.join(lows, "comp", "left").select("k1", "k2", F.coalesce("comp_low", "low").alias("component_id"), *own))
     rows = base.where("h IS NULL")
-    full = rows.where("n > 0").join(sets, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    row = [F.struct(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]).alias("row")] if carry else []
+    full = rows.where("n > 0").join(sets, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *([(F.col("uid") == F.col("first_uid")).alias("first"), *row] if carry else []))
+    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *([F.lit(True).alias("first"), *row] if carry else [])))

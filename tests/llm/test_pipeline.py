@@ -41,3 +41,25 @@ def test_stages_against_brute_force(spark):
     packs.check_packing(spark, rows(four), stages["packing"](spark, four, SF).drop("ids").collect())
     whole = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in whole.select("doc_id").collect()} == {d for d, _ in rows(four)}
+
+
+def test_rows_of_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    near = " ".join(f"near{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    clean = " ".join(f"clean{i}" for i in range(30))
+    made = [(None, near), (None, near + " more"), (5, near), (5, near), (5, other), (3, other), (3, other), (None, item), (7, item), (7, clean), (None, None), (8, ""), (8, "")]
+    made += [(None, " ".join(f"alone{i}" for i in range(40))), (None, " ".join(f"alone{i}" for i in range(40))), (None, " ".join(f"single{i}" for i in range(40)))]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in made], docs.select("doc_id", "text", "lang", "source", "n_chars").schema).select(*docs.columns).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda x: sorted(x, key=repr)
+
+    one = stages["n-gram Jaccard join"](spark, d, SF)
+    assert one.columns == docs.columns
+    # a row with an id goes before one without
+    assert key(rows(one)) == key([(5, near), (3, other), (7, item), (7, clean), (None, None), (8, ""), (8, ""), made[13], made[15]])
+
+    two = stages["benchmark decontamination"](spark, d, SF)
+    assert two.columns == docs.columns
+    assert key(rows(two)) == key([x for x in made if x[1] != item])
