@@ -6,9 +6,15 @@ the other, each reading what the one before it wrote (their composition):
 1. insult: a word of the learned lexicon, or one that begins with a learned stem, emits
    its weight; other words emit 0;
 2. threat: a modal followed within a few words by a verb of harm emits a weight;
-3. target: a pronoun or name-like target in reach of a match raises its weight;
+3. target: a pronoun in reach of a match raises its weight (names are no targets);
 4. negation: a negator lowers the matches of the next few words;
-5. reported speech: after a verb of saying, or inside quotes, matches count less.
+5. reported speech: after a verb of saying, or inside quotes, matches count less. A quote
+   goes on over the ends of clauses up to its closing mark, at most to the end of the line
+   (marks are double or angle ones; single ones are read as apostrophes);
+   a verb of saying reaches over ':' and an opening quote mark.
+
+Apostrophes inside words are dropped before any lookup ("don't" is "dont", "i'll" "ill"),
+but contractions with will are a modal as long as the apostrophe is there.
 
 A clause scores the sum of its matches. A text's clause scores give a few figures, which
 a logistic model turns into a score from 0 to 1. Lexicon and model are learned from a
@@ -36,13 +42,22 @@ from lexispark.llm import common as C
 
 # Fixed word classes of the grammar.
 THREAT_MODALS = frozenset("will gonna going shall werde werden vais allons voy vamos".split())
-HARM_VERBS = frozenset("kill hurt murder destroy beat stab shoot töten umbringen schlagen tuer frapper matar golpear".split())
+CONTRACTED_MODALS = frozenset("i'll you'll he'll she'll it'll we'll they'll who'll that'll there'll".split())
+HARM_VERBS = frozenset(
+    "kill kills killed killing hurt hurts hurting murder murders murdered murdering destroy destroys destroyed destroying beat beats beaten beating stab stabs stabbed stabbing shoot shoots shot shooting "
+    "töten tötet tötete getötet umbringen umbringt umgebracht schlagen schlägt schlug geschlagen tuer tue tues tuent tué frapper frappe frappes frappent frappé matar mata matas matan mató matado golpear golpea golpean golpeó golpeado".split()
+)
 TARGETS = frozenset("you your youre u he she they them him her du dich dir ihr euch tu toi vous il elle ils tú ti usted ustedes él ella ellos".split())
-NEGATORS = frozenset("not no never isnt arent dont doesnt nicht kein keine nie pas jamais nunca jamás tampoco".split())
-REPORTERS = frozenset("said says wrote called claimed quoted reported according sagte schrieb nannte laut dit écrit appelé selon dijo escribió llamó según".split())
+NEGATORS = frozenset("not no never isnt arent dont doesnt didnt wasnt werent cant cannot couldnt wont wouldnt shouldnt hasnt havent hadnt aint mustnt neednt nicht kein keine nie pas jamais nunca jamás tampoco".split())
+REPORTERS = frozenset("said say says saying wrote writes called calls claimed claims quoted quotes reported reports according sagte schrieb nannte laut dit écrit appelé selon dijo escribió llamó según".split())
 
-CLAUSE = re.compile(r"[.!?;:\n]+")
+CLAUSE = re.compile(r"[.!?;\n]+")
 WORD = re.compile(r"[^\W\d_]+")
+#: a word, with apostrophes inside it, or a mark that the reported-speech transducer reads
+TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”„«»:]")
+APOSTROPHE = re.compile("['’]")
+INNER = re.compile(r"(?<=[^\W\d_])['’](?=[^\W\d_])")
+OPENING, CLOSING, MARKS = frozenset("“„«"), frozenset("”»"), frozenset('"“”„«»:')
 STEMS = (4, 5, 6)
 #: reach in words, and factor or weight, of each transducer
 REACH = {"threat": 6, "target": 4, "negation": 3, "report": 6}
@@ -67,12 +82,17 @@ class Grammar:
             self.known[word] = x
         return x
 
-    def clause(self, words: list[str], weights: list[float]) -> tuple[float, int, int]:
-        """Score, matches, and matches that negation or report lowered."""
+    def clause(self, words: list[str], weights: list[float], quoted: set[int] = frozenset(), starts: set[int] = frozenset(), modals: set[int] = frozenset()) -> tuple[float, int, int]:
+        """Score, matches, and matches that negation or report lowered. quoted: places inside
+        quotes; starts: those behind a ':', where all but the report begins anew; modals: contractions with will."""
         score, n, lowered = 0.0, 0, 0
         armed = negated = reported = aimed = -99
+        end = min((p for p in starts if p > 0), default=len(words))
         for i, (w, x) in enumerate(zip(words, weights, strict=True)):
-            if w in THREAT_MODALS:
+            if i in starts:
+                armed = negated = aimed = -99
+                end = min((p for p in starts if p > i), default=len(words))
+            if w in THREAT_MODALS or i in modals:
                 armed = i
             if w in TARGETS:
                 aimed = i
@@ -83,12 +103,12 @@ class Grammar:
             if w in HARM_VERBS and i - armed <= REACH["threat"]:
                 x += FACTOR["threat"]
             if x > 0:
-                if i - aimed <= REACH["target"] or any(v in TARGETS for v in words[i + 1 : i + 1 + REACH["target"]]):
+                if i - aimed <= REACH["target"] or any(v in TARGETS for v in words[i + 1 : min(end, i + 1 + REACH["target"])]):
                     x *= FACTOR["target"]
                 if i - negated <= REACH["negation"]:
                     x *= FACTOR["negation"]
                     lowered += 1
-                elif i - reported <= REACH["report"]:
+                elif i in quoted or i - reported <= REACH["report"]:
                     x *= FACTOR["report"]
                     lowered += 1
                 score, n = score + x, n + 1
@@ -99,14 +119,41 @@ class Grammar:
         total = top = 0.0
         n = low = clauses = 0
         insult = self.insult
-        for part in CLAUSE.split((text or "").lower()):
-            words = WORD.findall(part)
-            weights = list(map(insult, words))
-            if not any(weights) and HARM_VERBS.isdisjoint(words):
-                continue
-            s, k, lowered = self.clause(words, weights)
-            if k:
-                total, top, n, low, clauses = total + s, max(top, s), n + k, low + lowered, clauses + 1
+        for line in (text or "").lower().split("\n"):
+            inside = False
+            # a quote counts only where the line closes it
+            left = {'"': line.count('"') // 2 * 2, "”": line.count("”") + line.count("“"), "»": line.count("»")}
+            for part in CLAUSE.split(line):
+                words, quoted, starts, modals = [], set(), set(), set()
+                for t in TOKEN.findall(part):
+                    if t in MARKS:
+                        if t == ":":
+                            starts.add(len(words))
+                        elif t == '"':
+                            if left[t]:
+                                left[t] -= 1
+                                inside = not inside
+                        elif inside and (t in CLOSING or t == "“"):
+                            left["»" if t == "»" else "”"] -= 1
+                            inside = False
+                        elif t in OPENING and left["»" if t == "«" else "”"] > 0:
+                            inside = True
+                            if t == "“":
+                                left["”"] -= 1
+                        continue
+                    if inside:
+                        quoted.add(len(words))
+                    if len(t) > 2 and ("'" in t or "’" in t):
+                        if t.replace("’", "'") in CONTRACTED_MODALS:
+                            modals.add(len(words))
+                        t = APOSTROPHE.sub("", t)
+                    words.append(t)
+                weights = list(map(insult, words))
+                if not any(weights) and HARM_VERBS.isdisjoint(words):
+                    continue
+                s, k, lowered = self.clause(words, weights, quoted, starts, modals)
+                if k:
+                    total, top, n, low, clauses = total + s, max(top, s), n + k, low + lowered, clauses + 1
         return [float(n >= 1), float(n >= 2), float(n >= 3), float(np.log1p(total)), top / 5, float(np.log1p(clauses)), low / (n + 1), min(n, 8) / (1 + np.log1p(len(text or "") / 200))]
 
 
@@ -125,7 +172,7 @@ def learn_lexicon(rows: DataFrame, most: int, least_weight: float) -> dict[str,
         n = [0, 0]
         for texts, toxic in C.batches(it):
             for t, y in zip(texts, toxic, strict=True):
-                words = set(WORD.findall((t or "").lower()))
+                words = set(WORD.findall(INNER.sub("", (t or "").lower())))
                 seen[y].update(words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k})
                 n[y] += 1
         names = [w for w in seen[1]]

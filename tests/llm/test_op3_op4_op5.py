@@ -94,3 +94,15 @@ def test_escape_round_trip(spark, texts):
     d = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in d.select("t", chat.escape(d.t).alias("e"), chat.unescape(chat.escape(d.t)).alias("u")).collect():
         assert r.t == r.u and "<|" not in r.e
+
+
+def test_grammar_reads_quotes_colons_apostrophes_and_inflected_verbs():
+    g = toxicity.Grammar({"idiot": 4.0})
+    total = lambda t: g.figures(t)[3]
+    plain = total("such an idiot")
+    assert total('such an "idiot"') < plain and total('"What. Such an idiot."') < plain and total("such an «idiot»") < plain and total("“such an idiot”") < plain
+    assert total('such an idiot 5" long') == plain == total('"so" such an idiot') == total('an open " such an idiot')
+    assert total("somebody said: such an idiot") < plain == total("not: such an idiot")
+    assert total("that isn't an idiot") == total("that isnt an idiot") < plain > total("that wasn’t an idiot")
+    assert total("i'll hurt things") > 0 == total("ill hurt things") and total("it will be killed") > 0 and total("he’ll be shot") > 0
+    assert total("rock'n'roll") == 0
