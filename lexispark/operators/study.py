@@ -28,10 +28,29 @@ def streaks(answers: DataFrame, key: str) -> DataFrame:
 
 def urgency(answers: DataFrame, *key: str, up: int = 3, most: int = 12) -> DataFrame:
     """Clamped walk: a wrong answer adds ``up`` to at most ``most``, a correct one takes 1
-    to at least 0."""
-    ordered = F.sort_array(F.collect_list(F.struct(*ORDER, "correct")))
-    walk = lambda u, a: F.when(a["correct"], F.greatest(u - 1, F.lit(0))).otherwise(F.least(u + up, F.lit(most)))
-    return answers.groupBy(*key).agg(F.aggregate(ordered, F.lit(0), walk).alias("urgency"))
+    to at least 0.
+
+    A run of answers is a map u -> min(hi, max(lo, u + s)), and so are two in a row: answers
+    become maps by key and minute, then by key and day, and the days' maps one of a key, so
+    that no row holds all answers of a key."""
+    second = F.unix_seconds(F.col(ORDER[0]).cast("timestamp"))
+    blocks = answers.select(*key, *ORDER, "correct", F.floor(second / 60).alias("_m"), F.floor(second / 86400).alias("_d"))
+    none = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("lo"), F.lit(most).cast("long").alias("hi"))
+
+    def step(f: Column, a: Column) -> Column:
+        down = lambda c: F.greatest(c - 1, F.lit(0))
+        rise = lambda c: F.least(c + up, F.lit(most))
+        moved = lambda c: F.when(a["correct"], down(c)).otherwise(rise(c))
+        return F.struct(F.when(a["correct"], f["s"] - 1).otherwise(f["s"] + up).cast("long").alias("s"), moved(f["lo"]).cast("long").alias("lo"), moved(f["hi"]).cast("long").alias("hi"))
+
+    def joined(f: Column, x: Column) -> Column:
+        at = lambda c: F.least(x["f"]["hi"], F.greatest(x["f"]["lo"], c + x["f"]["s"]))
+        return F.struct((f["s"] + x["f"]["s"]).alias("s"), at(f["lo"]).alias("lo"), at(f["hi"]).alias("hi"))
+
+    minutes = blocks.groupBy(*key, "_d", "_m").agg(F.aggregate(F.sort_array(F.collect_list(F.struct(*ORDER, "correct"))), none, step).alias("f"))
+    days = minutes.groupBy(*key, "_d").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("_m", "f"))), none, joined).alias("f"))
+    whole = days.groupBy(*key).agg(F.aggregate(F.sort_array(F.collect_list(F.struct("_d", "f"))), none, joined).alias("f"))
+    return whole.select(*key, F.least(F.col("f.hi"), F.greatest(F.col("f.lo"), F.col("f.s"))).cast("int").alias("urgency"))
 
 
 def recent(answers: DataFrame, key: str, item: str, n: int = 4) -> Column:

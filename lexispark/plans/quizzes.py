@@ -103,13 +103,20 @@ def dq_coverage(spark, d):
 
 
 def _drained(df, mode: str):
-    """A finite stream run to its end; the last rows it gave, as a table in memory."""
+    """A finite stream run to its end; its rows, written batch by batch to the shared folder
+    (in complete mode only the last batch's)."""
     name = f"stream_{uuid.uuid4().hex}"
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexispark-")
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lexispark-')).rstrip('/')}/{name}"
+    out = f"{base}-rows"
+    spark.createDataFrame([], df.schema).write.parquet(f"{out}/batch=-1")
+
+    def put(rows, batch):  # a batch that is run again replaces its own rows
+        rows.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else batch}")
+
+    q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", base).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(out)
 
 
 def _stream(spark, d):

@@ -6,6 +6,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
+from lexispark.operators import study as S
 from lexispark.operators import vocab as V
 from lexispark.plans import registry
 
@@ -73,3 +74,14 @@ def test_highlights_of_every_language_and_gloss(spark, tmp_path):
 
 def _sentences():
     return registry.oracle_sql()["sentences"].replace("FROM documents", f"FROM '{SF}/documents.parquet'")
+
+
+def test_urgency_in_blocks_and_streams_outside_the_driver(spark):
+    rng = random.Random(3)
+    rows = [(u, rng.randrange(400_000), i, rng.random() < p) for u, p in ((1, 0.5), (2, 0.75), (3, 0.8)) for i in range(700)]
+    want = {}
+    for u, _, _, ok in sorted(rows):
+        want[u] = max(want.get(u, 0) - 1, 0) if ok else min(want.get(u, 0) + 3, 12)
+    got = S.urgency(spark.createDataFrame(rows, "user_id long, ts long, event_id long, correct boolean"), "user_id")
+    assert got.count() == 3 and {r.user_id: r.urgency for r in got.collect()} == want
+    assert registry.queries()["streaming_progress"](spark, SF).inputFiles()  # files, no table in the driver's memory
