@@ -1,25 +1,29 @@
 """Operator 6: n-gram Jaccard join by T-occurrence search with DivideSkip.
 
 A document's set holds its distinct runs of ``k`` words; exact copies of a set are one
-node. Two nodes link if ``100 * |A and B| >= percent * |A or B|``. Every set is ordered
-by one global order, frequent shingles last; of sets that link, each has one of its first
-``n - ceil(n * percent / 100) + 1`` shingles in common with the other's. So:
-
-1. shingles seen in several documents of one read block go to fixed-size bitmaps, one for
-   each level of frequency, which make the order (it changes the work, never the result);
-2. inverted lists are kept for those first, rare shingles alone: the short lists, merged
-   by a Spark join; shingles with a list of one are dropped by a bitmap before that;
-3. the other shingles, whose lists are long, are probed: each by binary search in the
-   candidate's sorted set, stopping once the required overlap T is out of reach;
-4. a list of more than ``long_list`` nodes isn't paired up: its nodes are verified with
-   its first node, and only those that this leaves outside the list's main component are
-   verified with the list's nodes of other components. No link between components is lost;
-5. components come from large-star and small-star rounds over the links.
-
-Rows: null and empty texts, and texts without words, have no shingles and link with
-nothing; shorter texts have one shingle, their words; rows of equal ids are nodes of their
-own with one id; a component of null ids alone has a null id; other columns are ignored;
-an empty table gives no rows.
+node. Two nodes link if ``100 * |A and B| >= percent * |A or B|``, that is, if they occur
+together in at least T = ``required(a, b)`` inverted lists. Every set is ordered by one
+global order, frequent shingles last: the lists at its head are short, those at its tail
+long. Of sets that link, the first shingle they share lies at a place of each that leaves
+room for T, so it is among the first ``n - ceil(n * percent / 100) + 1`` of both.
+
+1. Shingles seen in several documents of one read block go to fixed-size bitmaps, one for
+   each level of frequency, which make the order (it changes the work, never the result).
+2. Inverted lists are kept for the heads alone; a bitmap drops lists of one before that.
+3. The short lists are merged by a Spark join, which counts how often two nodes meet.
+   Pairs whose first meeting leaves no room for T are dropped.
+4. The long lists are probed, not merged: b is in the list of h if h is in b's sorted set,
+   where binary search finds it. Occurrences add up to those counted by the merge, and
+   the probe ends once T is reached or out of reach.
+5. A head list of more than ``long_list`` nodes isn't merged: its nodes are probed with
+   one of them, and only those that this leaves outside the list's main component meet
+   the list's nodes of other components. No link between components is lost.
+6. Components come from large-star and small-star rounds over the links.
+
+Rows: ids must be integers (anything that casts to long); null and empty texts, and texts
+without words, have no shingles and link with nothing; shorter texts have one shingle,
+their words; rows of equal ids are nodes of their own with one id; a component of null
+ids alone has a null id; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,35 +33,50 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import common as C
+from lexispark.llm import words as W
 
 BITS = 26
+LONG, LONGS = pa.int64(), pa.list_(pa.int64())
 
 
 class Sets:
-    """Shingle sets of texts, as sorted 64-bit hashes."""
-
-    def __init__(self, k: int) -> None:
-        self.k, self.hashes = k, C.WordHashes()
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = C.lower_words(text)
-        if not words:
-            return np.empty(0, np.uint64)
-        x = self.hashes.of(words)
-        n = min(self.k, len(words))
-        grams = C.gram_hashes(x, n)
-        return np.unique(grams if n == self.k else grams ^ np.uint64(n))
-
-    @staticmethod
-    def keys(s: np.ndarray) -> tuple[int, int]:
-        """128 bits that name the set."""
-        a = C.mix(s).sum(dtype=np.uint64)
-        b = C.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-        return int(a.astype(np.int64)), int(b.astype(np.int64))
+    """Shingle sets of a few texts as sorted 64-bit hashes, end to end: set i is
+    flat[at[i] : at[i + 1]]."""
+
+    def __init__(self, words: W.Words, k: int) -> None:
+        grams, parts = C.gram_hashes(words.h, k), []
+        for i, (first, n) in enumerate(zip(words.first.tolist(), words.counts().tolist())):
+            if n >= k:
+                s = np.sort(grams[first : first + n - k + 1])
+                new = np.empty(len(s), bool)
+                new[0] = True
+                np.not_equal(s[1:], s[:-1], out=new[1:])
+                parts.append(s[new])
+            else:
+                parts.append(C.gram_hashes(words.of(i), n) ^ np.uint64(n) if n else np.empty(0, np.uint64))
+        self.flat = np.concatenate(parts)
+        self.n = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.at = np.concatenate(([0], np.cumsum(self.n)))
+
+    def of(self, i: int) -> np.ndarray:
+        return self.flat[self.at[i] : self.at[i + 1]]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits that name each set (of 64-bit shingle hashes)."""
+        out = []
+        for salt in (0, 0x5851F42D4C957F2D):
+            sums = np.concatenate(([np.uint64(0)], np.cumsum(C.mix(self.flat ^ np.uint64(salt)))))
+            out.append(C.signed(sums[self.at[1:]] - sums[self.at[:-1]]))
+        return out[0], out[1]
+
+
+def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, Sets]]:
+    for lo, words in W.chunks(column, W.LOWER):
+        yield lo, Sets(words, k)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -65,7 +84,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def required(a, b, percent: int):
-    """The least overlap of linking sets of a and b shingles."""
+    """T: the least number of lists in which linking sets of a and b shingles meet."""
     return -(-percent * (a + b) // (100 + percent))
 
 
@@ -83,21 +102,29 @@ class Order:
     """The global order: shingles of low levels first, those of a level by hash."""
 
     def __init__(self, bitmaps: list[bytes]) -> None:
-        self.levels = [C.KeyFilter(b, bits) for b, (_, bits) in zip(bitmaps, LEVELS, strict=True)]
+        self.filters = [C.KeyFilter(b, bits) for b, (_, bits) in zip(bitmaps, LEVELS, strict=True)]
+
+    def levels(self, flat: np.ndarray) -> np.ndarray:
+        out = self.filters[0].has(flat).astype(np.uint8)
+        late = np.flatnonzero(out)
+        for f in self.filters[1:]:
+            out[late] += f.has(flat[late])
+        return out
+
+    def places(self, sets: Sets) -> list[np.ndarray]:
+        """For each set the places in flat of its shingles in order."""
+        level = self.levels(sets.flat)
+        bounds = zip(sets.at[:-1].tolist(), sets.at[1:].tolist())
+        return [np.argsort(level[lo:hi], kind="stable") + lo for lo, hi in bounds]
 
-    def of(self, s: np.ndarray) -> np.ndarray:
-        late = self.levels[0].has(s)
-        rest = s[late]
-        if len(rest):
-            level = np.zeros(len(rest), np.int8)
-            for x in self.levels[1:]:
-                level += x.has(rest)
-            rest = rest[np.argsort(level, kind="stable")]
-        return np.concatenate((s[~late], rest))
+    def heads(self, sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of the short lists of all sets, end to end, and how many each has."""
+        parts = [p[: prefix_length(len(p), percent) if len(p) else 0] for p in self.places(sets)]
+        return sets.flat[np.concatenate(parts)], np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def _batch(cols: list, types: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+def _batch(names: list[str], *cols: pa.Array | np.ndarray | list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, LONG) for c in cols], names=names)
 
 
 def base_sets(source: DataFrame, k: int) -> DataFrame:
@@ -106,89 +133,110 @@ def base_sets(source: DataFrame, k: int) -> DataFrame:
     documents or more of a read block."""
     names = ["doc_id", "n", "k1", "k2", "h", "seen", "uid", *source.columns[2:]]
 
+    def frequent(block: list[np.ndarray], extra: list[pa.Array]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(block), return_counts=True)
+        h, n = h[n > 1], n[n > 1]
+        none = pa.nulls(len(h), LONG)
+        return _batch(names, none, none, none, none, C.signed(h), n, none, *[pa.nulls(len(h), c.type) for c in extra])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, uid = Sets(k), TaskContext.get().partitionId() << 36
+        uid = TaskContext.get().partitionId() << 36
         for batch in it:
-            ids, texts = (batch.column(i).to_pylist() for i in range(2))
-            rows: list[list] = [[], [], [], []]
-            block: list[np.ndarray] = []
-            known: set = set()
-            size = 0
-            for i, (d, t) in enumerate(zip(ids, texts, strict=True)):
-                s = sets.of(t)
-                key = sets.keys(s)
-                for c, v in zip(rows, (d, len(s), *key), strict=True):
-                    c.append(v)
-                if key not in known:  # copies don't make their shingles frequent
-                    known.add(key)
-                    block.append(s)
-                    size += len(s)
-                if block and (size > 2_000_000 or i == len(ids) - 1):
-                    h, n = np.unique(np.concatenate(block), return_counts=True)
-                    h, n = h[n > 1], n[n > 1]
-                    nulls = [pa.nulls(len(h), c.type) for c in batch.columns[2:]]
-                    yield pa.RecordBatch.from_arrays([*[pa.nulls(len(h), pa.int64())] * 4, pa.array(C.signed(h)), pa.array(n, pa.int64()), pa.nulls(len(h), pa.int64()), *nulls], names=names)
+            extra, block, known, size = batch.columns[2:], [], set(), 0
+            sizes, keys = [], ([], [])
+            for _, sets in sets_of(batch.column(1), k):
+                k1, k2 = sets.keys()
+                sizes.append(sets.n)
+                keys[0].append(k1)
+                keys[1].append(k2)
+                for i, key in enumerate(zip(k1.tolist(), k2.tolist())):
+                    if key not in known:  # copies don't make their shingles frequent
+                        known.add(key)
+                        block.append(sets.of(i))
+                        size += len(block[-1])
+                if size > 2_000_000:
+                    yield frequent(block, extra)
                     block, size = [], 0
-            none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in rows], none, none, pa.array(np.arange(uid, uid + len(ids)), pa.int64()), *batch.columns[2:]], names=names)
-            uid += len(ids)
+            if block:
+                yield frequent(block, extra)
+            if batch.num_rows:
+                none, uids = pa.nulls(batch.num_rows, LONG), np.arange(uid, uid + batch.num_rows)
+                found = [np.concatenate(x) for x in (sizes, *keys)]
+                yield _batch(names, batch.column(0), *found, none, none, uids, *extra)
+            uid += batch.num_rows
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:]]
-    return C.written(source.mapInArrow(run, ", ".join(["doc_id long, n long, k1 long, k2 long, h long, seen long, uid long", *kept])))
+    own = "doc_id long, n long, k1 long, k2 long, h long, seen long, uid long"
+    return C.written(source.mapInArrow(run, ", ".join([own, *kept])))
+
 
+def shared_heads(source: DataFrame, k: int, percent: int, frequent) -> DataFrame:
+    """h of shingles that are at the head of two different sets or more."""
 
-def shared_prefix_shingles(source: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """h of shingles that are among the first of two different sets or more."""
+    def ends(hs: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        h, key = np.concatenate(hs), np.concatenate(keys)
+        order = np.argsort(h, kind="stable")
+        h, key = h[order], key[order]
+        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        low, high = np.minimum.reduceat(key, new), np.maximum.reduceat(key, new)
+        return _batch(["h", "low", "high"], C.signed(h[new]), low, high)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, order_of = Sets(k), Order(frequent.value)
-        for _, texts in C.batches(it):
-            hs, ks, size = [], [], 0
-            for i, t in enumerate(texts):
-                s = sets.of(t)
-                if len(s):
-                    p = order_of.of(s)[: prefix_length(len(s), percent)]
-                    hs.append(p)
-                    ks.append(np.full(len(p), sets.keys(s)[0]))
-                    size += len(p)
-                if hs and (size > 500_000 or i == len(texts) - 1):
-                    h, key = np.concatenate(hs), np.concatenate(ks)
-                    order = np.lexsort((key, h))
-                    h, key = h[order], key[order]
-                    new = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
-                    yield _batch([C.signed(h[new]), key[new], key[np.append(new[1:], len(h)) - 1]], [pa.int64()] * 3, ["h", "low", "high"])
-                    hs, ks, size = [], [], 0
-
-    found = source.mapInArrow(run, "h long, low long, high long").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return found.where("low <> high").select("h")
+        order, hs, keys, size = Order(frequent.value), [], [], 0
+        for batch in it:
+            for _, sets in sets_of(batch.column(1), k):
+                head, n = order.heads(sets, percent)
+                hs.append(head)
+                keys.append(np.repeat(sets.keys()[0], n))
+                size += len(head)
+                if size > 1_000_000:
+                    yield ends(hs, keys)
+                    hs, keys, size = [], [], 0
+        if size:
+            yield ends(hs, keys)
+
+    found = source.mapInArrow(run, "h long, low long, high long")
+    return found.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("h")
 
 
 def nodes_with_lists(source: DataFrame, k: int, percent: int, frequent, shared) -> tuple[DataFrame, DataFrame]:
-    """One row for each distinct set that has a short list in common with another: node,
-    k1, k2, n, and hs and at, its shingles of shared lists and their places; and the texts
-    (node, text), which stay where they were written until a pair asks for them."""
+    """One row for each distinct set that has a list in common with another: node, k1, k2,
+    n, and hs and at, its shingles of shared lists and their places; and the texts (node,
+    text), which stay where they were written until a pair asks for them."""
+    names = ["node", "k1", "k2", "n", "text", "hs", "at"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, order_of, known = Sets(k), Order(frequent.value), C.KeyFilter(shared.value, BITS)
+        order, known = Order(frequent.value), C.KeyFilter(shared.value, BITS)
         uid = TaskContext.get().partitionId() << 36
-        longs = pa.list_(pa.int64())
-        for _, texts in C.batches(it):
-            cols: list[list] = [[] for _ in range(7)]
-            names: set = set()
-            for t in texts:
-                s = sets.of(t)
-                if not len(s) or (key := sets.keys(s)) in names:
+        for batch in it:
+            seen: set = set()
+            for lo, sets in sets_of(batch.column(1), k):
+                head, n = order.heads(sets, percent)
+                hit = known.has(head)
+                begin = np.cumsum(n) - n
+                place = (np.arange(len(head)) - np.repeat(begin, n))[hit]
+                upto = np.concatenate(([0], np.cumsum(hit)))
+                met = upto[begin + n] - upto[begin]
+                k1, k2 = sets.keys()
+                rows = []
+                for i in np.flatnonzero(met).tolist():
+                    if (key := (int(k1[i]), int(k2[i]))) not in seen:
+                        seen.add(key)
+                        rows.append(i)
+                if not rows:
                     continue
-                names.add(key)
-                p = order_of.of(s)[: prefix_length(len(s), percent)]
-                at = np.nonzero(known.has(p))[0]
-                if len(at):
-                    for c, v in zip(cols, (uid, *key, len(s), t, C.signed(p[at]), at), strict=True):
-                        c.append(v)
-                    uid += 1
-            yield _batch(cols, [pa.int64()] * 4 + [pa.string(), longs, longs], ["node", "k1", "k2", "n", "text", "hs", "at"])
-
-    found = C.written(source.mapInArrow(run, "node long, k1 long, k2 long, n long, text string, hs array<long>, at array<long>"))
+                keep = np.array(rows)
+                chosen = np.zeros(len(n), bool)
+                chosen[keep] = True
+                inside = np.repeat(chosen, met)
+                at = pa.array(np.concatenate(([0], np.cumsum(met[keep]))), pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(x[inside], LONG)) for x in (C.signed(head[hit]), place)]
+                text = batch.column(1).take(pa.array(keep + lo))
+                yield _batch(names, np.arange(uid, uid + len(keep)), k1[keep], k2[keep], sets.n[keep], text, *lists)
+                uid += len(keep)
+
+    schema = "node long, k1 long, k2 long, n long, text string, hs array<long>, at array<long>"
+    found = C.written(source.mapInArrow(run, schema))
     once = found.groupBy("k1", "k2").agg(F.min("node").alias("node"))
     C.release(source.sparkSession)
     return C.written(found.drop("text").join(once, ["k1", "k2", "node"])), found.select("node", "text")
@@ -197,8 +245,8 @@ def nodes_with_lists(source: DataFrame, k: int, percent: int, frequent, shared)
 def texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of texts that a pair may ask for; a bitmap drops nearly all others before they
     are shuffled."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.xxhash64("node").alias("key"))
-    sent = pairs.sparkSession.sparkContext.broadcast(C.key_filter(asked, "key"))
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    sent = pairs.sparkSession.sparkContext.broadcast(C.key_filter(asked.select(F.xxhash64("node").alias("key")), "key"))
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = C.KeyFilter(sent.value)
@@ -208,40 +256,55 @@ def texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.select(F.xxhash64("node").alias("key"), "node", "text").mapInArrow(keep, "node long, text string")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
-    pairs = C.written(pairs.select("a", "b"))
+def divide_skip(head: np.ndarray, tail: np.ndarray, b: np.ndarray, met: int, need: int, step: int = 256) -> bool:
+    """Whether a set and b occur together in ``need`` lists or more. head and tail: the
+    set's shingles of short and of long lists; met: occurrences that the merge of short
+    lists counted. The long lists are probed by binary search in b, until need is reached
+    or out of reach; the head is probed only if lists of it may have been left unmerged."""
+    got = met
+    for lo in range(0, len(tail), step):
+        part = tail[lo : lo + step]
+        got += _found(part, b)
+        if got >= need:
+            return True
+        if got + len(tail) - lo - len(part) + len(head) - met < need:
+            return False
+    return got - met + _found(head, b) >= need
+
+
+def _found(part: np.ndarray, b: np.ndarray) -> int:
+    at = np.searchsorted(b, part)
+    return int((b[np.minimum(at, len(b) - 1)] == part).sum())
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, frequent) -> DataFrame:
+    """Those of the pairs (a, b, met) that link."""
+    pairs = C.written(pairs.select("a", "b", "met"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(k)
-        last, query = None, np.empty(0, np.uint64)
-        for b in it:
-            out: list[tuple[int, int]] = []
-            for a, other, text_a, text_b in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                if a != last:
-                    last, query = a, sets.of(text_a.as_py())
-                if probe(query, sets.of(text_b.as_py()), percent):
-                    out.append((a, other))
-            yield _batch([[x for x, _ in out], [y for _, y in out]], [pa.int64()] * 2, ["a", "b"])
+        order = Order(frequent.value)
+        for batch in it:
+            a, b, met = (batch.column(i).to_numpy() for i in range(3))
+            new = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.empty(0, bool)
+            which, good = np.cumsum(new) - 1, np.zeros(len(a), bool)
+            queries = batch.column(3).take(pa.array(np.flatnonzero(new)))
+            own = ((lo + i, s, p) for lo, s in sets_of(queries, k) for i, p in enumerate(order.places(s)))
+            number, sets, place = -1, None, None
+            for lo, others in sets_of(batch.column(4), k):
+                for i in range(len(others.n)):
+                    while number < which[lo + i]:
+                        number, sets, place = next(own)
+                        n = len(place)
+                        cut = prefix_length(n, percent)
+                        head, tail = sets.flat[place[:cut]], sets.flat[place[cut:]]
+                    need = required(n, int(others.n[i]), percent)
+                    good[lo + i] = divide_skip(head, tail, others.of(i), int(met[lo + i]), need)
+            yield _batch(["a", "b"], a[good], b[good])
 
     text = texts_of(texts, pairs)
-    full = pairs.join(text.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(text.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-    return full.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
-
-
-def probe(a: np.ndarray, b: np.ndarray, percent: int, step: int = 256) -> bool:
-    """Whether sets link: shingles of the smaller are looked up in the larger by binary
-    search, until T is met for sure or out of reach."""
-    if len(a) > len(b):
-        a, b = b, a
-    need, met = required(len(a), len(b), percent), 0
-    for lo in range(0, len(a), step):
-        part = a[lo : lo + step]
-        at = np.minimum(np.searchsorted(b, part), len(b) - 1)
-        met += int((b[at] == part).sum())
-        if met + len(a) - lo - len(part) < need:
-            return False
-    return met >= need
+    full = pairs.join(text.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
+    full = full.join(text.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+    return full.select("a", "b", "met", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
 
 
 def joined_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +325,7 @@ def joined_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nodes = list(up)
     for lo in range(0, len(nodes), 50_000):
         part = nodes[lo : lo + 50_000]
-        yield _batch([part, [top(x) for x in part]], [pa.int64()] * 2, ["a", "b"])
+        yield _batch(["a", "b"], part, [top(x) for x in part])
 
 
 def _own(up: dict[int, int], x: int) -> int:
@@ -271,14 +334,15 @@ def _own(up: dict[int, int], x: int) -> int:
 
 
 def components(edges: DataFrame, block: int = 500_000) -> DataFrame:
-    """node, comp (the smallest node of its component, which has no row itself). Links are first joined up within
-    tasks of about ``block`` links each; where that takes several tasks, large-star and
-    small-star rounds join up the rest. Each round's links are written, so that none is
-    made twice. edges: a, b."""
-    links = C.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    """node, comp (the smallest node of its component, which has no row itself). Links are
+    first joined up within tasks of about ``block`` links each; where that takes several
+    tasks, large-star and small-star rounds join up the rest. Each round's links are
+    written, so that none is made twice. edges: a, b."""
+    links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = C.written(links.where("a <> b").distinct())
     tasks = -(-links.count() // block)
-    links = C.written(links.repartition(tasks).mapInArrow(joined_up, "a long, b long") if tasks > 1 else links.coalesce(1).mapInArrow(joined_up, "a long, b long"))
-    links = links.where("a <> b")
+    dealt = links.repartition(tasks) if tasks > 1 else links.coalesce(1)
+    links = C.written(dealt.mapInArrow(joined_up, "a long, b long")).where("a <> b")
     if tasks <= 1:
         return links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     before = None
@@ -287,65 +351,123 @@ def components(edges: DataFrame, block: int = 500_000) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        links = C.written(small)
+        own, other = F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(low, "a").select(F.explode(F.array(own, other)).alias("e")).select("e.a", "e.b")
+        links = C.written(small.where("a <> b").distinct())
         now = tuple(links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return links.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "node")
         before = now
 
 
-def fits(a_n: str, b_n: str, a_at: str, b_at: str, percent: int):
-    """Whether sizes and places allow the required overlap."""
-    need = F.ceil(F.lit(percent) * (F.col(a_n) + F.col(b_n)) / F.lit(100 + percent))
-    most = F.least(a_at, b_at) + 1 + F.least(F.col(a_n) - F.col(a_at) - 1, F.col(b_n) - F.col(b_at) - 1)
-    return (100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n)) & (most >= need)
+def entry(name: str, at: str | None = None) -> list[Column]:
+    """The columns of a list's entry as node ``name``, its size and its place."""
+    pre = f"{at}." if at else ""
+    return [F.col(f"{pre}node").alias(name), F.col(f"{pre}n").alias(f"{name}n"), F.col(f"{pre}at").alias(f"{name}at")]
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, long_list: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+def room(percent: int) -> Column:
+    """Whether T lists are left in both sets from this one on, so that it may be the first
+    in which a and b meet."""
+    t = F.ceil(F.lit(percent) * (F.col("an") + F.col("bn")) / F.lit(100 + percent))
+    return (F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) >= t) & near_sizes(percent)
+
+
+def near_sizes(percent: int) -> Column:
+    return 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
+
+
+def candidates(entries: DataFrame, percent: int, long_list: int) -> DataFrame:
+    """Pairs (a, b, met) of the merged short lists, and of long lists' nodes with one of
+    theirs: the first by hash of those that leave room for a set of their own size."""
+    short = entries.where(F.col("size") <= long_list)
+    both = short.select("h", *entry("a")).join(short.select("h", *entry("b")), "h")
+    both = both.where((F.col("a") < F.col("b")) & near_sizes(percent))
+    merged = both.groupBy("a", "b").agg(F.count("*").alias("met"), F.max(room(percent)).alias("fits"))
+    long = entries.where(F.col("size") > long_list)
+    star = long.select(*entry("a", "pivot"), *entry("b")).where((F.col("a") != F.col("b")) & room(percent))
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).cast("long").alias("met"))
+    pairs = merged.where("fits").select("a", "b", "met").unionByName(star.distinct())
+    return pairs.groupBy("a", "b").agg(F.max("met").alias("met"))
+
+
+def left_over(long: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, met) of long lists between nodes outside the list's main component
+    and those of its other components."""
+    placed = long.join(components(links), "node", "left")
+    placed = C.written(placed.select("h", "node", "n", "at", F.coalesce("comp", "node").alias("comp")))
+    per = placed.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h")
+    per = per.agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    per = per.select("h", F.col("main.comp").alias("main"))
+    outside = placed.join(per, "h").where("comp <> main").select("h", *entry("a"), F.col("comp").alias("ac"))
+    others = placed.join(per, "h").select("h", *entry("b"), F.col("comp").alias("bc"))
+    more = outside.join(others, "h").where((F.col("ac") != F.col("bc")) & room(percent))
+    return more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).cast("long").alias("met")).distinct()
+
+
+#: Parts into which the sets of a component are dealt where they meet its smallest id.
+SALTS = 16
+
+
+def named_sets(base: DataFrame, nodes: DataFrame, links: DataFrame, first: bool) -> DataFrame:
+    """k1, k2, component_id, and with first the uid of the component's first row."""
+    # null ids come last, as first says: a struct of (is null, id, uid) is the order of rows
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
+    own = [F.min("doc_id").alias("low"), *([F.min(place).alias("first_row")] if first else [])]
+    named = base.where("h IS NULL AND n > 0").groupBy("k1", "k2").agg(*own)
+    found = components(links)
+    found = found.unionByName(found.select(F.col("comp").alias("node"), "comp").distinct())
+    comps = nodes.select("node", "k1", "k2").join(found, "node").select("k1", "k2", "comp")
+    sets = C.written(named.join(comps, ["k1", "k2"], "left"))
+    salt = F.pmod(F.col("k1"), F.lit(SALTS)).alias("salt")
+    least = [F.min("low").alias("comp_low"), *([F.min("first_row").alias("comp_first")] if first else [])]
+    lows = sets.where("comp IS NOT NULL").groupBy("comp").agg(*least)
+    lows = lows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    linked = sets.where("comp IS NOT NULL").select("*", salt).join(lows, ["comp", "salt"])
+    got = [F.col("comp_low").alias("component_id"), *([F.col("comp_first.uid").alias("first_uid")] if first else [])]
+    alone = [F.col("low").alias("component_id"), *([F.col("first_row.uid").alias("first_uid")] if first else [])]
+    rest = sets.where("comp IS NULL").select("k1", "k2", *alone)
+    return linked.select("k1", "k2", *got).unionByName(rest)
+
+
+def jaccard_components(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = 4,
+    percent: int = 85,
+    long_list: int = 16,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """doc_id, n_shingles, component_id. With columns of docs named in carry also these, as
     a struct, row, and first: whether the row is the one of its component with the smallest
     id (null ids last, then the first row read); always true without shingles."""
     spark = docs.sparkSession
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    base = base_sets(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)]), k)
+    own = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")]
+    source = docs.select(*own)
+    base = base_sets(docs.select(*own, *[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)]), k)
     frequent = spark.sparkContext.broadcast(level_bitmaps(base))
-    shared = spark.sparkContext.broadcast(C.key_filter(shared_prefix_shingles(source, k, percent, frequent), "h", BITS))
+    shared = spark.sparkContext.broadcast(C.key_filter(shared_heads(source, k, percent, frequent), "h", BITS))
     C.release(spark)
     nodes, texts = nodes_with_lists(source, k, percent, frequent, shared)
 
-    lists = nodes.select("node", "n", F.explode(F.arrays_zip("hs", "at")).alias("p")).select(F.col("p.hs").alias("h"), "node", "n", F.col("p.at").alias("at"))
-    sizes = lists.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "at")).alias("pivot")).where("size > 1")
+    lists = nodes.select("node", "n", F.explode(F.arrays_zip("hs", "at")).alias("p"))
+    lists = lists.select(F.col("p.hs").alias("h"), "node", "n", F.col("p.at").alias("at"))
+    roomy = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
+    pivot = F.min(F.struct((~roomy).alias("late"), F.xxhash64("node").alias("by"), "node", "n", "at")).alias("pivot")
+    sizes = lists.groupBy("h").agg(F.count("*").alias("size"), pivot).where("size > 1")
     entries = C.written(lists.join(sizes, "h"))
     C.release(spark)
-    short = entries.where(F.col("size") <= long_list)
-    a = short.select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"))
-    b = short.select("h", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"))
-    paired = a.join(b, "h").where((F.col("a") < F.col("b")) & fits("an", "bn", "aat", "bat", percent)).select("a", "b")
-    long = entries.where(F.col("size") > long_list)
-    starred = long.select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), F.col("pivot.n").alias("an"), F.col("n").alias("bn"), F.col("pivot.at").alias("aat"), F.col("at").alias("bat")).where((F.col("a") != F.col("b")) & fits("an", "bn", "aat", "bat", percent)).select("a", "b")
-    links = C.written(verified(paired.unionByName(starred).distinct(), texts, k, percent))
-
+    links = C.written(verified(candidates(entries, percent, long_list), texts, k, percent, frequent))
     C.release(spark)
-    placed = long.join(components(links), "node", "left").select("h", "node", "n", "at", F.coalesce("comp", "node").alias("comp"))
-    placed = C.written(placed)
-    per = placed.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("h", F.col("main.comp").alias("main"))
-    if not per.isEmpty():
-        outside = placed.join(per, "h").where("comp <> main").select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("comp").alias("ac"))
-        others = placed.join(per.select("h"), "h").select("h", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("comp").alias("bc"))
-        more = outside.join(others, "h").where((F.col("ac") != F.col("bc")) & fits("an", "bn", "aat", "bat", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = C.written(links.unionByName(verified(more, texts, k, percent)))
+    more = C.written(left_over(entries.where(F.col("size") > long_list), links, percent))
+    if not more.isEmpty():
+        links = C.written(links.unionByName(verified(more, texts, k, percent, frequent)))
 
-    # null ids come last, as first says: a struct of (is null, id, uid) is the order of rows
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
-    named = base.where("h IS NULL AND n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), *([F.min(place).alias("first_row")] if carry else []))
-    comps = nodes.select("node", "k1", "k2").join(components(links), "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("comp"))
-    sets = named.join(comps, ["k1", "k2"], "left")
-    least = [F.min("first_row").alias("comp_first")] if carry else []
-    lows = sets.where("comp IS NOT NULL").groupBy("comp").agg(F.min("low").alias("comp_low"), *least)
-    own = [F.coalesce("comp_first", "first_row")["uid"].alias("first_uid")] if carry else []
-    sets = C.written(sets.join(lows, "comp", "left").select("k1", "k2", F.coalesce("comp_low", "low").alias("component_id"), *own))
-    rows = base.where("h IS NULL")
+    sets, rows = C.written(named_sets(base, nodes, links, bool(carry))), base.where("h IS NULL")
     row = [F.struct(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]).alias("row")] if carry else []
-    full = rows.where("n > 0").join(sets, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *([(F.col("uid") == F.col("first_uid")).alias("first"), *row] if carry else []))
-    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *([F.lit(True).alias("first"), *row] if carry else [])))
+    shown = [F.col("doc_id"), F.col("n").alias("n_shingles")]
+    is_first = [(F.col("uid") == F.col("first_uid")).alias("first")] if carry else []
+    full = rows.where("n > 0").join(sets, ["k1", "k2"]).select(*shown, "component_id", *is_first, *row)
+    alone = [F.lit(True).alias("first")] if carry else []
+    return full.unionByName(rows.where("n = 0").select(*shown, F.col("doc_id").alias("component_id"), *alone, *row))
