@@ -18,6 +18,9 @@ room for T, so it is among the first ``n - ceil(n * percent / 100) + 1`` of both
 5. A head list of more than ``long_list`` nodes isn't merged: its nodes are probed with
    one of them, and only those that this leaves outside the list's main component meet
    the list's nodes of other components. No link between components is lost.
+   Before any text is moved, candidates whose parity bitmaps differ in more bits than
+   sets that link can differ in shingles are dropped: each shingle flips one bit of its
+   set's bitmap, so this never drops a link.
 6. Components come from large-star and small-star rounds over the links.
 
 Rows: ids must be integers (anything that casts to long); null and empty texts, and texts
@@ -40,6 +43,9 @@ from lexispark.llm import common as C
 from lexispark.llm import words as W
 
 BITS = 26
+#: 64-bit words of a set's parity bitmap (a power of 2), and their columns.
+PARITY_WORDS = 8
+PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
 LONG, LONGS = pa.int64(), pa.list_(pa.int64())
 
 
@@ -74,6 +80,16 @@ class Sets:
         return out[0], out[1]
 
 
+    def parities(self) -> list[np.ndarray]:
+        """A bitmap of each set, in words of 64 bits: each shingle flips one bit."""
+        bit = np.left_shift(np.uint64(1), self.flat & np.uint64(63))
+        word, out = (self.flat >> np.uint64(6)) & np.uint64(PARITY_WORDS - 1), []
+        for w in range(PARITY_WORDS):
+            upto = np.concatenate(([np.uint64(0)], np.bitwise_xor.accumulate(np.where(word == w, bit, np.uint64(0)))))
+            out.append(C.signed(upto[self.at[1:]] ^ upto[self.at[:-1]]))
+        return out
+
+
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, Sets]]:
     for lo, words in W.chunks(column, W.LOWER):
         yield lo, Sets(words, k)
@@ -201,9 +217,9 @@ def shared_heads(source: DataFrame, k: int, percent: int, frequent) -> DataFrame
 
 def nodes_with_lists(source: DataFrame, k: int, percent: int, frequent, shared) -> tuple[DataFrame, DataFrame]:
     """One row for each distinct set that has a list in common with another: node, k1, k2,
-    n, and hs and at, its shingles of shared lists and their places; and the texts (node,
-    text), which stay where they were written until a pair asks for them."""
-    names = ["node", "k1", "k2", "n", "text", "hs", "at"]
+    n, its parity bitmap, and hs and at, its shingles of shared lists and their places; and
+    the texts (node, text), which stay where they were written until a pair asks for them."""
+    names = ["node", "k1", "k2", "n", "text", "hs", "at", *PARITY]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, known = Order(frequent.value), C.KeyFilter(shared.value, BITS)
@@ -232,10 +248,12 @@ def nodes_with_lists(source: DataFrame, k: int, percent: int, frequent, shared)
                 at = pa.array(np.concatenate(([0], np.cumsum(met[keep]))), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(x[inside], LONG)) for x in (C.signed(head[hit]), place)]
                 text = batch.column(1).take(pa.array(keep + lo))
-                yield _batch(names, np.arange(uid, uid + len(keep)), k1[keep], k2[keep], sets.n[keep], text, *lists)
+                parities = [p[keep] for p in sets.parities()]
+                yield _batch(names, np.arange(uid, uid + len(keep)), k1[keep], k2[keep], sets.n[keep], text, *lists, *parities)
                 uid += len(keep)
 
     schema = "node long, k1 long, k2 long, n long, text string, hs array<long>, at array<long>"
+    schema += "".join(f", {p} long" for p in PARITY)
     found = C.written(source.mapInArrow(run, schema))
     once = found.groupBy("k1", "k2").agg(F.min("node").alias("node"))
     C.release(source.sparkSession)
@@ -369,17 +387,41 @@ def entry(name: str, at: str | None = None) -> list[Column]:
 def room(percent: int) -> Column:
     """Whether T lists are left in both sets from this one on, so that it may be the first
     in which a and b meet."""
-    t = F.ceil(F.lit(percent) * (F.col("an") + F.col("bn")) / F.lit(100 + percent))
+    t = least_overlap(percent)
     return (F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) >= t) & near_sizes(percent)
 
 
+def least_overlap(percent: int) -> Column:
+    """T of sets of an and bn shingles."""
+    return F.ceil(F.lit(percent) * (F.col("an") + F.col("bn")) / F.lit(100 + percent))
+
+
 def near_sizes(percent: int) -> Column:
     return 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
 
 
+def alike(percent: int) -> Column:
+    """Whether the parity bitmaps of a and b differ in no more bits than sets that link
+    can differ in shingles."""
+    bits = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in PARITY), F.lit(0))
+    return bits <= F.col("an") + F.col("bn") - 2 * least_overlap(percent)
+
+
+def with_parity(rows: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """rows with the size and parity bitmap of the node in column ``name``."""
+    own = nodes.select(F.col("node").alias(name), F.col("n").alias(f"{name}n"), *[F.col(p).alias(f"{name}{p}") for p in PARITY])
+    return rows.join(own, name)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, met) that their parity bitmaps let through."""
+    both = with_parity(with_parity(pairs, nodes, "a"), nodes, "b")
+    return both.where(alike(percent)).select("a", "b", "met")
+
+
 def candidates(entries: DataFrame, percent: int, long_list: int) -> DataFrame:
     """Pairs (a, b, met) of the merged short lists, and of long lists' nodes with one of
-    theirs: the first by hash of those that leave room for a set of their own size."""
+    theirs: the one that has the fewest rarer shingles, so the nearest to what they share."""
     short = entries.where(F.col("size") <= long_list)
     both = short.select("h", *entry("a")).join(short.select("h", *entry("b")), "h")
     both = both.where((F.col("a") < F.col("b")) & near_sizes(percent))
@@ -391,7 +433,7 @@ def candidates(entries: DataFrame, percent: int, long_list: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("met").alias("met"))
 
 
-def left_over(long: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def left_over(long: DataFrame, nodes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, met) of long lists between nodes outside the list's main component
     and those of its other components."""
     placed = long.join(components(links), "node", "left")
@@ -399,9 +441,10 @@ def left_over(long: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     per = placed.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h")
     per = per.agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     per = per.select("h", F.col("main.comp").alias("main"))
-    outside = placed.join(per, "h").where("comp <> main").select("h", *entry("a"), F.col("comp").alias("ac"))
-    others = placed.join(per, "h").select("h", *entry("b"), F.col("comp").alias("bc"))
-    more = outside.join(others, "h").where((F.col("ac") != F.col("bc")) & room(percent))
+    outside = placed.join(per, "h").where("comp <> main").select("h", *entry("a")[::2], F.col("comp").alias("ac"))
+    others = placed.join(per, "h").select("h", *entry("b")[::2], F.col("comp").alias("bc"))
+    outside, others = with_parity(outside, nodes, "a"), with_parity(others, nodes, "b")
+    more = outside.join(others, "h").where((F.col("ac") != F.col("bc")) & room(percent) & alike(percent))
     return more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).cast("long").alias("met")).distinct()
 
 
@@ -453,14 +496,14 @@ def jaccard_components(
 
     lists = nodes.select("node", "n", F.explode(F.arrays_zip("hs", "at")).alias("p"))
     lists = lists.select(F.col("p.hs").alias("h"), "node", "n", F.col("p.at").alias("at"))
-    roomy = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
-    pivot = F.min(F.struct((~roomy).alias("late"), F.xxhash64("node").alias("by"), "node", "n", "at")).alias("pivot")
+    pivot = F.min(F.struct("at", F.xxhash64("node").alias("by"), "node", "n")).alias("pivot")
     sizes = lists.groupBy("h").agg(F.count("*").alias("size"), pivot).where("size > 1")
     entries = C.written(lists.join(sizes, "h"))
     C.release(spark)
-    links = C.written(verified(candidates(entries, percent, long_list), texts, k, percent, frequent))
+    pairs = plausible(candidates(entries, percent, long_list), nodes, percent)
+    links = C.written(verified(pairs, texts, k, percent, frequent))
     C.release(spark)
-    more = C.written(left_over(entries.where(F.col("size") > long_list), links, percent))
+    more = C.written(left_over(entries.where(F.col("size") > long_list), nodes, links, percent))
     if not more.isEmpty():
         links = C.written(links.unionByName(verified(more, texts, k, percent, frequent)))
 
