@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import common as C
+from lexispark.llm import words as W
 
 #: Bitmaps of 8 MB.
 BITS = 26
@@ -41,41 +42,11 @@ BITS = 26
 RUN = 1 << 10
 
 
-class Sums:
-    """Hashes of any run of words of a sequence in constant time: sums of words times
-    powers of an odd base, modulo 2**64."""
-
-    BASE = 0x9E3779B97F4A7C15
-    _inverse = pow(BASE, -1, 1 << 64)
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        def powers(b: int) -> np.ndarray:
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            return np.cumprod(p)
-
-        self.up, self.down = powers(self.BASE), powers(self._inverse)
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        n = len(words)
-        if len(self.up) < n + 1:
-            self._grow(max(4096, 2 * n))
-        out = np.zeros(n + 1, np.uint64)
-        np.cumsum(C.mix(words ^ np.uint64(0xA0761D6478BD642F)) * self.up[:n], out=out[1:])
-        return out
-
-    def runs(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return C.mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-
 class Paths:
     """Minimiser, content and coordinates of the paths of a document."""
 
     def __init__(self, k: int, m: int) -> None:
-        self.k, self.m, self.hashes, self.sums = k, m, C.WordHashes(), Sums()
+        self.k, self.m, self.hashes, self.sums = k, m, C.WordHashes(), W.Sums()
 
     def minimisers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The word hashes, the first window of each path, and its minimiser's hash."""

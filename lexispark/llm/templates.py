@@ -19,57 +19,61 @@ names; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import common as C
+from lexispark.llm import words as W
 
-_DIGIT = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+#: What a token with a digit counts as.
+FIELD = b"<*>"
+_IS_DIGIT = bytes(48 <= c <= 57 for c in range(256))
 _LAST = (1 << 63) - 1
 
 
 class Tree:
     def __init__(self, lead: int, parts: int, least: int, least_general: int) -> None:
         self.lead, self.parts, self.least, self.least_general = lead, parts, least, least_general
-
-    def keys(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, line and template of every line of a batch that may be dropped."""
-        row, line, size, segs = [], [], [], []
-        digest, lead, parts = xxhash.xxh3_64_intdigest, self.lead, self.parts
-        for r, t in enumerate(texts):
-            if not t:
-                continue
-            for i, raw in enumerate(t.encode("utf-8").split(b"\n")):
-                tokens = _DIGIT.sub(b"<*>", raw).split()
-                n = len(tokens)
-                if n < self.least:
-                    continue
-                rest = n - lead
-                cuts = [lead + rest * j // parts for j in range(parts + 1)]
-                row.append(r)
-                line.append(i)
-                size.append(n)
-                segs.append([digest(b" ".join(tokens[:lead])), *(digest(b" ".join(tokens[cuts[j] : cuts[j + 1]])) for j in range(parts))])
-        if not row:
-            e = np.empty(0, np.int64)
-            return e, e, e.astype(np.uint64)
-        n, s = np.array(size), np.array(segs, np.uint64)
-        leaf = C.mix(s[:, 0] ^ C.mix(n.astype(np.uint64)))
-        placed = C.mix(s[:, 1:] + np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        whole = placed.sum(axis=1, dtype=np.uint64)
+        self.sums = W.Sums()
+        self.field = W.Words(FIELD, np.array([0, len(FIELD)]), W.BLANK).h[0]
+
+    def keys(self, words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, line and template of every line that may be dropped. words: tokens of a
+        few texts."""
+        raw, lead, parts = np.frombuffer(words.raw, np.uint8), self.lead, self.parts
+        h = words.h.copy()
+        digits = np.flatnonzero(np.frombuffer(words.raw.translate(_IS_DIGIT), bool))
+        h[np.searchsorted(words.start, digits, side="right") - 1] = self.field
+        breaks = np.flatnonzero(raw == 10)
+        text = np.repeat(np.arange(len(words.bounds) - 1), words.counts())
+        above = np.searchsorted(breaks, words.start)  # line breaks before each token
+        new = np.empty(len(h), bool)
+        new[:1] = True
+        new[1:] = (above[1:] != above[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(h)))
+        first, n = first[n >= self.least], n[n >= self.least]
+        text, line = text[first], above[first]
+        line = line - np.searchsorted(breaks, words.bounds[:-1])[text]
+        sums, rest = self.sums.of(h), n - lead
+        cuts = [first + lead + rest * j // parts for j in range(parts + 1)]
+        leaf = C.mix(self.sums.runs(sums, first, first + lead) ^ C.mix(n.astype(np.uint64)))
+        placed = [
+            C.mix(self.sums.runs(sums, cuts[j], cuts[j + 1]) + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15 >> 3))
+            for j in range(parts)
+        ]
+        whole = sum(placed[1:], placed[0])
         general = n >= self.least_general
         # a template of kind j > 0 lacks run j; the kind is part of the key
-        cols = [C.mix(leaf + whole)]
-        cols += [C.mix(leaf + whole - placed[:, j] + np.uint64(j + 1) * np.uint64(0xD1342543DE82EF95)) for j in range(parts)]
-        rows, lines = np.array(row), np.array(line)
-        many = [(rows, lines, cols[0])] + [(rows[general], lines[general], c[general]) for c in cols[1:]]
+        kind = [np.uint64((j + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1) for j in range(parts)]
+        many = [(text, line, C.mix(leaf + whole))]
+        for j in range(parts):
+            many.append((text[general], line[general], C.mix(leaf + whole - placed[j] + kind[j])[general]))
         return tuple(np.concatenate(x) for x in zip(*many, strict=True))
 
 
@@ -82,17 +86,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(names)])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in C.batches(it):
-            for lo in range(0, len(ids), 4000):
-                row, line, key = tree.keys(texts[lo : lo + 4000])
-                if not len(key):
-                    continue
-                doc = np.array([_LAST if d is None else d for d in ids[lo : lo + 4000]], np.int64)[row]
-                order = np.lexsort((line, doc, key))
-                key, doc, line, row = key[order], doc[order], line[order], row[order]
-                new = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
-                pairs = np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]))).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(key[new])), pa.array(np.add.reduceat(pairs, new)), pa.array(doc[new]), pa.array(line[new])], names=["key", "n", "doc", "line"])
+        def sums(found: list[tuple]) -> pa.RecordBatch:
+            key, doc, line, row = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((line, doc, key))
+            key, doc, line, row = key[order], doc[order], line[order], row[order]
+            same = key[1:] == key[:-1]
+            new = np.flatnonzero(np.concatenate(([True], ~same)))
+            pairs = np.concatenate(([True], ~same | (row[1:] != row[:-1]))).astype(np.int64)
+            cols = C.signed(key[new]), np.add.reduceat(pairs, new), doc[new], line[new]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "n", "doc", "line"])
+
+        for b in it:
+            ids = b.column(0).fill_null(_LAST).to_numpy()
+            found, size = [], 0
+            for lo, words in W.chunks(b.column(1), W.BLANK):
+                row, line, key = tree.keys(words)
+                if len(key):
+                    found.append((key, ids[lo + row], line, lo + row))
+                    size += len(key)
+                if size > 300_000:
+                    yield sums(found)
+                    found, size = [], 0
+            if found:
+                yield sums(found)
 
     counted = source.select("_id", "_text").mapInArrow(count, "key long, n long, doc long, line long")
     recurring = C.written(counted.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "line")).alias("first")).where(F.col("n") >= min_docs).select("key", "first"))
@@ -101,15 +117,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, uid = C.KeyFilter(sent.value), TaskContext.get().partitionId() << 36
         for b in it:
-            texts = b.column(1).to_pylist()
-            row, line, key = tree.keys(texts)
-            hit = known.has(key) if len(key) else np.zeros(0, bool)
-            row, line, key = row[hit], line[hit], key[hit]
+            none = np.empty(0, np.int64)
+            rows, lines, keys = [none], [none], [none]
+            for lo, words in W.chunks(b.column(1), W.BLANK):
+                row, line, key = tree.keys(words)
+                hit = known.has(key)
+                rows.append(lo + row[hit])
+                lines.append(line[hit])
+                keys.append(C.signed(key[hit]))
+            row, line, key = (np.concatenate(x) for x in (rows, lines, keys))
             order = np.argsort(row, kind="stable")
-            row, line, key = row[order], line[order], key[order]
-            at = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int64())) for x in (line, C.signed(key))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(uid, uid + b.num_rows)), *lists], names=[*b.schema.names, "_uid", "_lines", "_keys"])
+            at = pa.array(np.searchsorted(row[order], np.arange(b.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(x[order], pa.int64())) for x in (line, key)]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(np.arange(uid, uid + b.num_rows)), *lists],
+                names=[*b.schema.names, "_uid", "_lines", "_keys"],
+            )
             uid += b.num_rows
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
