@@ -76,14 +76,19 @@ def gram_hashes(words: np.ndarray, k: int, family: int = 0) -> np.ndarray:
 
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
     """Position of the smallest value (the last of equals) in each run of w values."""
-    n = len(x) - w + 1
-    best, at = x[:n].copy(), np.arange(n)
-    for i in range(1, w):
-        other = x[i : i + n]
-        less = other <= best
-        np.copyto(best, other, where=less)
-        at[less] = np.nonzero(less)[0] + i
-    return at
+    if len(x) < w:
+        return np.empty(0, np.int64)
+    best, at, width = x, np.arange(len(x)), 1
+
+    def joined(shift: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(best) - shift
+        later = best[shift:] <= best[:n]
+        return np.where(later, best[shift:], best[:n]), np.where(later, at[shift:], at[:n])
+
+    while 2 * width <= w:
+        best, at = joined(width)
+        width *= 2
+    return joined(w - width)[1] if width < w else at
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -106,8 +106,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:]]
     base = C.written(source.mapInArrow(run, ", ".join(["uid long, doc_id long, n_words long, starts array<int>, wins array<string>", *kept])))
     hits = base.where(F.size("wins") > 0).select("uid", F.explode(F.arrays_zip("starts", "wins")).alias("h")).select("uid", F.col("h.starts").alias("start"), F.col("h.wins").alias("win"))
-    windows = found.where("NOT is_fp").groupBy("win", "n").agg(F.collect_set("item_id").alias("ids"))
-    true = hits.join(windows, "win").groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
+    windows = found.where("NOT is_fp").select("win", "n", "item_id").distinct()
+    true = hits.join(windows.select("win", "n").distinct(), "win").select("uid", "win", F.struct("start", (F.col("start") + F.col("n")).alias("end")).alias("hit"))
+    named = true.select("uid", "win").distinct().join(windows.select("win", "item_id"), "win").groupBy("uid").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    true = true.groupBy("uid").agg(F.sort_array(F.collect_set("hit")).alias("hits")).join(named, "uid")
     merged = F.aggregate(
         "hits",
         F.expr("cast(array() as array<struct<start:int,end:int>>)"),

@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": oracles.OP1, "op2_substrings": oracles.OP2, "op4_quality": oracles.OP4, "op5_chat": oracles.OP5, "op6_jaccard": oracles.OP6, "op9_suffixes": oracles.OP9}
+    return {"op1_decontaminate": oracles.OP1, "op2_substrings": oracles.OP2, "op4_quality": oracles.OP4, "op5_chat": oracles.OP5, "op6_jaccard": oracles.OP6, "op9_suffixes": oracles.OP9, "op10_lines": oracles.OP10}

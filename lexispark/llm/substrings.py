@@ -14,10 +14,13 @@ are what is exchanged, so a graph of n words costs about 2n / (k - m + 2) rows:
    their first source;
 4. the coordinates that are removed are merged to spans, document by document.
 
-Equality is that of two independent 64-bit hashes (minimiser and path, or minimiser and
-edge). A window counts as repeated if it also starts in a document with a smaller id.
+Each path is a unitig of its minimiser: a full graph of single edges, compacted by joins
+on in- and out-degrees, would exchange every word of the corpus with 40 bytes of keys.
+Equality is that of two 64-bit hashes made of 64-bit hashes of the words (minimiser and
+path, or minimiser and edge). A window counts as repeated if it also starts in a document
+with a smaller id.
 
-Rows: null texts have no words; a null id neither loses words nor is a source; repeated
+Rows: ids must be integers (anything that casts to long); null texts have no words; a null id neither loses words nor is a source; repeated
 rows of one id lose the same words each, and aren't sources for each other; other
 columns are ignored; an empty table gives no rows.
 """
@@ -43,126 +46,190 @@ RUN = 1 << 10
 
 
 class Paths:
-    """Minimiser, content and coordinates of the paths of a document."""
+    """Paths of a few texts: text, minimiser, first window (a word's place in the text) and
+    number of windows of each."""
 
-    def __init__(self, k: int, m: int) -> None:
-        self.k, self.m, self.hashes, self.sums = k, m, C.WordHashes(), W.Sums()
+    def __init__(self, words: W.Words, k: int, m: int) -> None:
+        self.words, self.k = words, k
+        grams = C.gram_hashes(words.h, m)
+        at = C.sliding_argmin(grams, k - m + 1)
+        left = np.repeat(words.first[1:], words.counts()) - np.arange(len(words.h))
+        inside = np.flatnonzero(left[: len(at)] >= k)  # windows that lie in one text
+        new = np.empty(len(inside), bool)
+        new[:1] = True
+        new[1:] = (at[inside[1:]] != at[inside[:-1]]) | (inside[1:] != inside[:-1] + 1)
+        begin = np.flatnonzero(new)
+        self.first, self.n = inside[begin], np.diff(np.append(begin, len(inside)))
+        self.text = np.searchsorted(words.first, self.first, side="right") - 1
+        self.h = grams[at[self.first]]
 
-    def minimisers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The word hashes, the first window of each path, and its minimiser's hash."""
-        x = self.hashes.of(words)
-        grams = C.gram_hashes(x, self.m)
-        at = C.sliding_argmin(grams, self.k - self.m + 1)
-        first = np.concatenate(([0], np.nonzero(np.diff(at))[0] + 1))
-        return x, first, grams[at[first]]
+    def pick(self, keep: np.ndarray) -> None:
+        self.text, self.h, self.first, self.n = self.text[keep], self.h[keep], self.first[keep], self.n[keep]
 
-    def cut(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Minimiser, content hash, first window and number of windows of each path."""
-        x, first, h = self.minimisers(words)
-        n = np.diff(np.append(first, len(words) - self.k + 1))
-        return h, self.sums.runs(self.sums.of(x), first, first + n + self.k - 1), first, n
+    def contents(self, sums: W.Sums) -> np.ndarray:
+        """A hash of all words of each path."""
+        return sums.runs(sums.of(self.words.h), self.first, self.first + self.n + self.k - 1)
 
+    def runs(self) -> np.ndarray:
+        return (self.first - self.words.first[self.text]) * RUN + self.n
 
-def lowest_and_highest(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
-    new = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
-    last = np.append(new[1:], len(h)) - 1
-    return h[new], d[new], d[last]
+
+def paths_of(column: pa.Array, k: int, m: int) -> Iterator[tuple[int, Paths]]:
+    for lo, words in W.chunks(column, W.BLANK):
+        yield lo, Paths(words, k, m)
+
+
+def _batch(names: str, *cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names=names.split())
 
 
 def repeated_minimisers(docs: DataFrame, k: int, m: int) -> DataFrame:
     """h of minimisers that lie in two documents or more. docs: doc_id, text."""
 
+    def ends(hs: list[np.ndarray], ds: list[np.ndarray]) -> pa.RecordBatch:
+        h, d = np.concatenate(hs), np.concatenate(ds)
+        order = np.argsort(h)
+        h, d = h[order], d[order]
+        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        low = np.minimum.reduceat(d, new)
+        return _batch("h low more", C.signed(h[new]), low, np.maximum.reduceat(d, new) - low)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = Paths(k, m)
-        for ids, texts in C.batches(it):
-            hs, ds, n = [], [], 0
-            for i, (d, t) in enumerate(zip(ids, texts, strict=True)):
-                words = C.blank_words(t)
-                if d is not None and len(words) >= k:
-                    h = np.unique(paths.minimisers(words)[2])
-                    hs.append(h)
-                    ds.append(np.full(len(h), d, np.int64))
-                    n += len(h)
-                if hs and (n > 500_000 or i == len(ids) - 1):
-                    h, low, high = lowest_and_highest(np.concatenate(hs), np.concatenate(ds))
-                    yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(low), pa.array(high)], names=["h", "low", "high"])
-                    hs, ds, n = [], [], 0
-            if hs:
-                h, low, high = lowest_and_highest(np.concatenate(hs), np.concatenate(ds))
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(low), pa.array(high)], names=["h", "low", "high"])
-
-    found = docs.mapInArrow(run, "h long, low long, high long").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        hs, ds, size = [], [], 0
+        for b in it:
+            ids, known = b.column(0).fill_null(0).to_numpy(), b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for lo, paths in paths_of(b.column(1), k, m):
+                keep = known[lo + paths.text]
+                hs.append(paths.h[keep])
+                ds.append(ids[lo + paths.text][keep])
+                size += len(hs[-1])
+                if size > 1_000_000:
+                    yield ends(hs, ds)
+                    hs, ds, size = [], [], 0
+        if size:
+            yield ends(hs, ds)
+
+    found = docs.mapInArrow(run, "h long, low long, more long").groupBy("h")
+    found = found.agg(F.min("low").alias("low"), F.max(F.col("low") + F.col("more")).alias("high"))
     return found.where("low < high").select("h")
 
 
-def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Documents (uid, doc_id, n_words, whole_sha256, and the text if a path of it may
-    repeat), and the windows to remove (uid, run: RUN times the first plus how many, source:
-    a document with a smaller id that has them)."""
-    spark = docs.sparkSession
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    sent = spark.sparkContext.broadcast(C.key_filter(repeated_minimisers(source, k, m), "h", BITS))
-    C.release(spark)
+def filtered(rows: DataFrame, col: str, keys: DataFrame) -> DataFrame:
+    """rows whose ``col`` may be among the keys: a bitmap drops nearly all others before
+    they are shuffled."""
+    sent = rows.sparkSession.sparkContext.broadcast(C.key_filter(keys, col, BITS))
+    at = rows.columns.index(col)
 
-    def second(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, paths, uid = C.KeyFilter(sent.value, BITS), Paths(k, m), TaskContext.get().partitionId() << 36
-        for ids, texts in C.batches(it):
-            cols: list[list] = [[] for _ in range(8)]
-            for d, t in zip(ids, texts, strict=True):
-                words = C.blank_words(t)
-                row: list = [None, None, None, None]
-                if d is not None and len(words) >= k:
-                    h, c, first, n = paths.cut(words)
-                    hit = known.has(h)
-                    if hit.any():
-                        row = [t, C.signed(h[hit]), C.signed(c[hit]), first[hit] * RUN + n[hit]]
-                for col, v in zip(cols, (uid, d, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), *row), strict=True):
-                    col.append(v)
-                uid += 1
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), longs, longs, longs), strict=True)], names=["uid", "doc_id", "n_words", "whole_sha256", "text", "hs", "cs", "runs"])
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = C.KeyFilter(sent.value, BITS)
+        for b in it:
+            yield b.filter(pa.array(known.has(b.column(at).to_numpy())))
 
-    base = C.written(source.mapInArrow(second, "uid long, doc_id long, n_words long, whole_sha256 string, text string, hs array<long>, cs array<long>, runs array<long>"))
-    places = base.where("text IS NOT NULL").select("uid", "doc_id", F.explode(F.arrays_zip("hs", "cs", "runs")).alias("p")).select("uid", "doc_id", F.col("p.hs").alias("h"), F.col("p.cs").alias("c"), F.col("p.runs").alias("run"))
+    return rows.mapInArrow(keep, rows.schema)
 
-    compacted = places.groupBy("h", "c").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
-    compacted = C.written(compacted.select("h", "c", "source", (F.col("source") < F.col("last")).alias("again")))
+
+def indexed(source: DataFrame, k: int, m: int, digest: bool) -> DataFrame:
+    """Documents (uid, doc_id, n_words, whole_sha256 if digest, and the text if a path of
+    it may repeat) with minimiser, content and coordinates of those paths (hs, cs, runs: RUN
+    times the first window plus how many). source: doc_id, text."""
+    spark = source.sparkSession
+    sent = spark.sparkContext.broadcast(C.key_filter(repeated_minimisers(source, k, m), "h", BITS))
     C.release(spark)
-    later = places.join(compacted.where("again").select("h", "c", "source"), ["h", "c"]).where("doc_id > source").select("uid", "run", "source")
+    names = "uid doc_id n_words whole_sha256 text hs cs runs".split()
 
-    branching = compacted.groupBy("h").agg(F.count("*").alias("ways"), F.min("source").alias("low"), F.max("source").alias("high")).where("ways > 1 AND low < high").select("h")
-    opened = compacted.join(branching, "h").select(F.xxhash64("h", "c", "source").alias("key"))
-    to_open = spark.sparkContext.broadcast(C.key_filter(opened, "key", BITS))
-    keyed = base.where("text IS NOT NULL").select("uid", "doc_id", "text", F.transform(F.arrays_zip("hs", "cs"), lambda p: F.xxhash64(p["hs"], p["cs"], F.col("doc_id"))).alias("keys"), "hs", "runs")
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sums, uid = C.KeyFilter(sent.value, BITS), W.Sums(), TaskContext.get().partitionId() << 36
+        for b in it:
+            valid = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for lo, paths in paths_of(b.column(1), k, m):
+                words = paths.words
+                paths.pick(known.has(paths.h) & valid[lo + paths.text])
+                size = len(words.bounds) - 1
+                at = np.searchsorted(paths.text, np.arange(size + 1))
+                kept = pa.array(np.arange(lo, lo + size), mask=np.diff(at) == 0)
+                shas = [hashlib.sha256(words.joined(i)).hexdigest() if digest else None for i in range(size)]
+                lists = (C.signed(paths.h), C.signed(paths.contents(sums)), paths.runs())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(uid, uid + size)),
+                        b.column(0).slice(lo, size),
+                        pa.array(words.counts(), pa.int64()),
+                        pa.array(shas, pa.string()),
+                        b.column(1).take(kept),
+                        *[pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int64())) for x in lists],
+                    ],
+                    names=names,
+                )
+                uid += size
+
+    schema = "uid long, doc_id long, n_words long, whole_sha256 string, text string"
+    return C.written(source.mapInArrow(run, schema + ", hs array<long>, cs array<long>, runs array<long>"))
+
+
+def placed(base: DataFrame) -> DataFrame:
+    """The paths of base one by one: uid, doc_id, h, c, run."""
+    some = base.where("text IS NOT NULL").select("uid", "doc_id", F.explode(F.arrays_zip("hs", "cs", "runs")).alias("p"))
+    return some.select("uid", "doc_id", F.col("p.hs").alias("h"), F.col("p.cs").alias("c"), F.col("p.runs").alias("run"))
+
+
+def opened(base: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
+    """Windows (uid, doc_id, h, e, their words' hash, run) of the paths where the graph
+    branches. distinct: h, c, source, one row for each distinct path."""
+    branching = distinct.groupBy("h").agg(F.count("*").alias("ways"), F.min("source").alias("low"), F.max("source").alias("high"))
+    branching = branching.where("ways > 1 AND low < high").select("h")
+    chosen = distinct.join(branching, "h").select(F.xxhash64("h", "c", "source").alias("key"))
+    to_open = base.sparkSession.sparkContext.broadcast(C.key_filter(chosen, "key", BITS))
+    key = F.transform(F.arrays_zip("hs", "cs"), lambda p: F.xxhash64(p["hs"], p["cs"], F.col("doc_id")))
+    keyed = base.where("text IS NOT NULL").select("uid", "doc_id", "text", key.alias("keys"), "hs", "runs")
 
-    def edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, paths = C.KeyFilter(to_open.value, BITS), Paths(k, m)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sums_of = C.KeyFilter(to_open.value, BITS), W.Sums()
         for b in it:
-            for i in range(b.num_rows):
-                hit = known.has(b.column(3)[i].values.to_numpy())
-                if not hit.any():
-                    continue
-                h, run = (b.column(j)[i].values.to_numpy()[hit] for j in (4, 5))
-                first, n = run // RUN, run % RUN
-                at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                sums = paths.sums.of(paths.hashes.of(C.blank_words(b.column(2)[i].as_py())))
-                e = paths.sums.runs(sums, at, at + k)
-                same = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(same, b.column(0)[i].as_py())), pa.array(np.full(same, b.column(1)[i].as_py())), pa.array(np.repeat(h, n)), pa.array(C.signed(e)), pa.array(at * RUN + 1)], names=["uid", "doc_id", "h", "e", "run"])
-
-    single = C.written(keyed.mapInArrow(edges, "uid long, doc_id long, h long, e long, run long"))
-    C.release(spark)
-    firsts = single.groupBy("h", "e").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
-    branched = single.join(firsts, ["h", "e"]).where("doc_id > source").select("uid", "run", "source")
-    return base.select("uid", "doc_id", "n_words", "whole_sha256", "text"), later.unionByName(branched)
+            keys, hs, runs = (b.column(j).flatten().to_numpy() for j in (3, 4, 5))
+            hit = known.has(keys)
+            at = b.column(3).offsets.to_numpy()
+            text = np.repeat(np.arange(b.num_rows), np.diff(at))[hit]
+            h, first, n = hs[hit], runs[hit] // RUN, runs[hit] % RUN
+            some = np.unique(text)
+            for lo, words in W.chunks(b.column(2).take(pa.array(some)), W.BLANK):
+                own = slice(*np.searchsorted(text, (some[lo], some[lo + len(words.bounds) - 2] + 1)))
+                many = n[own]
+                row = np.repeat(np.searchsorted(some, text[own]) - lo, many)
+                place = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                begin = words.first[row] + place
+                e = sums_of.runs(sums_of.of(words.h), begin, begin + k)
+                uid, doc = (b.column(j).take(pa.array(some[lo + row])) for j in (0, 1))
+                yield _batch("uid doc_id h e run", uid, doc, np.repeat(h[own], many), C.signed(e), place * RUN + 1)
+
+    return C.written(keyed.mapInArrow(run, "uid long, doc_id long, h long, e long, run long"))
+
+
+def repeated_words(source: DataFrame, k: int, m: int) -> tuple[DataFrame, DataFrame]:
+    """Documents as of indexed(), and the windows to remove (uid, run, source: the smallest
+    id of a document that has them)."""
+    base = indexed(source, k, m, digest=True)
+    places = placed(base)
+    compacted = places.groupBy("h", "c").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
+    compacted = C.written(compacted.select("h", "c", "source", (F.col("source") < F.col("last")).alias("again")))
+    C.release(source.sparkSession)
+    again = compacted.where("again").select("h", "c", "source")
+    later = filtered(places, "c", again).join(again, ["h", "c"]).where("doc_id > source").select("uid", "run", "source")
+
+    single = opened(base, compacted, k)
+    firsts = single.groupBy("h", "e").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
+    firsts = C.written(firsts.where("source < last").select("h", "e", "source"))
+    C.release(source.sparkSession)
+    branched = filtered(single, "e", firsts).join(firsts, ["h", "e"]).where("doc_id > source")
+    return base, later.unionByName(branched.select("uid", "run", "source"))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 5, keep_text: bool = True) -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 8, keep_text: bool = True
+) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with keep_text kept (the kept words
     joined by blanks; null if nothing was removed)."""
-    base, removed = repeated_words(docs, id_col, text_col, k, m)
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    base, removed = repeated_words(source, k, m)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

@@ -77,12 +77,23 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*many, strict=True))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, lead: int = 2, parts: int = 4, least: int = 3, least_general: int = 8) -> DataFrame:
-    """The rows of docs, their text without the dropped lines, and n_lines and n_dropped
-    (appended; a column of docs of such a name is replaced)."""
+def dedup_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_docs: int = 3,
+    lead: int = 2,
+    parts: int = 4,
+    least: int = 3,
+    least_general: int = 8,
+    counts: tuple[str, str] = ("n_lines", "n_dropped"),
+) -> DataFrame:
+    """The rows of docs, their text without the dropped lines, and the numbers of their lines
+    and of dropped ones (appended under the names in counts; a column of docs of such a name
+    is replaced)."""
     spark = docs.sparkSession
     tree = Tree(lead, parts, least, least_general)
-    names = [c for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_dropped")]
+    names = [c for c in docs.columns if c not in (id_col, text_col, *counts)]
     source = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(names)])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,4 +158,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split("_text", "\n")
     kept = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i.cast("long"))), "\n"))
     named = {id_col: F.col("_id"), text_col: kept, **{c: F.col(f"_c{i}") for i, c in enumerate(names)}}
-    return out.select(*[named[c].alias(c) for c in docs.columns if c in named], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    return out.select(*[named[c].alias(c) for c in docs.columns if c in named], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias(counts[1]))

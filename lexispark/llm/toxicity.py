@@ -213,7 +213,7 @@ PRIOR = np.array([2.0, 2.0, 1.0, 0.5, 0.0, 0.0, -0.5, 0.0, -3.5])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", sample_rows: int = 20_000, most_words: int = 5000, least_weight: float = 3.4, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the columns of docs named in carry.
+    """doc_id, held_out, score, predicted, and a struct, row, of the columns of docs named in carry.
     sample_rows bounds what is learned from; every row is scored."""
     lab = labels.select(labels[label_id_col].alias("k"), labels[label_col].cast("int").alias("toxic")).where(F.col("k").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("k")))
     lab = lab.groupBy("k").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("k"), "k").limit(sample_rows)
@@ -239,4 +239,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     own = docs.select(docs[text_col].alias("_text"), docs[id_col].alias("_id"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)])
     out = own.mapInArrow(score, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[1:]] + ["score double"]))
     flag = F.coalesce(held_out(F.col("_id")), F.lit(False))
-    return out.select(F.col("_id").alias("doc_id"), flag.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry) if c != "doc_id"])
+    return out.select(F.col("_id").alias("doc_id"), flag.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *([F.struct(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]).alias("row")] if carry else []))

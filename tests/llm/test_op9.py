@@ -51,3 +51,19 @@ def test_odd_cases(spark):
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, start int").repartition(4)
     assert sorted(tuple(x) for x in suffixes.repeated_spans(d).collect()) == brute(docs)
     assert suffixes.repeated_spans(d.limit(0)).count() == 0
+
+
+def test_runs_over_the_ends_of_ranges(spark):
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, (i * 7919) % 1000, 1, 1, i) for i in range(900)] + [(i, i % 50, 1 + i % 3, i % 2, i) for i in range(900, 1200)]
+        got = suffixes.compared(spark.createDataFrame(rows, "uid long, doc_id long, h long, c long, run long"), "c")
+        got = got.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    first = {}
+    for _, d, h, c, _ in rows:
+        first[h, c] = min(first.get((h, c), d), d)
+    assert sorted((r.uid, r.source) for r in got if r.doc_id > r.source) == sorted((u, first[h, c]) for u, d, h, c, _ in rows if d > first[h, c])
+    assert sorted((r.h, r.c, r.source) for r in got if r.head) == sorted((*k, v) for k, v in first.items())
