@@ -2,8 +2,12 @@
 of near copies stays, documents with benchmark passages go, and the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
-the columns of documents. n_chars follows the text where lines were dropped. Rows are
-judged one by one, never by id: ids may be null or repeated.
+the columns of documents, whatever their names. n_chars follows the text where lines were
+dropped. Rows are judged one by one, never by id: ids (integers) may be null or repeated.
+
+A null or empty text is no toxic document, has no lines to drop, no near copies and no
+benchmark passage, and is packed as its end id alone. Of equal rows one stays, if they have
+words. Ties go to the smallest id, then to the row read first. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,16 +23,24 @@ from lexispark.session import table
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with low lines before it until docs has no such column."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar scores below 0.5."""
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), carry=tuple(docs.columns))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return scored.where("predicted = 0").select("row.*")
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their recurring lines but the first dropped."""
-    out = templates.dedup_lines(docs)
-    n = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
+    counts = tuple(fresh(docs, c) for c in ("n_lines", "n_dropped"))
+    out = templates.dedup_lines(docs, counts=counts)
+    n = F.when(F.col(counts[1]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
     return out.withColumn("n_chars", n).select(*docs.columns)
 
 
