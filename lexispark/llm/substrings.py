@@ -114,16 +114,16 @@ def repeated_minimisers(docs: DataFrame, k: int, m: int) -> DataFrame:
     return found.where("low < high").select("h")
 
 
-def filtered(rows: DataFrame, col: str, keys: DataFrame) -> DataFrame:
+def filtered(rows: DataFrame, col: str, keys: DataFrame, absent: bool = False) -> DataFrame:
     """rows whose ``col`` may be among the keys: a bitmap drops nearly all others before
-    they are shuffled."""
+    they are shuffled. With absent the others, whose ``col`` is surely none of the keys."""
     sent = rows.sparkSession.sparkContext.broadcast(C.key_filter(keys, col, BITS))
     at = rows.columns.index(col)
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = C.KeyFilter(sent.value, BITS)
         for b in it:
-            yield b.filter(pa.array(known.has(b.column(at).to_numpy())))
+            yield b.filter(pa.array(known.has(b.column(at).to_numpy()) ^ absent))
 
     return rows.mapInArrow(keep, rows.schema)
 
@@ -224,7 +224,7 @@ def repeated_words(source: DataFrame, k: int, m: int) -> tuple[DataFrame, DataFr
 
 
 def dedup_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 8, keep_text: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 5, keep_text: bool = True
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with keep_text kept (the kept words
     joined by blanks; null if nothing was removed)."""
@@ -234,11 +234,11 @@ def dedup_substrings(
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             cols: list[list] = [[] for _ in range(5)]
-            for d, whole, t, spans in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
-                words = C.blank_words(t)
-                edge = np.zeros(len(words) + 1, np.int64)
+            for d, n_words, whole, t, spans in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
                 gone = 0
                 if spans.is_valid and len(spans.values):
+                    words = C.blank_words(t)
+                    edge = np.zeros(len(words) + 1, np.int64)
                     s, n = np.divmod(spans.values.to_numpy(), RUN)
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + n + k - 1, -1)
@@ -247,12 +247,17 @@ def dedup_substrings(
                 if gone:
                     kept = b" ".join([w for w, o in zip(words, out.tolist(), strict=True) if not o])
                     whole = hashlib.sha256(kept).hexdigest()
-                for col, v in zip(cols, (d, len(words), gone, whole, kept.decode() if gone and keep_text else None), strict=True):
+                for col, v in zip(cols, (d, n_words, gone, whole, kept.decode() if gone and keep_text else None), strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
+    removed = C.written(removed.select("uid", "run"))
+    C.release(docs.sparkSession)
+    keys = removed.select(F.xxhash64("uid").alias("key"))
+    keyed = base.select("uid", "doc_id", "n_words", "whole_sha256", "text", F.xxhash64("uid").alias("key"))
     spans = removed.groupBy("uid").agg(F.collect_list("run").alias("spans"))
-    touched = base.where("text IS NOT NULL").join(spans, "uid", "left").select("doc_id", "whole_sha256", "text", "spans")
-    rest = base.where("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
+    touched = filtered(keyed, "key", keys).join(spans, "uid", "left").select("doc_id", "n_words", "whole_sha256", "text", "spans")
+    whole = [F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept")]
+    rest = filtered(keyed.drop("text"), "key", keys, absent=True).select("doc_id", "n_words", *whole)
     out = touched.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string").unionByName(rest)
     return out if keep_text else out.drop("kept")
