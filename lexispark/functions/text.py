@@ -125,3 +125,20 @@ def reference_system(div_type: Column, subtype: Column) -> Column:
         .when(t.isin("textpart", "section", "chapter"), "section")
         .otherwise("unknown")
     )
+
+
+#: Names of levels. Fixed values.
+LEVELS = {1: "Beginner", 2: "Intermediate", 3: "Advanced"}
+
+
+def level_label(level: Column) -> Column:
+    out = F
+    for n, name in LEVELS.items():
+        out = out.when(level == n, F.lit(name))
+    return out.otherwise(F.concat(F.lit("Level "), level.cast("string")))
+
+
+def morphology(pos: Column, features: Column) -> Column:
+    """Part of speech in lower case and the features that are there, joined by commas."""
+    some = F.filter(features, lambda f: F.coalesce(f, F.lit("")) != "")
+    return F.concat_ws(", ", F.lower(F.when(pos != "", pos)), some)

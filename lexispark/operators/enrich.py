@@ -89,3 +89,36 @@ def unwrap_response(c: Column) -> Column:
     bare_text = F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
     wrapped = F.coalesce(*[F.get_json_object(bare_text, f"$.{k}") for k in ("enrichments", "response", "results")])
     return F.when(F.startswith(bare_text, F.lit("[")), bare_text).otherwise(wrapped)
+
+
+def unresolved(words: DataFrame) -> DataFrame:
+    """Contexts that have a translation but no highlight in it: the word's columns with
+    context_id ("id:place"), context and gloss (its own, else the definition)."""
+    own = words.select("*", F.posexplode("contexts").alias("_i", "context"))
+    some = F.trim(F.coalesce("context.translation", F.lit(""))) != ""
+    gloss = F.coalesce(F.when(F.trim("context_definition") != "", F.col("context_definition")), F.col("definition"))
+    found = own.where(some & (F.col("context.translation_highlight_method") == "none"))
+    return found.withColumn("context_id", F.concat_ws(":", "id", "_i")).withColumn("gloss", gloss).drop("_i")
+
+
+def methods(words: DataFrame) -> DataFrame:
+    """method, n: how many translated contexts each highlight method has found."""
+    c = words.select(F.explode("contexts").alias("c"))
+    c = c.where(F.trim(F.coalesce("c.translation", F.lit(""))) != "")
+    return c.groupBy(F.col("c.translation_highlight_method").alias("method")).agg(F.count("*").alias("n"))
+
+
+def requests(words: DataFrame, mode: str) -> DataFrame:
+    """What a provider is asked about each word: full mode has forms and contexts, morph-only
+    no contexts, etymology-only neither."""
+    forms = F.transform("forms", lambda f: F.struct(f["form"].alias("form"), f["morphology"].alias("morphology"))).alias("forms")
+    contexts = F.transform("contexts", lambda c: F.struct(c["ref"].alias("ref"), c["form"].alias("form"), c["sentence"].alias("sentence"))).alias("contexts")
+    more = {"full": [forms, contexts], "morph-only": [forms], "etymology-only": []}
+    if mode not in more:
+        raise ValueError(f"no mode {mode!r}")
+    return words.select("work_id", "id", "lemma", "definition", "pos", *more[mode])
+
+
+def id_union(a: Column, b: Column) -> Column:
+    """The ids of both lists in order, each once."""
+    return F.array_distinct(F.concat(a, b))

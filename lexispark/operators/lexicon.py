@@ -51,3 +51,10 @@ def lookup(words: DataFrame, lexicon: DataFrame, stripped: DataFrame, strip, lem
     miss = miss.join(two.select(lemma), lemma, "left_anti")
     three = longest_prefix(miss, lexicon, lemma, least).join(heads, "headword").select(lemma, "definition")
     return one.unionByName(two).unionByName(three)
+
+
+def by_form(tokens: DataFrame, forms: DataFrame) -> DataFrame:
+    """lemma, form, occurrences: tokens (form) under every lemma that has the form. Tokens
+    are counted before the join. forms: form, lemma."""
+    counted = tokens.groupBy("form").agg(F.count("*").alias("occurrences"))
+    return forms.select("form", "lemma").distinct().join(counted, "form").select("lemma", "form", "occurrences")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from lexispark.operators.enrich import detailed
 from lexispark.operators.highlight import CONFIDENCE
@@ -32,7 +31,8 @@ def check_metadata(meta: DataFrame) -> DataFrame:
 
 def check_words(words: DataFrame) -> DataFrame:
     """work_id, id, code of every word that breaks the contract."""
-    own = words.withColumn("_n", F.count("*").over(W.partitionBy("work_id", "id")))
+    twice = words.where("id IS NOT NULL").groupBy("work_id", "id").agg(F.count("*").alias("_n")).where("_n > 1")
+    own = words.join(twice, ["work_id", "id"], "left")
     any_form = lambda bad: F.coalesce(F.exists("forms", bad), F.lit(False))
     any_context = lambda bad: F.coalesce(F.exists("contexts", bad), F.lit(False))
     has = lambda c: ~blank(c["translation"])
@@ -40,7 +40,7 @@ def check_words(words: DataFrame) -> DataFrame:
     bounds = lambda c: (c["translation_highlight_start"], c["translation_highlight_end"])
     checks = {
         "id.missing": F.col("id").isNull(),
-        "id.duplicate": F.col("id").isNotNull() & (F.col("_n") > 1),
+        "id.duplicate": F.col("_n").isNotNull(),
         "lemma": blank(F.col("lemma")),
         "definition": blank(F.col("definition")),
         "pos": blank(F.col("pos")),
@@ -74,6 +74,18 @@ def check_works(words: DataFrame, meta: DataFrame, index: DataFrame | None = Non
     return out
 
 
+def verdict(meta: DataFrame, *found: DataFrame) -> DataFrame:
+    """work_id, has_reference_system (told, never a failure), failures, ok: whether no check
+    of the work failed. found: frames of violations with a work_id."""
+    rows = found[0].select("work_id")
+    for f in found[1:]:
+        rows = rows.unionByName(f.select("work_id"))
+    per = rows.groupBy("work_id").agg(F.count("*").alias("failures"))
+    failures = F.coalesce("failures", F.lit(0))
+    known = (~blank(F.col("reference_system"))).alias("has_reference_system")
+    return meta.join(per, "work_id", "left").select("work_id", known, failures.alias("failures"), (failures == 0).alias("ok"))
+
+
 def coverage(words: DataFrame) -> DataFrame:
     """One row: words with gloss, etymology, contexts; translated contexts; detail."""
     many = F.coalesce(F.size("forms") >= 2, F.lit(False))

@@ -2,15 +2,17 @@
 
 Random choices follow md5 of seed and id, so that they can be repeated anywhere. A word's
 distractors are its next neighbours on a ring in md5 order, first of its own part of
-speech, then of all: a uniform choice by equi joins, never a join of all with all."""
+speech, then of all, as far as it takes: equi joins in rounds, never a join of all with all."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexispark.functions import text as T
 from lexispark.operators import vocab as V
+from lexispark.session import saved
 
 
 def shade(*parts: Column, seed: int = 0) -> Column:
@@ -23,24 +25,48 @@ def shuffled(items: Column, seed_parts: list[Column], seed: int = 0) -> Column:
     return F.transform(F.sort_array(keyed), lambda s: s["x"])
 
 
+def _ring(own: DataFrame, todo: DataFrame, ring: str, far: bool, n: int, reach: int) -> DataFrame:
+    """id, overlap, far, step, other_id: for each word of todo (id, need) its neighbours on
+    the ring: the first that don't overlap, as many as it needs, and the first n that do.
+    Words that still need some go on, twice as far each time, until their ring is through."""
+    r = saved(V.ranked(own, [ring], "one", "h", prefix=4).select("id", "pos", "definition", F.col(ring).alias("ring"), "rank", "n"))
+    right = r.select("ring", "rank", F.col("id").alias("other_id"), F.col("pos").alias("other_pos"), F.col("definition").alias("other_def"))
+    todo = saved(todo.join(r, "id").select("id", "need", F.col("pos").alias("own_pos"), F.col("definition").alias("own_def"), "ring", F.col("rank").alias("at"), "n"))
+    found, low, high = [], 1, reach
+    while True:
+        steps = todo.withColumn("step", F.explode(F.sequence(F.lit(low), F.lit(high)))).where("step < n")
+        j = steps.withColumn("rank", F.pmod(F.col("at") - 1 + F.col("step"), F.col("n")) + 1).join(right, ["ring", "rank"])
+        j = j.where("own_pos <> other_pos") if far else j
+        j = j.select("id", "need", F.lit(int(far)).alias("far"), "step", T.fold_overlap(F.col("other_def"), F.col("own_def")).alias("overlap"), "other_id")
+        row = F.struct("overlap", "far", "step", "other_id")
+        lists = j.groupBy("id", "need").agg(F.sort_array(F.collect_list(row)).alias("all"))  # high - low + 1 rows at most
+        free, rest = F.filter("all", lambda x: ~x["overlap"]), F.filter("all", lambda x: x["overlap"])
+        got = saved(lists.select("id", "need", F.size(free).alias("free"), F.concat(F.slice(free, 1, n), F.slice(rest, 1, n)).alias("found")))
+        found.append(got.select("id", F.explode("found").alias("x")).select("id", "x.*"))
+        todo = todo.join(got.select("id", "free"), "id", "left").withColumn("need", F.col("need") - F.coalesce("free", F.lit(0))).drop("free")
+        todo = saved(todo.where((F.col("need") > 0) & (F.col("n") > high + 1)))
+        if todo.isEmpty():
+            break
+        low, high = high + 1, min(2 * high, high + 4096)
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def distractors(words: DataFrame, n: int = 3, reach: int = 8, seed: int = 0) -> DataFrame:
     """id, k, other_id: n others of each word, those whose definition overlaps its own
-    only after all that don't, then its own part of speech first, then ring order. ``reach``
-    neighbours of either ring are looked at. words: id, pos, definition."""
-    own = words.select("id", "pos", "definition", shade(F.col("id"), seed=seed).alias("h")).withColumn("one", F.lit(1))
-    cand = []
-    for part, far in ((["pos"], 0), ([], 1)):
-        r = V.ranked(own, part or ["one"], "one", "h", prefix=4)
-        key = "pos" if part else "one"
-        steps = r.select("id", "pos", "definition", key if part else "one", "rank", "n", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("step")).where("step < n")
-        left = steps.select("id", F.col("pos").alias("own_pos"), F.col("definition").alias("own_def"), F.col(key).alias("ring"), "step", (F.pmod(F.col("rank") - 1 + F.col("step"), F.col("n")) + 1).alias("rank"))
-        right = r.select(F.col(key).alias("ring"), "rank", F.col("id").alias("other_id"), F.col("pos").alias("other_pos"), F.col("definition").alias("other_def"))
-        j = left.join(right, ["ring", "rank"])
-        if far:
-            j = j.where("own_pos <> other_pos")
-        cand.append(j.select("id", "other_id", F.lit(far).alias("far"), "step", T.fold_overlap(F.col("other_def"), F.col("own_def")).alias("overlap")))
+    only after all that don't, then its own part of speech first, then ring order. The first
+    ``reach`` neighbours settle nearly all words; the others go on around their rings, as far
+    as it takes, and only they look at other parts of speech. words: id, pos, definition."""
+    own = words.select("id", "pos", "definition", shade(F.col("id"), seed=seed).alias("h"))
+    own = own.withColumn("one", F.lit(1)).withColumn("all", F.lit("all"))
+    near = saved(_ring(own, own.select("id", F.lit(n).alias("need")), "pos", False, n, reach))
+    free = near.where("NOT overlap").groupBy("id").agg(F.least(F.count("*"), F.lit(n)).cast("int").alias("free"))
+    short = saved(own.select("id").join(free, "id", "left").select("id", (n - F.coalesce("free", F.lit(0))).alias("need")).where("need > 0"))
+    found = near if short.isEmpty() else near.unionByName(_ring(own, short, "all", True, n, reach))
     best = F.slice(F.sort_array(F.collect_list(F.struct("overlap", "far", "step", "other_id"))), 1, n)
-    return cand[0].unionByName(cand[1]).groupBy("id").agg(best.alias("b")).select("id", F.posexplode("b").alias("k", "b")).select("id", "k", "b.other_id")
+    return found.groupBy("id").agg(best.alias("b")).select("id", F.posexplode("b").alias("k", "b")).select("id", "k", "b.other_id")
 
 
 def pick_form(forms: Column, lemma: Column, preferred: Column, excluded: Column, pick: Column, need_morphology: bool = False) -> Column:
@@ -58,32 +84,82 @@ def morphology_choices(words: DataFrame, correct: DataFrame, n: int = 3, seed: i
     """id, choices: n morphologies other than the correct one that other words have, in
     seeded order, padded with placeholders. correct: id, morphology.
 
-    A morphology is of another word if more than one word has it or its one word is another;
-    the first n + 2 in seeded order are enough for any word, unless they're its own alone,
-    so each word looks at a list of the whole, made once and as short as the grammar."""
+    A morphology is of another word if more than one word has it or its one word is another.
+    Of the shared ones the first n + 1 in seeded order are enough for any word. Of those of
+    one word alone, the first n of other words belong to the n + 1 words whose first one
+    comes earliest; so both lists are short whatever the grammar."""
     own = words.select("id", F.explode("forms").alias("f")).select("id", F.col("f.morphology").alias("m")).where("m <> ''").distinct()
-    known = own.groupBy("m").agg(F.count("*").alias("owners"), F.min("id").alias("owner"))
-    listed = known.agg(F.sort_array(F.collect_list(F.struct(shade(F.col("m"), seed=seed).alias("k"), "m", "owners", "owner"))).alias("all"))
+    known = saved(own.groupBy("m").agg(F.count("*").alias("owners"), F.min("id").alias("owner")).withColumn("k", shade(F.col("m"), seed=seed)))
+    shared = known.where("owners > 1").orderBy("k", "m").limit(n + 1)
+    single = known.where("owners = 1")
+    firsts = single.groupBy("owner").agg(F.min(F.struct("k", "m")).alias("x"))  # one of each owner: n + 1 owners give n of others
+    alone = firsts.orderBy("x").limit(n + 1).select("owner")
+    alone = single.join(F.broadcast(alone), "owner", "left_semi").select("k", "m", F.lit(1).cast("long").alias("owners"), "owner")
+    most = W.partitionBy("owner").orderBy("k", "m")
+    alone = alone.withColumn("i", F.row_number().over(most)).where(F.col("i") <= n + 1).drop("i")
+    listed = shared.select("k", "m", "owners", "owner").unionByName(alone)  # (n + 1) * (n + 2) rows at most
+    listed = listed.agg(F.sort_array(F.collect_list(F.struct("k", "m", "owners", "owner"))).alias("all")).withColumn("one", F.lit(1))
     fit = F.filter("all", lambda x: (x["m"] != F.col("morphology")) & ((x["owners"] > 1) | (x["owner"] != F.col("id"))))
     taken = F.slice(F.transform(fit, lambda x: x["m"]), 1, n)
     pad = F.array(*[F.lit(f"morphology option {i + 1}") for i in range(n)])
-    one = listed.withColumn("one", F.lit(1))  # a single row
-    return correct.withColumn("one", F.lit(1)).join(F.broadcast(one), "one").select("id", F.concat(taken, F.slice(pad, F.size(taken) + 1, n)).alias("choices"))
-
-
-def build(words: DataFrame, kind: str, seed: int = 0) -> DataFrame:
-    """word_id, type, prompt, correct_answer, choices. kind: greek-to-english or
-    english-to-greek. words: id, lemma, pos, definition, context_definition, forms."""
-    gloss = F.coalesce(T.truthy(F.col("context_definition")), F.col("definition"))
-    w = words.withColumn("gloss", gloss)
-    shown, answer = ("gloss", F.col("gloss")) if kind == "greek-to-english" else ("lemma", F.col("lemma"))
-    d = distractors(words, seed=seed).join(w.select(F.col("id").alias("other_id"), F.col(shown).alias("shown")), "other_id")
-    lists = d.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "shown"))), lambda s: s["shown"]).alias("others"))
-    pick = F.conv(F.substring(shade(F.col("id"), seed=seed), 1, 8), 16, 10).cast("long")
-    form = pick_form(F.col("forms"), F.col("lemma"), F.lit(None).cast("string"), F.expr("cast(array() as array<string>)"), pick)
-    prompt = F.coalesce(form["form"], F.col("lemma")) if kind == "greek-to-english" else F.col("gloss")
-    choices = F.concat(F.array(answer), F.coalesce("others", F.expr("cast(array() as array<string>)")))
-    return w.join(lists, "id", "left").select(F.col("id").alias("word_id"), F.lit(kind).alias("type"), prompt.alias("prompt"), answer.alias("correct_answer"), shuffled(choices, [F.col("id")], seed).alias("choices"))
+    return correct.withColumn("one", F.lit(1)).join(F.broadcast(listed), "one").select("id", F.concat(taken, F.slice(pad, F.size(taken) + 1, n)).alias("choices"))
+
+
+KINDS = ("greek-to-english", "english-to-greek", "form-id")
+
+
+def _draw(key: Column) -> Column:
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+
+
+def build(words: DataFrame, kind: str, seed: int = 0, others: DataFrame | None = None) -> DataFrame:
+    """word_id, type, prompt, correct_answer, choices. kind: one of KINDS. words: id, lemma,
+    pos, definition, context_definition, forms, and exclude_forms if some are not to be asked
+    again. Wrong choices are drawn from others (words, if not given)."""
+    if kind not in KINDS:
+        raise ValueError(f"no question of kind {kind!r}")
+    pool = words if others is None else others
+    none = F.expr("cast(array() as array<string>)")
+    excluded = F.coalesce("exclude_forms", none) if "exclude_forms" in words.columns else none
+    pick, lemma, no_form = _draw(shade(F.col("id"), seed=seed)), F.col("lemma"), F.lit(None).cast("string")
+    if kind == "form-id":
+        form = F.coalesce(*[pick_form(F.col("forms"), lemma, no_form, excluded, pick, need) for need in (True, False)])
+        correct = F.coalesce(T.truthy(form["morphology"]), F.lit("Unknown morphology"))
+        w = words.select("id", F.coalesce(form["form"], lemma).alias("prompt"), correct.alias("morphology"))
+        j = w.join(morphology_choices(pool, w.select("id", "morphology"), seed=seed), "id")
+        choices, answer, prompt = F.concat(F.array("morphology"), F.col("choices")), F.col("morphology"), F.col("prompt")
+    else:
+        gloss = F.coalesce(T.truthy(F.col("context_definition")), F.col("definition"))
+        shown = gloss if kind == "greek-to-english" else lemma
+        d = distractors(pool, seed=seed).join(pool.select(F.col("id").alias("other_id"), shown.alias("shown")), "other_id")
+        lists = d.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "shown"))), lambda s: s["shown"]).alias("others"))
+        form = pick_form(F.col("forms"), lemma, no_form, excluded, pick)
+        prompt, answer = (F.coalesce(form["form"], lemma), gloss) if kind == "greek-to-english" else (gloss, lemma)
+        j, choices = words.join(lists, "id", "left"), F.concat(F.array(answer), F.coalesce("others", none))
+    return j.select(F.col("id").alias("word_id"), F.lit(kind).alias("type"), prompt.alias("prompt"), answer.alias("correct_answer"), shuffled(choices, [F.col("id")], seed).alias("choices"))
+
+
+def ask(words: DataFrame, mode: str, seed: int = 0, others: DataFrame | None = None) -> DataFrame:
+    """A question on each word in a mode; in form-id only on words that have such forms."""
+    w = words.where(eligible(F.col("forms"))) if mode == "form-id" else words
+    w = w.withColumn("_type", question_type(mode, F.col("forms"), shade(F.col("id"), F.lit("type"), seed=seed)))
+    parts = [build(w.where(F.col("_type") == kind), kind, seed, words if others is None else others) for kind in KINDS if mode in ("mixed", kind)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def graded(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """answers with correct: whether they equal their question's answer to the letter."""
+    own = questions.select("question_id", "correct_answer")
+    return answers.join(own, "question_id").withColumn("correct", F.coalesce(F.col("user_answer") == F.col("correct_answer"), F.lit(False)))
+
+
+def metadata(words: DataFrame) -> DataFrame:
+    """What a question shows of its word; absent lists are empty."""
+    lists = [F.coalesce(c, F.expr(f"cast(array() as {words.schema[c].dataType.simpleString()})")).alias(c) for c in ("forms", "contexts")]
+    return words.select("id", "lemma", "definition", "context_definition", *lists)
 
 
 def eligible(forms: Column) -> Column:

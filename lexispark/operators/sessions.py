@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexispark.operators import study as S
 
@@ -36,20 +37,77 @@ def step(index: Column, n: Column, answered: Column, ended: Column, forward: boo
     return F.greatest(index - 1, F.lit(0))
 
 
-def weighted_order(pool: DataFrame, part: str, item: str, weight: str, seed: int = 0) -> DataFrame:
-    """pool with place: a random order in which heavier items come earlier (a weighted
-    draw without replacement), repeatable by its seed."""
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(item).cast("string"))), 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52) + 2)
-    return pool.withColumn("place", -F.log(u) / F.col(weight))
+#: How many of the last words are not asked again, and the weights of words without
+#: statistics (never drawn, and drawn before). Fixed values.
+RECENT, UNSEEN_WEIGHT, DRAWN_WEIGHT = 3, 1.5, 1.0
+
+
+def uniform(*parts: Column, seed: int = 0) -> Column:
+    """A number between 0 and 1 that follows from the seed and the parts."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52) + 2)
 
 
 def seed_queue(states: DataFrame, part: str, item: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """part, queue: k items drawn by weight without replacement, so none comes twice
-    unless the pool has fewer than k, which are then repeated in turn. states: weight."""
-    drawn = weighted_order(states, part, item, "weight", seed)
-    first = drawn.groupBy(part).agg(F.slice(F.sort_array(F.collect_list(F.struct("place", item))), 1, k).alias("d"))
-    items = F.transform("d", lambda x: x[item])
-    return first.select(part, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get(items, F.pmod(i, F.size(items)).cast("int"))).alias("queue"))
+    """part, queue: k draws by weight. A draw leaves out the last three words, those in the
+    column recent (a list, if states has one) and those drawn before; if that leaves none, all
+    words may be drawn. states: part, item, weight (null: no statistics).
+
+    A draw takes the least -log(u) / weight, u from seed, part, item and the draw's number.
+    At most three words are left out and k have a lower weight than before, so the first
+    3 + k of each draw decide it; they are found in blocks of words, then over the blocks."""
+    recent = F.col("recent") if "recent" in states.columns else F.expr(f"cast(array() as array<{states.schema[item].dataType.simpleString()}>)")
+    keep = RECENT + k
+    own = states.select(part, F.col(item).alias("item"), F.coalesce("weight", F.lit(UNSEEN_WEIGHT)).alias("w"), F.col("weight").isNull().alias("fresh"), recent.alias("recent"))
+    drawn = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    e = -F.log(uniform(F.col(part), F.col("item"), F.col("i"), seed=seed))
+    drawn = drawn.select(part, "i", F.pmod(F.xxhash64("item"), F.lit(64)).alias("block"), F.struct((e / F.col("w")).alias("place"), "item", e.alias("e"), "fresh").alias("x"), "recent")
+    top = lambda c: F.slice(F.sort_array(c), 1, keep)
+    blocks = drawn.groupBy(part, "i", "block").agg(top(F.collect_list("x")).alias("x"), F.first("recent").alias("recent"))
+    draws = blocks.groupBy(part, "i").agg(top(F.flatten(F.collect_list("x"))).alias("x"), F.first("recent").alias("recent"))
+    by = draws.groupBy(part).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("draws"), F.first("recent").alias("recent"))
+
+    def draw(acc: Column, d: Column) -> Column:
+        # of words drawn here before, those without statistics weigh less from now on
+        again = F.transform(d["x"], lambda x: F.struct(F.when(x["fresh"] & F.array_contains(acc["queue"], x["item"]), x["e"] / DRAWN_WEIGHT).otherwise(x["place"]).alias("place"), x["item"].alias("item")))
+        free = F.filter(again, lambda x: ~F.array_contains(acc["last"], x["item"]))
+        one = F.array_min(F.when(F.size(free) > 0, free).otherwise(again))["item"]
+        last = F.concat(acc["last"], F.array(one))
+        return F.struct(F.concat(acc["queue"], F.array(one)).alias("queue"), F.slice(last, F.greatest(F.size(last) - RECENT + 1, F.lit(1)), RECENT).alias("last"))
+
+    start = F.struct(F.slice("recent", 1, 0).alias("queue"), F.slice("recent", F.greatest(F.size("recent") - RECENT + 1, F.lit(1)), RECENT).alias("last"))
+    return by.select(part, F.aggregate("draws", start, draw)["queue"].alias("queue"))
+
+
+def adaptive(states: DataFrame, part: str, item: str, seed: int = 0) -> DataFrame:
+    """part, item: the next word to ask, drawn by weight without the last three words; no
+    row for a part without words."""
+    return seed_queue(states, part, item, 1, seed).select(part, F.get("queue", F.lit(0)).alias(item))
+
+
+def appended(queue: DataFrame, more: DataFrame, part: str, order: str) -> DataFrame:
+    """The questions of a session and further ones (order tells theirs), numbered on."""
+    base = queue.groupBy(part).agg((F.max("question_index") + 1).alias("_base"))
+    new = more.withColumn("_i", F.row_number().over(W.partitionBy(part).orderBy(order))).join(base, part, "left")
+    new = new.withColumn("question_index", (F.coalesce("_base", F.lit(0)) + F.col("_i") - 1).cast(queue.schema["question_index"].dataType))
+    return queue.unionByName(new.select(*queue.columns))
+
+
+def restored(saved: DataFrame) -> DataFrame:
+    """Saved sessions in the present form: absent fields take their defaults, the index is
+    clamped to the questions. saved: session_id, version, kind, questions, question_index, ended."""
+    questions = F.coalesce("questions", F.expr(f"cast(array() as {saved.schema['questions'].dataType.simpleString()})"))
+    index = F.greatest(F.lit(0), F.least(F.coalesce("question_index", F.lit(0)), F.size(questions) - 1)).cast("int")
+    return saved.select("session_id", F.lit(VERSION).alias("version"), F.coalesce("kind", F.lit("study")).alias("kind"), questions.alias("questions"), index.alias("question_index"), F.coalesce("ended", F.lit(False)).alias("ended"))
+
+
+#: The version of saved sessions.
+VERSION = 3
+
+
+def resumable(saved: DataFrame) -> DataFrame:
+    """Saved sessions that can go on: they have questions, an index and haven't ended."""
+    return saved.where(F.coalesce(F.size("questions") > 0, F.lit(False)) & F.col("question_index").isNotNull() & ~F.coalesce("ended", F.lit(False)))
 
 
 def history(sessions: DataFrame, n: int = 10) -> DataFrame:

@@ -113,3 +113,8 @@ def upsert(index: DataFrame, new: DataFrame, key: str) -> DataFrame:
     n = new.select(key, *[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_new"))
     out = index.join(n, key, "full_outer")
     return out.select(key, *[F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in cols])
+
+
+def totals(lemmas: DataFrame, *by: str) -> DataFrame:
+    """total_words and unique_lemmas of each work, of lemmas with their frequency."""
+    return lemmas.groupBy(*by).agg(F.sum("frequency").alias("total_words"), F.count("*").alias("unique_lemmas"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from lexispark.operators import quality as Q
 from lexispark.operators import questions as K
 from lexispark.operators import vocab as V
 from lexispark.plans import study
-from lexispark.session import table
+from lexispark.session import shared_dir, table
 from lexispark.streaming import answers as SA
 
 QUERIES: dict = {}
@@ -34,16 +33,16 @@ def part_words(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("pos"), F.concat_ws(" ", "p_name", "p_type").alias("definition"), F.col("p_name").alias("lemma"), F.lit("").alias("context_definition"), F.col("p_size").alias("size"), F.col("p_type").alias("type"))
 
 
-_RING = """w AS (SELECT p_partkey AS id, p_brand AS pos, p_name || ' ' || p_type AS def, md5('0|' || p_partkey) AS h FROM part),
-r1 AS (SELECT *, pos AS ring, row_number() OVER (PARTITION BY pos ORDER BY h) - 1 AS r, count(*) OVER (PARTITION BY pos) AS n FROM w),
-r2 AS (SELECT *, 'all' AS ring, row_number() OVER (ORDER BY h) - 1 AS r, count(*) OVER () AS n FROM w),
-c AS (SELECT a.id, b.id AS other_id, a.def AS d1, b.def AS d2, 0 AS far, step FROM (SELECT *, unnest(range(1, 9)) AS step FROM r1) a JOIN r1 b ON a.ring = b.ring AND (a.r + a.step) % a.n = b.r WHERE a.step < a.n
-UNION ALL SELECT a.id, b.id, a.def, b.def, 1, step FROM (SELECT *, unnest(range(1, 9)) AS step FROM r2) a JOIN r2 b ON (a.r + a.step) % a.n = b.r WHERE a.step < a.n AND a.pos <> b.pos),
-t AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(d1), '[ \\t,;]+'), lambda x: x <> '')) AS b1, list_distinct(list_filter(regexp_split_to_array(lower(d2), '[ \\t,;]+'), lambda x: x <> '')) AS b2 FROM c),
-o AS (SELECT id, other_id, far, step, len(list_intersect(b1, b2)) > 0.5 * least(len(b1), len(b2)) AS overlap FROM t)"""
+# the whole rule: every other word in ring order, of the own part of speech first, overlapping ones last
+_BAG = "list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[ \\t,;]+'), lambda x: x <> ''))"
+_RING = f"""w AS (SELECT p_partkey AS id, p_name AS lemma, p_brand AS pos, {_BAG} AS b, md5('0|' || p_partkey) AS h, p_name || ' ' || p_type AS def FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY h) AS r1, count(*) OVER (PARTITION BY pos) AS n1, row_number() OVER (ORDER BY h) AS r2, count(*) OVER () AS n2 FROM w),
+o AS (SELECT x.id, y.id AS other_id, y.lemma, y.def, len(list_intersect(x.b, y.b)) > 0.5 * least(len(x.b), len(y.b)) AS overlap, CASE WHEN x.pos = y.pos THEN 0 ELSE 1 END AS far,
+ CASE WHEN x.pos = y.pos THEN (y.r1 - x.r1 + x.n1) % x.n1 ELSE (y.r2 - x.r2 + x.n2) % x.n2 END AS step FROM r x JOIN r y ON x.id <> y.id),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap, far, step, other_id) AS k FROM o QUALIFY k <= 3)"""
 
 
-@query("distractors", f"WITH {_RING} SELECT id, CAST(k - 1 AS INTEGER) AS k, other_id FROM (SELECT id, other_id, row_number() OVER (PARTITION BY id ORDER BY overlap, far, step, other_id) AS k FROM o) WHERE k <= 3")
+@query("distractors", f"WITH {_RING} SELECT id, CAST(k - 1 AS INTEGER) AS k, other_id FROM best")
 def distractors(spark, d):
     return K.distractors(part_words(spark, d))
 
@@ -54,14 +53,39 @@ def distractors(spark, d):
     "SELECT p_partkey AS id, array_to_string(list_transform(list_filter(a, lambda x: x.m <> p_type AND (x.owners > 1 OR x.owner <> p_partkey))[1:3], lambda x: x.m), '|') AS choices FROM part, l",
 )
 def form_choices(spark, d):
-    w = part_words(spark, d).withColumn("forms", F.array(F.struct(F.col("lemma").alias("form"), F.col("type").alias("morphology"))))
+    w = form_words(spark, d)
     return K.morphology_choices(w, w.select("id", F.col("type").alias("morphology"))).select("id", F.array_join("choices", "|").alias("choices"))
 
 
-@query("translation_questions")
+def form_words(spark, d):
+    return part_words(spark, d).withColumn("forms", F.array(F.struct(F.col("lemma").alias("form"), F.col("type").alias("morphology"))))
+
+
+def _shown(questions):
+    """Questions with their choices in the order of letters, which no draw decides."""
+    return questions.withColumn("choices", F.array_join(F.array_sort("choices"), "|"))
+
+
+_CHOICES = "array_to_string(list_sort(list_prepend(any_value({answer}), list({shown}))), '|') AS choices"
+
+
+@query(
+    "translation_questions",
+    f"WITH {_RING} SELECT id AS word_id, 'greek-to-english' AS type, any_value(w.lemma) AS prompt, any_value(w.def) AS correct_answer, {_CHOICES.format(answer='w.def', shown='best.def')} FROM w JOIN best USING (id) GROUP BY id "
+    f"UNION ALL SELECT id, 'english-to-greek', any_value(w.def), any_value(w.lemma), {_CHOICES.format(answer='w.lemma', shown='best.lemma')} FROM w JOIN best USING (id) GROUP BY id",
+)
 def translation_questions(spark, d):
-    w = part_words(spark, d).withColumn("forms", F.array(F.struct(F.col("lemma").alias("form"), F.col("type").alias("morphology"))))
-    return K.build(w, "greek-to-english").unionByName(K.build(w, "english-to-greek")).withColumn("choices", F.array_join("choices", "|"))
+    w = form_words(spark, d)
+    return _shown(K.build(w, "greek-to-english").unionByName(K.build(w, "english-to-greek")))
+
+
+@query(
+    "form_questions",
+    "WITH o AS (SELECT p_type AS m, count(*) AS owners, min(p_partkey) AS owner FROM part GROUP BY p_type), l AS (SELECT list({'m': m, 'owners': owners, 'owner': owner} ORDER BY md5('0|' || m), m) AS a FROM o) "
+    "SELECT p_partkey AS word_id, 'form-id' AS type, p_name AS prompt, p_type AS correct_answer, array_to_string(list_sort(list_prepend(p_type, list_transform(list_filter(a, lambda x: x.m <> p_type AND (x.owners > 1 OR x.owner <> p_partkey))[1:3], lambda x: x.m))), '|') AS choices FROM part, l",
+)
+def form_questions(spark, d):
+    return _shown(K.ask(form_words(spark, d), "form-id"))
 
 
 @query(
@@ -107,7 +131,7 @@ def _drained(df, mode: str):
     (in complete mode only the last batch's)."""
     name = f"stream_{uuid.uuid4().hex}"
     spark = df.sparkSession
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lexispark-')).rstrip('/')}/{name}"
+    base = f"{shared_dir(spark)}/{name}"
     out = f"{base}-rows"
     spark.createDataFrame([], df.schema).write.parquet(f"{out}/batch=-1")
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.plans import enrichment, quizzes, study, vocabulary
+from lexispark.plans import contracts, enrichment, quizzes, study, vocabulary
 
-MODULES = (vocabulary, study, enrichment, quizzes)
+MODULES = (vocabulary, study, enrichment, quizzes, contracts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
