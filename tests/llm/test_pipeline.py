@@ -63,3 +63,14 @@ def test_rows_of_null_and_repeated_ids(spark):
     two = stages["benchmark decontamination"](spark, d, SF)
     assert two.columns == docs.columns
     assert key(rows(two)) == key([x for x in made if x[1] != item])
+
+
+def test_columns_of_any_name_and_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["score", "predicted", "held_out", "n_lines", "n_dropped", "row", "uid"]
+    more = docs.selectExpr("*", *[f"doc_id AS {n}" for n in names]).cache()
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, more, SF)
+        assert out.columns == more.columns, name
+        assert all(r[n] == r.doc_id for r in out.collect() for n in names), name
+        assert stage(spark, more.limit(0), SF).count() == 0
