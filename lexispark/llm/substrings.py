@@ -177,7 +177,8 @@ def opened(base: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
     branches. distinct: h, c, source, one row for each distinct path."""
     branching = distinct.groupBy("h").agg(F.count("*").alias("ways"), F.min("source").alias("low"), F.max("source").alias("high"))
     branching = branching.where("ways > 1 AND low < high").select("h")
-    chosen = distinct.join(branching, "h").select(F.xxhash64("h", "c", "source").alias("key"))
+    # a bitmap in place of a join, in which a minimiser of very many paths would meet in one task
+    chosen = filtered(distinct, "h", branching).select(F.xxhash64("h", "c", "source").alias("key"))
     to_open = base.sparkSession.sparkContext.broadcast(C.key_filter(chosen, "key", BITS))
     key = F.transform(F.arrays_zip("hs", "cs"), lambda p: F.xxhash64(p["hs"], p["cs"], F.col("doc_id")))
     keyed = base.where("text IS NOT NULL").select("uid", "doc_id", "text", key.alias("keys"), "hs", "runs")
