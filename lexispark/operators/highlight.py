@@ -134,7 +134,8 @@ def locate_occurrence(text: Column, needle: Column, k: Column) -> Column:
     there is none."""
 
     def place(t: Column, n: Column) -> Column:
-        pieces = F.split(t, F.concat(F.lit(r"\Q"), n, F.lit(r"\E")), -1)
+        quoted = F.replace(n, F.lit(r"\E"), F.lit(r"\E\\E\Q"))  # the needle may end the quotation itself
+        pieces = F.split(t, F.concat(F.lit(r"\Q"), quoted, F.lit(r"\E")), -1)
         before = F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x)) + (k - 1) * F.length(n)
         return F.when((F.length(n) > 0) & (F.size(pieces) > k), before)
 

@@ -9,12 +9,20 @@ from pyspark.sql import functions as F
 
 
 def _rename(df: DataFrame, old: str, new: str) -> None:
+    """Puts old in the place of new. What was there is moved aside first and deleted last,
+    so one of the two is whole at any time."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    src, dst = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
+    src, dst, aside = (jvm.org.apache.hadoop.fs.Path(x) for x in (old, new, f"{new.rstrip('/')}.old-{uuid.uuid4().hex}"))
     fs = dst.getFileSystem(conf)
-    if fs.exists(dst):
-        fs.delete(dst, True)
-    fs.rename(src, dst)
+    before = fs.exists(dst)
+    if before and not fs.rename(dst, aside):
+        raise OSError(f"{new} can't be moved aside")
+    if not fs.rename(src, dst):
+        if before:
+            fs.rename(aside, dst)
+        raise OSError(f"{old} can't be moved to {new}")
+    if before:
+        fs.delete(aside, True)
 
 
 def replace_parquet(df: DataFrame, path: str) -> None:
