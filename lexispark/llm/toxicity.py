@@ -1,18 +1,22 @@
 """Operator 3: toxicity by a weighted finite-state pattern grammar.
 
-A text is read clause by clause. Five transducers run over a clause's words one after
-the other, each reading what the one before it wrote (their composition):
+A text is read clause by clause. Five transducers run over a clause's words, each reading
+the tags and weights that the one before it wrote:
 
 1. insult: a word of the learned lexicon, or one that begins with a learned stem, emits
    its weight; other words emit 0;
 2. threat: a modal followed within a few words by a verb of harm emits a weight;
-3. target: a pronoun in reach of a match raises its weight (names are no targets);
+3. target: a pronoun in reach of a match raises its weight (names are no targets). For
+   pronouns behind the match the clause is first read from right to left;
 4. negation: a negator lowers the matches of the next few words;
 5. reported speech: after a verb of saying, or inside quotes, matches count less. A quote
    goes on over the ends of clauses up to its closing mark, at most to the end of the line
    (marks are double or angle ones; single ones are read as apostrophes);
    a verb of saying reaches over ':' and an opening quote mark.
 
+The last four are composed: one machine whose states are tuples of theirs and whose arcs
+have the product of their weights.
+
 Apostrophes inside words are dropped before any lookup ("don't" is "dont", "i'll" "ill"),
 but contractions with will are a modal as long as the apostrophe is there.
 
@@ -32,6 +36,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +69,85 @@ REACH = {"threat": 6, "target": 4, "negation": 3, "report": 6}
 FACTOR = {"threat": 3.0, "target": 1.25, "negation": 0.6, "report": 0.7}
 N_FIGURES = 8
 
+#: Tags that a symbol of a tape may have, as bits.
+LEXICON, HARM, MODAL, TARGET, NEGATOR, REPORTER, QUOTED, START, AHEAD, THREAT, AIMED, NEGATED, REPORTED = (1 << i for i in range(13))
+MATCH = LEXICON | THREAT
+CLASSES = ((HARM, HARM_VERBS), (MODAL, THREAT_MODALS), (TARGET, TARGETS), (NEGATOR, NEGATORS), (REPORTER, REPORTERS))
+TAGS = {w: sum(tag for tag, words in CLASSES if w in words) for _, own in CLASSES for w in own}
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Its state is the number of words since the last one tagged ``opens``, up to
+    ``reach``; the state beyond that is the one it begins in, and a word tagged ``reset``
+    leads back there. An arc reads a symbol and writes it; where the symbol has a tag of
+    ``reads`` and none of ``unless``, and the state entered is within reach or the symbol
+    is tagged ``anyway``, it adds the tag ``writes``, and has a weight: x becomes
+    (x + add) * times."""
+
+    opens: int
+    reach: int
+    reads: int
+    writes: int
+    unless: int = 0
+    anyway: int = 0
+    reset: int = START
+    add: float = 0.0
+    times: float = 1.0
+
+    @property
+    def begin(self) -> int:
+        return self.reach + 1
+
+    def arc(self, state: int, symbol: int) -> tuple[int, int, float, float]:
+        """The state entered, the symbol written, and the weight (add, times)."""
+        if symbol & self.reset:
+            state = self.begin
+        state = 0 if symbol & self.opens else min(state + 1, self.begin)
+        if symbol & self.reads and not symbol & self.unless and (state <= self.reach or symbol & self.anyway):
+            return state, symbol | self.writes, self.add, self.times
+        return state, symbol, 0.0, 1.0
+
+
+class Lookahead(Transducer):
+    """A transducer that reads from right to left: what it writes depends on the words
+    behind the one read, up to the next ``reset``, not on that word itself."""
+
+    def arc(self, state: int, symbol: int) -> tuple[int, int, float, float]:
+        out = symbol | self.writes if state <= self.reach else symbol
+        near = 1 if symbol & self.opens else min(state + 1, self.begin)
+        return self.begin if symbol & self.reset else near, out, 0.0, 1.0
+
+
+class Composition:
+    """Transducers as one, each reading what the one before it writes. Its states are
+    tuples of theirs, its weights (times, plus) map x to x * times + plus. An arc is made
+    when it is first read, so there are no more than states times symbols of them."""
+
+    def __init__(self, *parts: Transducer) -> None:
+        self.parts, self.begin = parts, tuple(p.begin for p in parts)
+        self.arcs: dict[tuple, tuple] = {}
+
+    def arc(self, state: tuple[int, ...], symbol: int) -> tuple[tuple[int, ...], int, float, float]:
+        found = self.arcs.get((state, symbol))
+        if found is None:
+            entered, out, times, plus = [], symbol, 1.0, 0.0
+            for part, s in zip(self.parts, state, strict=True):
+                s, out, add, by = part.arc(s, out)
+                entered.append(s)
+                times, plus = times * by, (plus + add) * by
+            found = self.arcs[state, symbol] = (tuple(entered), out, times, plus)
+        return found
+
+
+AHEAD_OF = Lookahead(TARGET, REACH["target"], 0, AHEAD)
+FORWARD = (
+    Transducer(MODAL, REACH["threat"], HARM, THREAT, add=FACTOR["threat"]),
+    Transducer(TARGET, REACH["target"], MATCH, AIMED, anyway=AHEAD, times=FACTOR["target"]),
+    Transducer(NEGATOR, REACH["negation"], MATCH, NEGATED, times=FACTOR["negation"]),
+    Transducer(REPORTER, REACH["report"], MATCH, REPORTED, unless=NEGATED, anyway=QUOTED, reset=0, times=FACTOR["report"]),
+)
+
 
 class Grammar:
     """The composed transducers over a learned lexicon of words and stems ("abcd*")."""
@@ -72,6 +156,7 @@ class Grammar:
         self.words = {w: x for w, x in lexicon.items() if not w.endswith("*")}
         self.stems = {w[:-1]: x for w, x in lexicon.items() if w.endswith("*")}
         self.known: dict[str, float] = {}
+        self.ahead, self.forward = Composition(AHEAD_OF), Composition(*FORWARD)
 
     def insult(self, word: str) -> float:
         x = self.known.get(word)
@@ -82,36 +167,29 @@ class Grammar:
             self.known[word] = x
         return x
 
+    def tape(self, words: list[str], weights: list[float], quoted: set[int], starts: set[int], modals: set[int]) -> list[int]:
+        """The tags of each word, as the insult transducer and the clause's marks write them."""
+        tape = [TAGS.get(w, 0) | (LEXICON if x > 0 else 0) for w, x in zip(words, weights, strict=True)]
+        for places, tag in ((quoted, QUOTED), (starts, START), (modals, MODAL)):
+            for i in places:
+                if i < len(tape):
+                    tape[i] |= tag
+        return tape
+
     def clause(self, words: list[str], weights: list[float], quoted: set[int] = frozenset(), starts: set[int] = frozenset(), modals: set[int] = frozenset()) -> tuple[float, int, int]:
         """Score, matches, and matches that negation or report lowered. quoted: places inside
         quotes; starts: those behind a ':', where all but the report begins anew; modals: contractions with will."""
-        score, n, lowered = 0.0, 0, 0
-        armed = negated = reported = aimed = -99
-        end = min((p for p in starts if p > 0), default=len(words))
-        for i, (w, x) in enumerate(zip(words, weights, strict=True)):
-            if i in starts:
-                armed = negated = aimed = -99
-                end = min((p for p in starts if p > i), default=len(words))
-            if w in THREAT_MODALS or i in modals:
-                armed = i
-            if w in TARGETS:
-                aimed = i
-            if w in NEGATORS:
-                negated = i
-            if w in REPORTERS:
-                reported = i
-            if w in HARM_VERBS and i - armed <= REACH["threat"]:
-                x += FACTOR["threat"]
-            if x > 0:
-                if i - aimed <= REACH["target"] or any(v in TARGETS for v in words[i + 1 : min(end, i + 1 + REACH["target"])]):
-                    x *= FACTOR["target"]
-                if i - negated <= REACH["negation"]:
-                    x *= FACTOR["negation"]
-                    lowered += 1
-                elif i in quoted or i - reported <= REACH["report"]:
-                    x *= FACTOR["report"]
+        tape = self.tape(words, weights, quoted, starts, modals)
+        state = self.ahead.begin
+        for i in range(len(tape) - 1, -1, -1):
+            state, tape[i], _, _ = self.ahead.arc(state, tape[i])
+        score, n, lowered, state = 0.0, 0, 0, self.forward.begin
+        for symbol, x in zip(tape, weights, strict=True):
+            state, out, times, plus = self.forward.arc(state, symbol)
+            if out & MATCH:
+                score, n = score + x * times + plus, n + 1
+                if out & (NEGATED | REPORTED):
                     lowered += 1
-                score, n = score + x, n + 1
         return score, n, lowered
 
     def figures(self, text: str | None) -> list[float]:
