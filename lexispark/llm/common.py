@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.session import shared_dir
+
 #: Fixed-size key filters have 2**FILTER_BITS bits (4 MB), whatever the input.
 FILTER_BITS = 25
 #: A-Z to a-z; every other ASCII character that is no digit or letter to a blank.
@@ -95,16 +96,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where none is named, as in tests, one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="lexispark-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, and no task's
     second run can give other rows. The table goes when the driver ends."""
