@@ -91,7 +91,7 @@ def candidates(gloss: Column) -> Column:
 
     def of_part(p: Column) -> Column:
         content = F.filter(F.regexp_extract_all(plain(p), F.lit(WORD), 1), lambda w: ~w.isin(*FUNCTION_WORDS))
-        pairs = F.transform(F.slice(content, 2, 10_000), lambda w, i: F.concat(F.get(content, i), F.lit(" "), w))
+        pairs = F.transform(F.slice(content, F.lit(2), F.greatest(F.size(content) - 1, F.lit(0))), lambda w, i: F.concat(F.get(content, i), F.lit(" "), w))
         more = F.when(F.size(content) >= 2, F.concat(F.array(F.array_join(content, " ")), pairs)).otherwise(F.expr("cast(array() as array<string>)"))
         return F.concat(F.array(p, plain(p)), content, more)
 
