@@ -81,7 +81,10 @@ def compared(entries: DataFrame, x: str) -> DataFrame:
             source = r["last_source"]
         key = (r["last_h"], r["last_x"])
     before = out.sparkSession.createDataFrame(fixed, "part long, before long")
-    rows = out.where("many IS NULL").join(F.broadcast(before), "part", "left")
+    rows = out.where("many IS NULL")
+    # only a task's first run may have begun in the task before
+    first = rows.where("part IS NOT NULL").join(F.broadcast(before), "part", "left")
+    rows = first.unionByName(rows.where("part IS NULL").withColumn("before", F.lit(None).cast("long")))
     head = F.col("head") & F.col("before").isNull()
     return rows.select("uid", "doc_id", "h", x, "run", F.coalesce("before", "source").alias("source"), head.alias("head"))
 
