@@ -80,10 +80,16 @@ def compared(entries: DataFrame, x: str) -> DataFrame:
         if not goes_on or r["many"] > 1:
             source = r["last_source"]
         key = (r["last_h"], r["last_x"])
-    before = out.sparkSession.createDataFrame(fixed, "part long, before long")
+    before = dict(fixed)  # one entry a task at most
     rows = out.where("many IS NULL")
+
+    def stitch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = [before.get(p) for p in b.column(b.schema.get_field_index("part")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], names=[*b.schema.names, "before"])
+
     # only a task's first run may have begun in the task before
-    first = rows.where("part IS NOT NULL").join(F.broadcast(before), "part", "left")
+    first = rows.where("part IS NOT NULL").mapInArrow(stitch, schema + ", before long")
     rows = first.unionByName(rows.where("part IS NULL").withColumn("before", F.lit(None).cast("long")))
     head = F.col("head") & F.col("before").isNull()
     return rows.select("uid", "doc_id", "h", x, "run", F.coalesce("before", "source").alias("source"), head.alias("head"))
