@@ -23,6 +23,7 @@ Rows: as for operator 2. A document without repeated spans has no row.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,17 +81,12 @@ def compared(entries: DataFrame, x: str) -> DataFrame:
         if not goes_on or r["many"] > 1:
             source = r["last_source"]
         key = (r["last_h"], r["last_x"])
-    before = dict(fixed)  # one entry a task at most
-    rows = out.where("many IS NULL")
-
-    def stitch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            found = [before.get(p) for p in b.column(b.schema.get_field_index("part")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], names=[*b.schema.names, "before"])
-
-    # only a task's first run may have begun in the task before
-    first = rows.where("part IS NOT NULL").mapInArrow(stitch, schema + ", before long")
-    rows = first.unionByName(rows.where("part IS NULL").withColumn("before", F.lit(None).cast("long")))
+    # sources of the tasks' first runs, by task (null: the run begins there): one number a task
+    sources: list[int | None] = [None] * (1 + max((p for p, _ in fixed), default=0))
+    for p, found in fixed:
+        sources[p] = found
+    before = F.get(F.from_json(F.lit(json.dumps(sources)), "array<long>"), F.col("part").cast("int"))
+    rows = out.where("many IS NULL").withColumn("before", before)
     head = F.col("head") & F.col("before").isNull()
     return rows.select("uid", "doc_id", "h", x, "run", F.coalesce("before", "source").alias("source"), head.alias("head"))
 
