@@ -101,9 +101,31 @@ def tei_files(spark: SparkSession, path: str) -> DataFrame:
     return tei(files.select(name.alias("work_id"), F.decode("content", "utf-8").alias("xml")))
 
 
+def _entries(xml: str) -> list[ElementTree.Element]:
+    named = lambda x: _local(x.tag) in ("entry", "entryFree")
+    try:
+        return [x for x in ElementTree.fromstring(xml).iter() if named(x)]
+    except ElementTree.ParseError:
+        pass
+    defined = {"amp", "lt", "gt", "quot", "apos", *re.findall(r"<!ENTITY\s+([\w.-]+)", xml)}
+    parser, begun, ended = ElementTree.XMLPullParser(("start", "end")), [], set()
+    try:
+        parser.feed(re.sub(r"&([\w.-]+);", lambda m: m[0] if m[1] in defined else "", xml))
+        parser.close()
+    except ElementTree.ParseError:
+        pass
+    try:
+        for event, x in parser.read_events():
+            if named(x):
+                begun.append(x) if event == "start" else ended.add(x)
+    except ElementTree.ParseError:  # the fault comes after the events before it
+        pass
+    return [x for x in begun if x in ended]
+
+
 def dictionary_entries(docs: DataFrame, file_col: str = "file", xml_col: str = "xml") -> DataFrame:
-    """file, entry_ord, key, orth, first_sense, all_glosses of each entry; a file that
-    isn't well formed gives none."""
+    """file, entry_ord, key, orth, first_sense, all_glosses of each entry; of a file that
+    isn't well formed, those that end before its fault; undefined entities are left out."""
 
     strings = pa.list_(pa.string())
     schema = pa.schema([("file", pa.string()), ("entry_ord", pa.int64()), ("key", pa.string()), ("orth", pa.string()), ("first_sense", strings), ("all_glosses", strings)])
@@ -115,11 +137,7 @@ def dictionary_entries(docs: DataFrame, file_col: str = "file", xml_col: str = "
         for batch in it:
             rows = []
             for r in batch.to_pylist():
-                try:
-                    root = ElementTree.fromstring(r["xml"] or "")
-                except ElementTree.ParseError:
-                    continue
-                for i, e in enumerate(x for x in root.iter() if _local(x.tag) in ("entry", "entryFree")):
+                for i, e in enumerate(_entries(r["xml"] or "")):
                     orth = next((o.text or "".join(o.itertext()).strip() for o in e.iter() if _local(o.tag) == "orth"), None)
                     sense = next((x for x in e.iter() if _local(x.tag) == "sense"), None)
                     rows.append({"file": r["file"], "entry_ord": i, "key": e.get("key", ""), "orth": orth, "first_sense": [] if sense is None else glosses(sense), "all_glosses": glosses(e)})
