@@ -85,3 +85,19 @@ tot AS (SELECT rid, count(*) AS n FROM ln GROUP BY rid)
 SELECT doc_id, coalesce(n, 0) AS n_lines, CAST(coalesce(n, 0) - coalesce(n_kept, 0) AS BIGINT) AS n_dropped, sha256(coalesce(s, '')) AS kept_sha256
 FROM d LEFT JOIN tot USING (rid) LEFT JOIN kept USING (rid)
 """
+
+OP11 = r"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM range(256) r(i))),
+r AS (SELECT rid, id, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM (SELECT row_number() OVER () AS rid, coalesce(CAST(doc_id AS VARCHAR), '') AS id, text AS t FROM documents WHERE text IS NOT NULL)),
+c AS (SELECT id, run, count(*) AS n FROM r GROUP BY rid, id, run),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195, ord(x)::BIGINT - 64] END))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM c, tab),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, left(word, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS d FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+near AS (SELECT x.word, x.n, y.word AS other, y.n AS other_n FROM less x JOIN less y ON x.i = y.i AND x.d = y.d AND x.word <> y.word
+ UNION SELECT x.word, x.n, y.word, y.n FROM less x JOIN w y ON x.d = y.word
+ UNION SELECT y.word, y.n, x.word, x.n FROM less x JOIN w y ON x.d = y.word),
+best AS (SELECT word, count(*) AS n_near, min((-other_n, encode(other), other)) AS b FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * w.n THEN b[3] END AS form, CASE WHEN -b[1] >= 2 * w.n THEN -b[1] END AS form_n FROM w LEFT JOIN best USING (word)),
+step AS (SELECT word, word AS ptr FROM f UNION ALL SELECT s.word, f.form FROM step s JOIN f ON f.word = s.ptr WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, ptr AS root, f.n, f.n_near, f.form_n FROM f JOIN step USING (word) JOIN f g ON g.word = ptr AND g.form IS NULL
+"""

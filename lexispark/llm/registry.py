@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import chat, decontamination, jaccard, oracles, packing, quality, substrings, suffixes, templates, token_counts, toxicity
+from lexispark.llm import chat, decontamination, jaccard, oracles, packing, quality, spelling, substrings, suffixes, templates, token_counts, toxicity
 from lexispark.session import table
 
 
@@ -65,9 +65,13 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_quality, op5_chat, op6_jaccard, op7_token_counts, op8_pack, op9_suffixes, op10_lines)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_quality, op5_chat, op6_jaccard, op7_token_counts, op8_pack, op9_suffixes, op10_lines, op11_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": oracles.OP1, "op2_substrings": oracles.OP2, "op4_quality": oracles.OP4, "op5_chat": oracles.OP5, "op6_jaccard": oracles.OP6, "op9_suffixes": oracles.OP9, "op10_lines": oracles.OP10}
+    return {"op1_decontaminate": oracles.OP1, "op2_substrings": oracles.OP2, "op4_quality": oracles.OP4, "op5_chat": oracles.OP5, "op6_jaccard": oracles.OP6, "op9_suffixes": oracles.OP9, "op10_lines": oracles.OP10, "op11_spelling": oracles.OP11}
