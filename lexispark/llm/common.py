@@ -96,13 +96,19 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A name for a folder in the shared one, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/lexispark-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, and no task's
     second run can give other rows. The table goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexispark-{uuid.uuid4().hex}"
+    path = own_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

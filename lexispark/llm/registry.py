@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import chat, decontamination, jaccard, oracles, packing, quality, spelling, substrings, suffixes, templates, token_counts, toxicity
+from lexispark.llm import chat, common, decontamination, jaccard, oracles, packing, quality, search, spelling, substrings, suffixes, templates, token_counts, toxicity, warc
 from lexispark.session import table
 
 
@@ -69,9 +69,19 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.own_folder(spark)
+    warc.write(warc.planned(table(spark, sf_dir, "pages")), path)
+    return warc.page_ids(warc.read(spark, path, keep_payload=False))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_quality, op5_chat, op6_jaccard, op7_token_counts, op8_pack, op9_suffixes, op10_lines, op11_spelling)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_quality, op5_chat, op6_jaccard, op7_token_counts, op8_pack, op9_suffixes, op10_lines, op11_spelling, op12_warc, op13_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": oracles.OP1, "op2_substrings": oracles.OP2, "op4_quality": oracles.OP4, "op5_chat": oracles.OP5, "op6_jaccard": oracles.OP6, "op9_suffixes": oracles.OP9, "op10_lines": oracles.OP10, "op11_spelling": oracles.OP11}
+    return {"op1_decontaminate": oracles.OP1, "op2_substrings": oracles.OP2, "op4_quality": oracles.OP4, "op5_chat": oracles.OP5, "op6_jaccard": oracles.OP6, "op9_suffixes": oracles.OP9, "op10_lines": oracles.OP10, "op11_spelling": oracles.OP11, "op12_warc": oracles.OP12, "op13_search": oracles.OP13}
