@@ -73,13 +73,21 @@ SELECT doc_id, min(p) AS start, max(p) + 50 - min(p) AS n_words, min(first_doc)
 """
 
 OP10 = r"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS rid, text, coalesce(doc_id, 9223372036854775807) AS o FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS rid, text, coalesce(doc_id, 9223372036854775807) AS o FROM documents),
 ln AS (SELECT rid, o, i, string_split(text, chr(10))[i] AS raw FROM (SELECT rid, o, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
 tk AS (SELECT rid, o, i, list_transform(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM ln),
 tp AS (SELECT rid, o, i, len(t) AS n, 0 AS kind, array_to_string(t, ' ') AS a, '' AS b FROM tk WHERE len(t) >= 3
  UNION ALL SELECT rid, o, i, len(t), j, array_to_string(t[:2 + (len(t) - 2) * (j - 1) // 4], ' '), array_to_string(t[3 + (len(t) - 2) * j // 4:], ' ') FROM tk, (SELECT unnest(range(1, 5)) AS j) WHERE len(t) >= 8),
-rec AS (SELECT n, kind, a, b, min((o, i)) AS first FROM tp GROUP BY n, kind, a, b HAVING count(DISTINCT rid) >= 3),
-gone AS (SELECT DISTINCT rid, tp.i FROM tp JOIN rec USING (n, kind, a, b) WHERE (o, i) <> first),
+rec AS (SELECT n, kind, a, b, row_number() OVER () AS k, min((o, i)) AS first FROM tp GROUP BY n, kind, a, b HAVING count(DISTINCT rid) >= 3),
+own AS MATERIALIZED (SELECT rid, o, tp.i, k, (o, tp.i) = first AS leads FROM tp JOIN rec USING (n, kind, a, b)),
+stay AS (SELECT rid, i FROM own GROUP BY rid, i HAVING bool_and(leads)),
+settled AS (SELECT DISTINCT k FROM own SEMI JOIN stay USING (rid, i)),
+away AS (SELECT DISTINCT rid, i FROM own SEMI JOIN settled USING (k) WHERE NOT leads),
+rest AS (SELECT rid, o, i, list(k) AS ks FROM own ANTI JOIN stay USING (rid, i) ANTI JOIN away USING (rid, i) GROUP BY rid, o, i),
+"at" AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o, i) AS r, o, i, list({rid: rid, ks: ks}) AS ls FROM rest GROUP BY o, i),
+walk AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept, []::STRUCT(rid BIGINT, ks BIGINT[])[] AS out, 0::BIGINT AS i
+ UNION ALL SELECT "at".r, list_concat(kept, flatten(list_transform(list_filter(ls, lambda l: NOT list_has_any(l.ks, kept)), lambda l: l.ks))), list_filter(ls, lambda l: list_has_any(l.ks, kept)), "at".i FROM walk JOIN "at" ON "at".r = walk.r + 1),
+gone AS (SELECT * FROM away UNION SELECT unnest(out).rid, i FROM walk),
 kept AS (SELECT rid, string_agg(raw, chr(10) ORDER BY i) AS s, count(*) AS n_kept FROM ln ANTI JOIN gone USING (rid, i) GROUP BY rid),
 tot AS (SELECT rid, count(*) AS n FROM ln GROUP BY rid)
 SELECT doc_id, coalesce(n, 0) AS n_lines, CAST(coalesce(n, 0) - coalesce(n_kept, 0) AS BIGINT) AS n_dropped, sha256(coalesce(s, '')) AS kept_sha256

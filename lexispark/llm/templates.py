@@ -7,9 +7,14 @@ the line itself, and (from ``least_general`` tokens on) the line with one of the
 a variable field. So a line has 1 + parts templates, and lines that differ in one place
 share one, whatever the order they come in; no list of lines is ever held together.
 
-A template recurs if it lies in ``min_docs`` documents or more. Of the lines of a
-recurring template only the first (smallest doc_id, then line number) stays. Lines of
-fewer than ``least`` tokens are never dropped.
+A template recurs if it lies in ``min_docs`` documents or more. In the order of doc_id and
+line number, a line goes if it shares a recurring template with a line before it that stays,
+and stays otherwise; so every recurring template keeps a line, or each of its lines went for
+another one that stays. This is found in rounds: lines that are first of all their recurring
+templates stay, lines that share a template with them go, and the lines that are left (those
+whose templates' first line went for another template) are judged among themselves. A round
+judges most lines; a chain of lines, each sharing a template with the next alone, takes one
+round for two of its lines. Lines of fewer than ``least`` tokens are never dropped.
 
 Rows: a null text has no lines and stays null; a text whose lines all go is empty; rows
 with equal ids are documents of their own, and of their lines none is first alone; a
@@ -77,6 +82,31 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*many, strict=True))
 
 
+def dropped(judged: DataFrame) -> DataFrame:
+    """_uid, line of the lines that go. judged: a row for each line and recurring template of
+    it, with its place and whether it leads, that is, whether no line of the template is
+    before it."""
+    gone: DataFrame | None = None
+    line = ["_uid", "line"]
+    while True:
+        lines = C.written(judged.groupBy(*line).agg(F.bool_and("leads").alias("stays"), F.count_if(~F.col("leads")).alias("others"), F.count("*").alias("n")))
+        away = lines.where("NOT stays").select(*line)
+        gone = away if gone is None else gone.join(lines.where("stays").select(*line), line, "left_anti")
+        # templates whose first line goes: no line went for them, so others of theirs may stay
+        leaders = judged.join(lines.where("NOT stays AND others < n").select(*line), line, "left_semi").where("leads")
+        open_ = leaders.select("key").distinct().join(judged.where("leads").join(lines.where("stays").select(*line), line, "left_semi").select("key"), "key", "left_anti")
+        open_ = C.written(open_)
+        if open_.isEmpty():
+            return gone
+        spared = judged.where("NOT leads").join(open_, "key", "left_semi").groupBy(*line).agg(F.count("*").alias("spared"))
+        left = C.written(lines.join(spared, line).where("spared = others").select(*line))
+        if left.isEmpty():
+            return gone
+        rest = judged.join(left, line, "left_semi").select(*line, "key", "place")
+        first = rest.groupBy("key").agg(F.min("place").alias("first"))
+        judged = C.written(rest.join(first, "key").select(*line, "key", "place", (F.col("place") == F.col("first")).alias("leads")))
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -150,7 +180,8 @@ def dedup_lines(
     base = C.written(source.mapInArrow(ask, schema + ", _uid long, _lines array<long>, _keys array<long>"))
     places = base.where(F.size("_keys") > 0).select("_uid", F.col("_id").alias("id"), F.explode(F.arrays_zip("_lines", "_keys")).alias("p")).select("_uid", "id", F.col("p._lines").alias("line"), F.col("p._keys").alias("key"))
     own = F.struct(F.coalesce("id", F.lit(_LAST)).alias("doc"), F.col("line").cast("long").alias("line"))
-    drop = places.join(recurring, "key").where(own != F.col("first")).groupBy("_uid").agg(F.collect_set("line").alias("_drop"))
+    judged = C.written(places.join(recurring, "key").select("_uid", "line", "key", own.alias("place"), (own == F.col("first")).alias("leads")))
+    drop = dropped(judged).groupBy("_uid").agg(F.collect_set("line").alias("_drop"))
     carried = [F.col("_id"), F.col("_text"), *[F.col(f"_c{i}") for i in range(len(names))]]
     touched = base.where(F.size("_keys") > 0).join(drop, "_uid", "left").select(*carried, "_drop")
     clean = base.where(F.size("_keys") == 0).select(*carried, F.lit(None).cast("array<long>").alias("_drop"))

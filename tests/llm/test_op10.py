@@ -22,18 +22,26 @@ def own_templates(line):
 
 
 def brute(docs):
-    seen, first = defaultdict(set), {}
+    seen = defaultdict(set)
+    lines = []
     for r, (d, t) in enumerate(docs):
         for i, line in enumerate((t or "").split("\n")):
-            for k in own_templates(line):
+            own = own_templates(line)
+            lines.append(((INF if d is None else d, i), r, own))
+            for k in own:
                 seen[k].add(r)
-                at = (INF if d is None else d, i)
-                first[k] = min(first.get(k, at), at)
+    gone, kept = set(), {}
+    for place, r, own in sorted(lines, key=lambda x: x[0]):  # one by one, in order
+        own = [k for k in own if len(seen[k]) >= 3]
+        if any(kept.get(k, place) < place for k in own):
+            gone.add((r, place[1]))
+        else:
+            kept |= {k: min(kept.get(k, place), place) for k in own}
     out = []
-    for d, t in docs:
-        lines = (t or "").split("\n")
-        kept = [x for i, x in enumerate(lines) if not any(len(seen[k]) >= 3 and first[k] != (INF if d is None else d, i) for k in own_templates(x))]
-        out.append((d, t if t is None or len(kept) == len(lines) else "\n".join(kept), len(lines) - len(kept)))
+    for r, (d, t) in enumerate(docs):
+        all_ = (t or "").split("\n")
+        left = [x for i, x in enumerate(all_) if (r, i) not in gone]
+        out.append((d, t if t is None or len(left) == len(all_) else "\n".join(left), len(all_) - len(left)))
     return sorted(out, key=repr)
 
 
@@ -56,3 +64,18 @@ def test_odd_cases(spark):
     assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"]
     assert sorted(((r.doc_id, r.text, r.n_dropped) for r in got.collect()), key=repr) == brute([x[:2] for x in docs])
     assert templates.dedup_lines(d.limit(0)).count() == 0
+
+
+def test_a_line_goes_only_for_one_that_stays(spark):
+    """Lines of one template, whose first goes for another template whose first is elsewhere."""
+    line = "a b {} d e f g h i {}".format
+    docs = [(i, line(x, y)) for i, (x, y) in enumerate(zip("rsqqq", "11vwx", strict=True))]
+    docs = [(i, t.replace("1", "k")) for i, t in docs] + [(10 + i, line("r", "k") + "\n" + line("s", "k")) for i in range(2)]
+    got = {r.doc_id: r.n_dropped for r in templates.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 1, 10: 2, 11: 2}
+    got = templates.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.text, r.n_dropped) for r in got.collect()), key=repr) == brute(docs)
+    chain = [(i, line(f"w{chr(97 + (i + 1) // 2)}", f"v{chr(97 + i // 2)}")) for i in range(6)]
+    chain += [(100 + i, t) for i, t in chain] + [(200 + i, t) for i, t in chain] + [(None, t) for _, t in chain[:3]]
+    got = templates.dedup_lines(spark.createDataFrame(chain, "doc_id long, text string").repartition(3))
+    assert sorted(((r.doc_id, r.text, r.n_dropped) for r in got.collect()), key=repr) == brute(chain)
