@@ -54,16 +54,18 @@ def _ring(own: DataFrame, todo: DataFrame, ring: str, far: bool, n: int, reach:
     return out
 
 
-def distractors(words: DataFrame, n: int = 3, reach: int = 8, seed: int = 0) -> DataFrame:
+def distractors(words: DataFrame, n: int = 3, reach: int = 8, seed: int = 0, of: DataFrame | None = None) -> DataFrame:
     """id, k, other_id: n others of each word, those whose definition overlaps its own
     only after all that don't, then its own part of speech first, then ring order. The first
     ``reach`` neighbours settle nearly all words; the others go on around their rings, as far
-    as it takes, and only they look at other parts of speech. words: id, pos, definition."""
+    as it takes, and only they look at other parts of speech. words: id, pos, definition; of:
+    the ids whose others are asked for, if not all words'."""
     own = words.select("id", "pos", "definition", shade(F.col("id"), seed=seed).alias("h"))
     own = own.withColumn("one", F.lit(1)).withColumn("all", F.lit("all"))
-    near = saved(_ring(own, own.select("id", F.lit(n).alias("need")), "pos", False, n, reach))
+    asked = (own if of is None else own.join(of.select("id").distinct(), "id", "left_semi")).select("id")
+    near = saved(_ring(own, asked.withColumn("need", F.lit(n)), "pos", False, n, reach))
     free = near.where("NOT overlap").groupBy("id").agg(F.least(F.count("*"), F.lit(n)).cast("int").alias("free"))
-    short = saved(own.select("id").join(free, "id", "left").select("id", (n - F.coalesce("free", F.lit(0))).alias("need")).where("need > 0"))
+    short = saved(asked.join(free, "id", "left").select("id", (n - F.coalesce("free", F.lit(0))).alias("need")).where("need > 0"))
     found = near if short.isEmpty() else near.unionByName(_ring(own, short, "all", True, n, reach))
     best = F.slice(F.sort_array(F.collect_list(F.struct("overlap", "far", "step", "other_id"))), 1, n)
     return found.groupBy("id").agg(best.alias("b")).select("id", F.posexplode("b").alias("k", "b")).select("id", "k", "b.other_id")
@@ -80,9 +82,9 @@ def pick_form(forms: Column, lemma: Column, preferred: Column, excluded: Column,
     return F.coalesce(F.get(wanted, F.lit(0)), some(inflected), some(free), some(pool))
 
 
-def morphology_choices(words: DataFrame, correct: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:
+def morphology_choices(words: DataFrame, correct: DataFrame, n: int = 3, seed: int = 0, keep: bool = False) -> DataFrame:
     """id, choices: n morphologies other than the correct one that other words have, in
-    seeded order, padded with placeholders. correct: id, morphology.
+    seeded order, padded with placeholders. correct: id, morphology (kept if keep).
 
     A morphology is of another word if more than one word has it or its one word is another.
     Of the shared ones the first n + 1 in seeded order are enough for any word. Of those of
@@ -102,7 +104,8 @@ def morphology_choices(words: DataFrame, correct: DataFrame, n: int = 3, seed: i
     fit = F.filter("all", lambda x: (x["m"] != F.col("morphology")) & ((x["owners"] > 1) | (x["owner"] != F.col("id"))))
     taken = F.slice(F.transform(fit, lambda x: x["m"]), 1, n)
     pad = F.array(*[F.lit(f"morphology option {i + 1}") for i in range(n)])
-    return correct.withColumn("one", F.lit(1)).join(F.broadcast(listed), "one").select("id", F.concat(taken, F.slice(pad, F.size(taken) + 1, n)).alias("choices"))
+    own_cols = ["id", "morphology"] if keep else ["id"]
+    return correct.withColumn("one", F.lit(1)).join(F.broadcast(listed), "one").select(*own_cols, F.concat(taken, F.slice(pad, F.size(taken) + 1, n)).alias("choices"))
 
 
 KINDS = ("greek-to-english", "english-to-greek", "form-id")
@@ -112,10 +115,10 @@ def _draw(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
 
 
-def build(words: DataFrame, kind: str, seed: int = 0, others: DataFrame | None = None) -> DataFrame:
-    """word_id, type, prompt, correct_answer, choices. kind: one of KINDS. words: id, lemma,
-    pos, definition, context_definition, forms, and exclude_forms if some are not to be asked
-    again. Wrong choices are drawn from others (words, if not given)."""
+def build(words: DataFrame, kind: str, seed: int = 0, others: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """word_id, type, prompt, correct_answer, choices and the columns to carry. kind: one of
+    KINDS. words: id, lemma, pos, definition, context_definition, forms, and exclude_forms if
+    some are not to be asked again. Wrong choices are drawn from others (words, if not given)."""
     if kind not in KINDS:
         raise ValueError(f"no question of kind {kind!r}")
     pool = words if others is None else others
@@ -125,25 +128,25 @@ def build(words: DataFrame, kind: str, seed: int = 0, others: DataFrame | None =
     if kind == "form-id":
         form = F.coalesce(*[pick_form(F.col("forms"), lemma, no_form, excluded, pick, need) for need in (True, False)])
         correct = F.coalesce(T.truthy(form["morphology"]), F.lit("Unknown morphology"))
-        w = words.select("id", F.coalesce(form["form"], lemma).alias("prompt"), correct.alias("morphology"))
-        j = w.join(morphology_choices(pool, w.select("id", "morphology"), seed=seed), "id")
+        w = words.select("id", *carry, F.coalesce(form["form"], lemma).alias("prompt"), correct.alias("morphology"))
+        j = w.join(morphology_choices(pool, w.select("id", "morphology").distinct(), seed=seed, keep=True), ["id", "morphology"])
         choices, answer, prompt = F.concat(F.array("morphology"), F.col("choices")), F.col("morphology"), F.col("prompt")
     else:
         gloss = F.coalesce(T.truthy(F.col("context_definition")), F.col("definition"))
         shown = gloss if kind == "greek-to-english" else lemma
-        d = distractors(pool, seed=seed).join(pool.select(F.col("id").alias("other_id"), shown.alias("shown")), "other_id")
+        d = distractors(pool, seed=seed, of=None if others is None else words).join(pool.select(F.col("id").alias("other_id"), shown.alias("shown")), "other_id")
         lists = d.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "shown"))), lambda s: s["shown"]).alias("others"))
         form = pick_form(F.col("forms"), lemma, no_form, excluded, pick)
         prompt, answer = (F.coalesce(form["form"], lemma), gloss) if kind == "greek-to-english" else (gloss, lemma)
         j, choices = words.join(lists, "id", "left"), F.concat(F.array(answer), F.coalesce("others", none))
-    return j.select(F.col("id").alias("word_id"), F.lit(kind).alias("type"), prompt.alias("prompt"), answer.alias("correct_answer"), shuffled(choices, [F.col("id")], seed).alias("choices"))
+    return j.select(*carry, F.col("id").alias("word_id"), F.lit(kind).alias("type"), prompt.alias("prompt"), answer.alias("correct_answer"), shuffled(choices, [F.col("id")], seed).alias("choices"))
 
 
-def ask(words: DataFrame, mode: str, seed: int = 0, others: DataFrame | None = None) -> DataFrame:
+def ask(words: DataFrame, mode: str, seed: int = 0, others: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """A question on each word in a mode; in form-id only on words that have such forms."""
     w = words.where(eligible(F.col("forms"))) if mode == "form-id" else words
     w = w.withColumn("_type", question_type(mode, F.col("forms"), shade(F.col("id"), F.lit("type"), seed=seed)))
-    parts = [build(w.where(F.col("_type") == kind), kind, seed, words if others is None else others) for kind in KINDS if mode in ("mixed", kind)]
+    parts = [build(w.where(F.col("_type") == kind), kind, seed, words if others is None else others, carry) for kind in KINDS if mode in ("mixed", kind)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

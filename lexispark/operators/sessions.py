@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexispark.operators import questions as K
 from lexispark.operators import study as S
 
 
@@ -55,16 +56,16 @@ def seed_queue(states: DataFrame, part: str, item: str, k: int = 5, seed: int =
 
     A draw takes the least -log(u) / weight, u from seed, part, item and the draw's number.
     At most three words are left out and k have a lower weight than before, so the first
-    3 + k of each draw decide it; they are found in blocks of words, then over the blocks."""
+    3 + k of each draw decide it; Spark limits each task to those before it shuffles, so no
+    row ever holds more."""
     recent = F.col("recent") if "recent" in states.columns else F.expr(f"cast(array() as array<{states.schema[item].dataType.simpleString()}>)")
     keep = RECENT + k
     own = states.select(part, F.col(item).alias("item"), F.coalesce("weight", F.lit(UNSEEN_WEIGHT)).alias("w"), F.col("weight").isNull().alias("fresh"), recent.alias("recent"))
     drawn = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     e = -F.log(uniform(F.col(part), F.col("item"), F.col("i"), seed=seed))
-    drawn = drawn.select(part, "i", F.pmod(F.xxhash64("item"), F.lit(64)).alias("block"), F.struct((e / F.col("w")).alias("place"), "item", e.alias("e"), "fresh").alias("x"), "recent")
-    top = lambda c: F.slice(F.sort_array(c), 1, keep)
-    blocks = drawn.groupBy(part, "i", "block").agg(top(F.collect_list("x")).alias("x"), F.first("recent").alias("recent"))
-    draws = blocks.groupBy(part, "i").agg(top(F.flatten(F.collect_list("x"))).alias("x"), F.first("recent").alias("recent"))
+    drawn = drawn.select(part, "i", "item", "fresh", "recent", e.alias("e"), (e / F.col("w")).alias("place"))
+    first = drawn.withColumn("r", F.row_number().over(W.partitionBy(part, "i").orderBy("place", "item"))).where(F.col("r") <= keep)
+    draws = first.groupBy(part, "i").agg(F.collect_list(F.struct("place", "item", "e", "fresh")).alias("x"), F.first("recent").alias("recent"))
     by = draws.groupBy(part).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("draws"), F.first("recent").alias("recent"))
 
     def draw(acc: Column, d: Column) -> Column:
@@ -85,6 +86,23 @@ def adaptive(states: DataFrame, part: str, item: str, seed: int = 0) -> DataFram
     return seed_queue(states, part, item, 1, seed).select(part, F.get("queue", F.lit(0)).alias(item))
 
 
+def adaptive_questions(states: DataFrame, words: DataFrame, part: str, mode: str, seed: int = 0) -> DataFrame:
+    """The next question of each session (part): a word drawn by weight, asked in a mode, but
+    not by the form it was asked by last. states: part, id, weight, recent, last_prompt;
+    words: as questions.build() takes them. In form-id only words that have such forms are
+    drawn; a session without a word has no question. A word of several sessions is asked the
+    same in those that last asked it by the same form."""
+    can = words.where(K.eligible(F.col("forms"))) if mode == "form-id" else words
+    own = states.join(can.select("id"), "id", "left_semi")
+    picked = adaptive(own, part, "id", seed).join(states.select(part, "id", "last_prompt"), [part, "id"])
+    # sessions that ask one word in one way share its question
+    ways = picked.select("id", "last_prompt").distinct()
+    asked = ways.join(words, "id").withColumn("exclude_forms", F.when(F.col("last_prompt").isNotNull(), F.array("last_prompt")).otherwise(F.expr("cast(array() as array<string>)")))
+    questions = K.ask(asked, mode, seed, words, carry=("last_prompt",))
+    same = (picked["id"] == questions["word_id"]) & picked["last_prompt"].eqNullSafe(questions["last_prompt"])
+    return picked.join(questions, same).select(part, *[questions[c] for c in ("word_id", "type", "prompt", "correct_answer", "choices")])
+
+
 def appended(queue: DataFrame, more: DataFrame, part: str, order: str) -> DataFrame:
     """The questions of a session and further ones (order tells theirs), numbered on."""
     base = queue.groupBy(part).agg((F.max("question_index") + 1).alias("_base"))

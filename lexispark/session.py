@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -37,9 +38,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A name for a folder in the shared one, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            files(spark, path)[0].delete(files(spark, path)[1], True)
+        except Exception:  # noqa: BLE001  the session may have ended first
+            pass
+
+    atexit.register(remove)
+    return path
+
+
+def files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark's own Hadoop objects."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, which ends their lineage."""
-    path = f"{shared_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
