@@ -183,7 +183,8 @@ def dedup_lines(
     judged = C.written(places.join(recurring, "key").select("_uid", "line", "key", own.alias("place"), (own == F.col("first")).alias("leads")))
     drop = dropped(judged).groupBy("_uid").agg(F.collect_set("line").alias("_drop"))
     carried = [F.col("_id"), F.col("_text"), *[F.col(f"_c{i}") for i in range(len(names))]]
-    touched = base.where(F.size("_keys") > 0).join(drop, "_uid", "left").select(*carried, "_drop")
+    # texts meet the list of their dropped lines by a shuffle, however short the lists are
+    touched = base.where(F.size("_keys") > 0).join(drop.hint("merge"), "_uid", "left").select(*carried, "_drop")
     clean = base.where(F.size("_keys") == 0).select(*carried, F.lit(None).cast("array<long>").alias("_drop"))
     out = touched.unionByName(clean)
     lines = F.split("_text", "\n")
