@@ -9,9 +9,10 @@ from lexispark.operators import merge as M
 from lexispark.operators import sessions as X
 from lexispark.operators import study as S
 from lexispark.operators import timebox as B
-from lexispark.plans import study
-from lexispark.session import scratch, table
+from lexispark.plans import quizzes, study
+from lexispark.session import saved, scratch, table
 from lexispark.sources import kvstore as K
+from lexispark.streaming import restore as SR
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -193,3 +194,77 @@ def adaptive_question(spark, d):
     last = F.when(key % 3 == 1, F.concat(name, F.lit("b"))).when(key % 3 == 2, F.concat(name, F.lit("a")))
     states = _states(spark, d).join(c.select("c_custkey", last.alias("last_prompt")), "c_custkey").withColumnRenamed("c_custkey", "id")
     return X.adaptive_questions(states, words, "c_nationkey", "mixed").drop("choices")
+
+
+# -- saved sessions: JSON with fields missing or odd by remainders of the key
+
+
+_JSON = {
+    "workId": "'w' || nk",
+    "startTime": "CASE WHEN k % 11 <> 0 THEN k END",
+    "id": "CASE WHEN k % 4 <> 0 THEN 's' || k END",
+    "kind": "CASE WHEN k % 3 = 0 THEN 'review' END",
+    "nextQuestionOrdinal": "CASE WHEN k % 6 = 0 THEN k END",
+    "endedAt": "CASE k % 5 WHEN 0 THEN 0 WHEN 1 THEN k END",
+}
+
+
+def _saved_json(spark, d):
+    """k, text: a saved session of each customer."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nk"))
+    plain = [F.when(F.expr(e).isNotNull(), F.concat(F.lit(f'"{n}":'), F.regexp_replace(F.to_json(F.array(F.expr(e))), r"^\[|\]$", ""))) for n, e in _JSON.items()]
+    k = F.col("k")
+    more = [
+        F.when(k % 13 == 0, F.lit('"questions":"none"')).when(k % 7 != 0, F.concat(F.lit('"questions":['), F.array_join(F.slice(F.array(F.lit('{"id":"a"}'), F.lit('{"type":"x"}'), F.lit('{"id":""}'), F.lit('{"id":"d","wordId":4}')), F.lit(1), (k % 5).cast("int")), ","), F.lit("]"))),
+        F.when(k % 10 == 0, F.lit('"currentIndex":1.5')).when(k % 10 < 8, F.concat(F.lit('"currentIndex":'), (k % 9 - 2).cast("string"))),
+        F.when(k % 5 != 0, F.concat(F.lit('"stats":{"seen":'), (k % 8).cast("string"), F.lit("}"))),
+        F.concat(F.lit('"recentWordIds":['), F.array_join(F.slice(F.array(*map(F.lit, "123456")), F.lit(1), (k % 7).cast("int")), ","), F.lit("]")),
+        F.when(k % 6 == 1, F.lit('"ended":true')).when(k % 6 == 2, F.lit('"ended":1')).when(k % 6 == 3, F.lit('"ended":false')).when(k % 6 == 4, F.lit('"ended":0')),
+        F.when(k % 4 == 1, F.concat(F.lit('"returnToSession":{"workId":"p","startTime":7,"currentIndex":'), (k % 3).cast("string"), F.lit(',"questions":[{},{"id":"b"}]}'))).when(k % 4 == 2, F.lit('"returnToSession":{"x":1}')),
+    ]
+    return c.select("k", F.concat(F.lit("{"), F.concat_ws(",", *plain, *more), F.lit("}")).alias("text"))
+
+
+@query(
+    "restored_records",
+    f"WITH c AS (SELECT c_custkey AS k, c_nationkey AS nk, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(least(c_custkey % 5, 4) AS BIGINT) END AS n FROM customer WHERE c_custkey % 13 <> 0 AND c_custkey % 7 <> 0), j AS (SELECT *, {', '.join(f'{e} AS {n}_' for n, e in _JSON.items())} FROM c) "
+    "SELECT k, 3 AS version, coalesce(id_, workId_ || '-' || coalesce(startTime_, 5000)) AS id, coalesce(kind_, 'study') AS kind, n AS n_questions, CASE WHEN n > 2 THEN 'q3' END AS third, "
+    "CASE WHEN k % 10 = 0 OR k % 10 >= 8 THEN 0 ELSE greatest(0, least(k % 9 - 2, greatest(n - 1, 0))) END AS current_index, coalesce(nextQuestionOrdinal_, n) AS next_ordinal, "
+    "CAST(CASE WHEN k % 5 = 0 THEN 0 ELSE k % 8 END AS INTEGER) AS seen, array_to_string([1, 2, 3, 4, 5, 6][1:k % 7][-4:], ',') AS recent, k % 6 IN (1, 2) AS ended, nullif(endedAt_, 0) AS ended_at, "
+    "CASE WHEN k % 4 = 1 THEN 'p-7' END AS parent_id, CASE WHEN k % 4 = 1 THEN least(k % 3, 1) END AS parent_index, coalesce(startTime_, 5000) AS updated FROM j",
+)
+def restored_records(spark, d):
+    s = _saved_json(spark, d).select("k", SR.restored(F.col("text"), F.lit(5000).cast("long")).alias("s")).where("s IS NOT NULL")
+    own = {"version": "s.version", "id": "s.id", "kind": "s.kind", "current_index": "s.currentIndex", "next_ordinal": "s.nextQuestionOrdinal", "seen": "s.stats.seen", "ended": "s.ended", "ended_at": "s.endedAt", "parent_id": "s.returnToSession.id", "parent_index": "s.returnToSession.currentIndex", "updated": "s.updatedAt"}
+    return s.select("k", *[F.col(c).alias(n) for n, c in own.items()], F.size("s.questions").cast("long").alias("n_questions"), F.get("s.questions", F.lit(2))["id"].alias("third"), F.array_join(F.transform("s.recentWordIds", lambda x: x.cast("string")), ",").alias("recent"))
+
+
+_FOLDED = f"SELECT user_id AS session_id, word_id, CAST(count(*) AS INTEGER) AS seen, CAST(count(*) FILTER (WHERE correct) AS INTEGER) AS correct, CAST(arg_max(streak, (ts, event_id)) AS INTEGER) AS streak, CAST({study._URG} AS INTEGER) AS urgency, arg_max('p' || event_id, (ts, event_id)) AS last_prompt FROM ({study._STREAK.replace('PARTITION BY user_id', 'PARTITION BY user_id, word_id')}) GROUP BY user_id, word_id"
+
+
+@query("streaming_restored", _FOLDED)
+def streaming_restored(spark, d):
+    """The earlier half of the answers is a saved session of each user, of version 1; a stream
+    goes on from there, and gets some of the earlier answers again."""
+    SR.settings(spark)
+    e = table(spark, d, "events")
+    ends = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi")).first()
+    middle = F.timestamp_micros(F.lit((ends["lo"] + ends["hi"]) // 2))
+    early = F.col("ts").cast("timestamp") < middle
+    answer = lambda df: df.select(F.col("user_id").alias("session_id"), F.pmod("event_id", F.lit(50)).alias("word_id"), F.col("event_id").cast("string").alias("question_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").isin("purchase", "click").alias("correct"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("prompt"))
+    first = answer(e.where(early))
+    key = ["session_id", "word_id"]
+    ordered = first.withColumn("key", F.struct(*key))
+    streak = S.streaks(ordered, "key").groupBy(*key).agg(F.max_by(F.struct("streak", "prompt", "ts"), F.struct(*S.ORDER)).alias("x"))
+    totals = first.groupBy(*key).agg(F.count("*").alias("seen"), F.count_if("correct").alias("correct"), F.count_if(~F.col("correct")).alias("incorrect")).join(streak, key).join(S.urgency(first, *key), key)
+    stats = F.struct("seen", "correct", "incorrect", F.col("x.streak").alias("streak"), "urgency", F.col("x.prompt").alias("lastPromptText"), F.unix_millis("x.ts").alias("lastSeenAt"))
+    words = totals.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("word_id").cast("string"), stats))).alias("wordStats"))
+    answers = first.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("question_id", F.struct(F.col("question_id").alias("questionId"), F.col("word_id").alias("wordId"), "correct")))).alias("answersById"))
+    text = F.to_json(F.struct(F.lit(1).alias("version"), F.array(F.struct(F.lit("q").alias("id"))).alias("questions"), "wordStats", "answersById"))
+    saved_ = saved(words.join(answers, "session_id").select("session_id", text.alias("text")))
+    stats = saved(SR.word_stats(saved_.select("session_id", SR.restored(F.col("text"), F.lit(1).cast("long")).alias("session"))))
+    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    late = answer(stream.where(~early | (F.col("event_id") % 10 == 0)))
+    after = quizzes._drained(SR.word_sessions(late, stats), "update")
+    last = stats.select(*after.columns).unionByName(after).groupBy(*key).agg(F.max_by(F.struct("seen", "correct", "streak", "urgency", "last_prompt"), "seen").alias("x"))
+    return last.select(*key, "x.*")
