@@ -87,7 +87,9 @@ def id_list(c: Column) -> Column:
 def unwrap_response(c: Column) -> Column:
     """The JSON array of an answer, out of its code fence or wrapping object."""
     bare_text = F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
-    wrapped = F.coalesce(*[F.get_json_object(bare_text, f"$.{k}") for k in ("enrichments", "response", "results")])
+    lists = [F.get_json_object(bare_text, f"$.{k}") for k in ("enrichments", "response", "results")]
+    quoted = [F.get_json_object(bare_text, f"$.{k}[0]").isNotNull() | (x == "[]") for k, x in zip(("enrichments", "response", "results"), lists, strict=True)]
+    wrapped = F.coalesce(*[F.when(is_list, x) for is_list, x in zip(quoted, lists, strict=True)])
     return F.when(F.startswith(bare_text, F.lit("[")), bare_text).otherwise(wrapped)
 
 

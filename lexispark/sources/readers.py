@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import greek
@@ -15,12 +15,13 @@ from lexispark.functions import text as T
 from lexispark.operators import lexicon as L
 from lexispark.operators.enrich import id_list, unwrap_response
 
+# Fixed names of the format.
 FORM = "struct<form:string,morphology:string,occurrences:bigint>"
 CONTEXT = "struct<ref:string,form:string,sentence:string,highlight_start:int,highlight_end:int,translation:string,translation_highlight_method:string,translation_highlight_confidence:string,translation_highlight_start:int,translation_highlight_end:int>"
 WORD = f"struct<id:bigint,lemma:string,definition:string,level:int,frequency:bigint,pos:string,forms:array<{FORM}>,contexts:array<{CONTEXT}>,context_definition:string,etymology:string>"
 VOCAB = f"metadata struct<title:string,author:string,work_id:string,reference_system:string,total_words:bigint,unique_lemmas:bigint>, words array<{WORD}>"
 SECTIONS = "title string, author string, reference_system string, div_type string, div_subtype string, section_ord int, ref string, text string, error string"
-#: genre marks behind an author's name
+#: Genre marks behind an author's name
 _GENRE = re.compile(r"\s+(?:Phil|Hist|Trag|Comic)\.\s*$")
 
 
@@ -46,32 +47,33 @@ def _inner_text(node: ElementTree.Element, skip: tuple[str, ...]) -> str:
 
 
 def text_sections(xml: str) -> list[dict]:
-    """Leaf sections of a TEI document, in order."""
+    """Leaf sections of a TEI document, in order: the text of their paragraphs as it is,
+    joined by blanks. Without divisions, or if all are blank, the body is one section."""
     root = ElementTree.fromstring(xml)
     by_name = lambda e, name: (x for x in e.iter() if _local(x.tag) == name)
     head = next(by_name(root, "titleStmt"), root)
-    title = next((t for x in by_name(head, "title") if (t := "".join(x.itertext()).strip())), "Unknown")
-    author = next((t for x in by_name(head, "author") if (t := "".join(x.itertext()).strip())), "Unknown")
+    own = lambda name: (next(by_name(head, name)).text or "").strip() or "Unknown" if any(True for _ in by_name(head, name)) else "Unknown"
+    title, author = own("title"), own("author")
     body = next(by_name(root, "body"), None)
     if body is None:
         raise ValueError("no body")
-    first = next(by_name(body, "div"), None)
+    first = next((c for c in body if _local(c.tag) == "div"), next(by_name(body, "div"), None))
     base = {"title": title, "author": _GENRE.sub("", author), "div_type": first.get("type") if first is not None else None, "div_subtype": first.get("subtype") if first is not None else None}
+    paragraphs = lambda e: " ".join(_inner_text(p, ("label", "pb")) for p in by_name(e, "p"))
     rows: list[dict] = []
     stack = [(c, ()) for c in reversed(body) if _local(c.tag) == "div"]
     while stack:
         e, names = stack.pop()
-        names = (*names, e.get("n") or "") if e.get("n") else names
+        names = (*names, e.get("n") or "")
         inner = [c for c in e if _local(c.tag) == "div"]
         if inner:
             stack += [(c, names) for c in reversed(inner)]
             continue
-        text = " ".join(_inner_text(p, ("label", "pb")) for p in by_name(e, "p"))
-        text = " ".join(text.split())
-        if text:
-            rows.append({"section_ord": len(rows), "ref": "".join(names) or str(len(rows) + 1), "text": text})
+        text = paragraphs(e)
+        if text.strip():
+            rows.append({"section_ord": len(rows), "ref": "".join(names), "text": text})
     if not rows:
-        rows = [{"section_ord": 0, "ref": "1", "text": " ".join(_inner_text(body, ("label", "pb")).split())}]
+        rows = [{"section_ord": 0, "ref": "1", "text": paragraphs(body)}]
     return [base | r for r in rows]
 
 
@@ -101,34 +103,41 @@ def tei_files(spark: SparkSession, path: str) -> DataFrame:
     return tei(files.select(name.alias("work_id"), F.decode("content", "utf-8").alias("xml")))
 
 
-def _entries(xml: str) -> list[ElementTree.Element]:
-    named = lambda x: _local(x.tag) in ("entry", "entryFree")
+#: How an entry of a dictionary begins, and what ends one. Fixed values of the format.
+_ENTRY, ENTRY_END = re.compile(r"<(entry(?:Free)?)(?=[\s/>])"), "</entry"
+_DEFINED = ("amp", "lt", "gt", "quot", "apos")
+
+
+def _entry(record: str) -> tuple[ElementTree.Element | None, str | None]:
+    """The entry that begins in a record and ends with it, and the fault that it has. Of a
+    faulty one what comes before the fault counts; undefined entities are left out."""
+    begin = list(_ENTRY.finditer(record))
+    if not begin:
+        return None, None
+    xml = re.sub(r"&([\w.-]+);", lambda m: m[0] if m[1] in _DEFINED else "", record[begin[-1].start() :]) + f"</{begin[-1][1]}>"
     try:
-        return [x for x in ElementTree.fromstring(xml).iter() if named(x)]
-    except ElementTree.ParseError:
-        pass
-    defined = {"amp", "lt", "gt", "quot", "apos", *re.findall(r"<!ENTITY\s+([\w.-]+)", xml)}
-    parser, begun, ended = ElementTree.XMLPullParser(("start", "end")), [], set()
+        return ElementTree.fromstring(xml), None
+    except ElementTree.ParseError as e:
+        fault = str(e)
+    parser, root = ElementTree.XMLPullParser(("start",)), None
     try:
-        parser.feed(re.sub(r"&([\w.-]+);", lambda m: m[0] if m[1] in defined else "", xml))
+        parser.feed(xml)
         parser.close()
     except ElementTree.ParseError:
         pass
     try:
-        for event, x in parser.read_events():
-            if named(x):
-                begun.append(x) if event == "start" else ended.add(x)
+        for _, x in parser.read_events():
+            root = x if root is None else root
     except ElementTree.ParseError:  # the fault comes after the events before it
         pass
-    return [x for x in begun if x in ended]
+    return root, fault
 
 
-def dictionary_entries(docs: DataFrame, file_col: str = "file", xml_col: str = "xml") -> DataFrame:
-    """file, entry_ord, key, orth, first_sense, all_glosses of each entry; of a file that
-    isn't well formed, those that end before its fault; undefined entities are left out."""
-
+def _read_entries(records: DataFrame) -> DataFrame:
+    """file, entry_ord, key, orth, first_sense, all_glosses, error of each entry. records:
+    file, entry_ord (an order within the file), record."""
     strings = pa.list_(pa.string())
-    schema = pa.schema([("file", pa.string()), ("entry_ord", pa.int64()), ("key", pa.string()), ("orth", pa.string()), ("first_sense", strings), ("all_glosses", strings)])
+    schema = pa.schema([("file", pa.string()), ("entry_ord", pa.int64()), ("key", pa.string()), ("orth", pa.string()), ("first_sense", strings), ("all_glosses", strings), ("error", pa.string())])
 
     def glosses(e: ElementTree.Element) -> list[str]:
         return [(t.text or "").strip().strip(",;.: ") for t in e.iter() if _local(t.tag) == "tr"]
@@ -137,13 +146,30 @@ def dictionary_entries(docs: DataFrame, file_col: str = "file", xml_col: str = "
         for batch in it:
             rows = []
             for r in batch.to_pylist():
-                for i, e in enumerate(_entries(r["xml"] or "")):
+                e, fault = _entry(r["record"] or "")
+                if e is not None:
                     orth = next((o.text or "".join(o.itertext()).strip() for o in e.iter() if _local(o.tag) == "orth"), None)
                     sense = next((x for x in e.iter() if _local(x.tag) == "sense"), None)
-                    rows.append({"file": r["file"], "entry_ord": i, "key": e.get("key", ""), "orth": orth, "first_sense": [] if sense is None else glosses(sense), "all_glosses": glosses(e)})
+                    rows.append({"file": r["file"], "entry_ord": r["entry_ord"], "key": e.get("key", ""), "orth": orth, "first_sense": [] if sense is None else glosses(sense), "all_glosses": glosses(e), "error": fault})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return docs.select(F.col(file_col).cast("string").alias("file"), F.col(xml_col).cast("string").alias("xml")).mapInArrow(parse, "file string, entry_ord long, key string, orth string, first_sense array<string>, all_glosses array<string>")
+    return records.mapInArrow(parse, "file string, entry_ord long, key string, orth string, first_sense array<string>, all_glosses array<string>, error string")
+
+
+def dictionary_entries(docs: DataFrame, file_col: str = "file", xml_col: str = "xml") -> DataFrame:
+    """Entries of dictionaries that are rows of a frame, record by record: a fault spoils its
+    own entry alone, and error tells it."""
+    cut = docs.select(F.col(file_col).cast("string").alias("file"), F.posexplode(F.split(F.col(xml_col).cast("string"), ENTRY_END)).alias("entry_ord", "record"))
+    return _read_entries(cut.select("file", F.col("entry_ord").cast("long").alias("entry_ord"), "record"))
+
+
+def dictionary_files(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of the dictionary files of a folder. Spark cuts the files where entries end,
+    so a large file is read by many tasks. entry_ord orders the entries of a file."""
+    t = spark.read.option("recursiveFileLookup", "true").option("lineSep", ENTRY_END).text(path)
+    at = t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i"), F.col("value").alias("record"))
+    # within a file records are ordered by split, then by their place in it
+    return _read_entries(at.select("file", (F.col("split") * F.lit(1 << 22) + F.col("i")).alias("entry_ord"), "record"))
 
 
 def dictionary(entries: DataFrame, fallback_most: int = 5) -> DataFrame:
@@ -175,8 +201,12 @@ def words_of(vocab: DataFrame) -> DataFrame:
 def id_file(spark: SparkSession, path: str) -> DataFrame:
     """pos, id of a JSON array or of one number a line; an empty file has none."""
     t = spark.read.text(path, wholetext=True)
-    bare = F.regexp_replace(F.regexp_replace("value", r"[\[\]]", ""), r"\s+", ",")
-    return t.select(F.posexplode(id_list(bare)).alias("pos", "id"))
+    return t.select(F.posexplode(ids_of("value")).alias("pos", "id"))
+
+
+def ids_of(col: str) -> Column:
+    """The ids of a JSON array or of one number a line."""
+    return id_list(F.regexp_replace(F.regexp_replace(col, r"[\[\]]", ""), r"\s+", ","))
 
 
 def responses(df: DataFrame, schema: str, text_col: str = "response") -> DataFrame:

@@ -121,10 +121,10 @@ TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStm
 
 
 def test_sources(spark, tmp_path):
-    d = spark.createDataFrame([("w", TEI), ("x", "<TEI><body>plain <pb/>text</body></TEI>"), ("y", "<TEI/>"), ("z", "<broken"), ("n", None)], "work_id string, xml string")
+    d = spark.createDataFrame([("w", TEI), ("x", "<TEI><body>not this <p>plain <pb n='1'>gone</pb>text </p><p>\n two</p></body></TEI>"), ("y", "<TEI/>"), ("z", "<broken"), ("n", None)], "work_id string, xml string")
     got = {r.work_id: r for r in R.tei(d).collect()}
     assert (got["w"].title, got["w"].author, got["w"].ref, got["w"].text, got["w"].reference_system) == ("Work", "Name", "12", "One two. three", "book-chapter")
-    assert (got["x"].ref, got["x"].text, got["x"].title, got["x"].reference_system) == ("1", "plain text", "Unknown", "unknown")
+    assert (got["x"].ref, got["x"].text, got["x"].title, got["x"].reference_system) == ("1", "plain text  \n two", "Unknown", "unknown")
     assert all(got[k].error for k in "yzn")
     one = '<b><entryFree key="lo/gos"><orth>x</orth><sense><tr>word,</tr><tr>Word</tr><tr>speech</tr></sense></entryFree><entry><orth>ἀρχή</orth><tr>rule</tr></entry></b>'
     two = '<b><entry key="lo/gos"><sense><tr>cf.</tr></sense><tr>reason</tr></entry><entry key="lo/gos"><tr>later</tr></entry></b>'
