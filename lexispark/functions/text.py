@@ -79,10 +79,14 @@ def stem(c: Column, irregular: dict[str, str] | None = None) -> Column:
     return out.otherwise(t)
 
 
+def fold_bag(c: Column) -> Column:
+    """The distinct words of a definition."""
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[\s,;]+"), lambda x: x != ""))
+
+
 def fold_overlap(a: Column, b: Column) -> Column:
     """Whether two definitions share more than half of the words of the shorter one."""
-    bag = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[\s,;]+"), lambda x: x != ""))
-    x, y = bag(a), bag(b)
+    x, y = fold_bag(a), fold_bag(b)
     least = F.least(F.size(x), F.size(y))
     return F.coalesce((least > 0) & (F.size(F.array_intersect(x, y)) > 0.5 * least), F.lit(False))
 

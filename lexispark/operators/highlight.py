@@ -61,6 +61,8 @@ PHRASES = {
 # Confidence of each method.
 CONFIDENCE = {"exact_phrase": "high", "phrase_override": "high", "exact_token": "medium", "model_align": "high", "none": "low"}
 _IRREGULAR = {form: min(forms.split()) for form, forms in SURFACE.items()}
+#: First two letters of irregular words.
+_BEGINS = sorted({form[:2] for form in SURFACE})
 
 
 def _lookup(table: dict[str, tuple[str, ...]], key: Column) -> Column:
@@ -113,14 +115,18 @@ def find(translation: Column, gloss: Column, definition: Column | None = None) -
 
     def by_phrase(c: Column) -> Column:
         phrases = F.flatten(F.transform(c, lambda x: F.concat(F.array(as_phrase(x, "exact_phrase")), F.transform(_lookup(PHRASES, x), lambda p: as_phrase(p, "phrase_override")))))
-        placed = F.transform(phrases, lambda x: F.struct(x["m"].alias("m"), (at(x["p"]) - 1).alias("s"), F.length(x["p"]).alias("n")))
+        there = F.filter(phrases, lambda x: F.contains(low, x["p"]))  # a plain search first: few phrases need the pattern
+        placed = F.transform(there, lambda x: F.struct(x["m"].alias("m"), (at(x["p"]) - 1).alias("s"), F.length(x["p"]).alias("n")))
         return F.get(F.filter(placed, lambda x: x["s"] >= 0), F.lit(0))
 
     def by_token(c: Column) -> Column:
         single = F.filter(F.transform(c, lambda x: F.regexp_extract_all(x, F.lit(WORD), 1)), lambda w: F.size(w) == 1)
         forms = F.array_distinct(F.flatten(F.transform(single, lambda w: renderings(F.get(w, F.lit(0))))))
         words = F.array_distinct(F.regexp_extract_all(translation, F.lit(WORD), 1))
-        first = T.let(forms, lambda f: F.get(F.filter(words, lambda w: F.arrays_overlap(variants(w), f)), F.lit(0)))
+        # stems keep a word's first two letters, so only words that begin as a form or an irregular word need variants
+        begins = lambda f: F.array_distinct(F.concat(F.transform(f, lambda x: F.left(x, F.lit(2))), F.array(*map(F.lit, _BEGINS))))
+        near = lambda f: T.let(begins(f), lambda b: F.filter(words, lambda w: F.array_contains(b, F.left(F.lower(w), F.lit(2)))))
+        first = T.let(forms, lambda f: F.get(F.filter(near(f), lambda w: F.arrays_overlap(variants(w), f)), F.lit(0)))
         # the first place where it stands as a word of its own
         alone = lambda w: F.regexp_instr(translation, F.concat(F.lit(r"(?<![A-Za-z])(?<![A-Za-z]')\Q"), w, F.lit(r"\E(?![A-Za-z]|'[A-Za-z])")))
         return T.let(first, lambda w: F.when(w.isNull(), nothing).otherwise(T.let(alone(w), lambda i: result(F.lit("exact_token"), F.when(i > 0, i).otherwise(F.position(w, translation)) - 1, F.length(w)))))

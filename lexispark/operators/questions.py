@@ -25,13 +25,18 @@ def shuffled(items: Column, seed_parts: list[Column], seed: int = 0) -> Column:
     return F.transform(F.sort_array(keyed), lambda s: s["x"])
 
 
+#: Neighbours that a word looks at one by one, and ranks of a block of a ring.
+_STEPS, _BLOCK = 128, 256
+
+
 def _ring(own: DataFrame, todo: DataFrame, ring: str, far: bool, n: int, reach: int) -> DataFrame:
     """id, overlap, far, step, other_id: for each word of todo (id, need) its neighbours on
     the ring: the first that don't overlap, as many as it needs, and the first n that do.
-    Words that still need some go on, twice as far each time, until their ring is through."""
-    r = saved(V.ranked(own, [ring], "one", "h", prefix=4).select("id", "pos", "definition", F.col(ring).alias("ring"), "rank", "n"))
+    Words that still need some go on, twice as far each time; beyond ``_STEPS`` neighbours the
+    ring is searched by classes of words that have equal definitions."""
+    r = saved(V.ranked(own, [ring], "one", "h", prefix=4).select("id", "pos", "definition", "class", F.col(ring).alias("ring"), "rank", "n"))
     right = r.select("ring", "rank", F.col("id").alias("other_id"), F.col("pos").alias("other_pos"), F.col("definition").alias("other_def"))
-    todo = saved(todo.join(r, "id").select("id", "need", F.col("pos").alias("own_pos"), F.col("definition").alias("own_def"), "ring", F.col("rank").alias("at"), "n"))
+    todo = saved(todo.join(r, "id").select("id", "need", F.col("pos").alias("own_pos"), F.col("definition").alias("own_def"), F.col("class").alias("own_class"), "ring", F.col("rank").alias("at"), "n"))
     found, low, high = [], 1, reach
     while True:
         steps = todo.withColumn("step", F.explode(F.sequence(F.lit(low), F.lit(high)))).where("step < n")
@@ -47,13 +52,47 @@ def _ring(own: DataFrame, todo: DataFrame, ring: str, far: bool, n: int, reach:
         todo = saved(todo.where((F.col("need") > 0) & (F.col("n") > high + 1)))
         if todo.isEmpty():
             break
-        low, high = high + 1, min(2 * high, high + 4096)
+        if high >= _STEPS:
+            found.append(_by_class(r, todo, far, n, high))
+            break
+        low, high = high + 1, 2 * high
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
     return out
 
 
+def _by_class(r: DataFrame, todo: DataFrame, far: bool, n: int, past: int) -> DataFrame:
+    """id, overlap, far, step, other_id: the first n words on the ring, more than ``past``
+    steps away, that don't overlap with a word of todo.
+
+    Overlap is found once for two classes, not for each two words. What a class may take are
+    its targets, put in blocks of ranks (twice, so that a ring goes on at its start); a word
+    looks at the first block behind its place that has a target, and at the first n targets
+    of the blocks behind that one."""
+    key = ["ring", "own_class", "own_pos"] if far else ["ring", "own_class"]
+    kinds = r.groupBy("ring", "class").agg(F.first("definition").alias("other_def"))
+    asking = todo.groupBy(*key).agg(F.first("own_def").alias("own_def"))
+    open_ = asking.join(kinds, "ring").where(~T.fold_overlap(F.col("other_def"), F.col("own_def"))).select(*key, "class")
+    targets = saved(open_).join(r.select("ring", "class", "rank", "n", F.col("id").alias("other_id"), F.col("pos").alias("other_pos")), ["ring", "class"])
+    targets = targets.where("own_pos <> other_pos") if far else targets
+    twice = targets.select(*key, "other_id", F.explode(F.array(F.col("rank"), F.col("rank") + F.col("n"))).alias("rank"))
+    block = lambda c: F.floor(c / _BLOCK)
+    rows = twice.groupBy(*key, block(F.col("rank")).alias("block")).agg(F.sort_array(F.collect_list(F.struct("rank", "other_id"))).alias("here"))  # _BLOCK targets at most
+    behind = F.collect_list(F.slice("here", 1, n)).over(W.partitionBy(*key).orderBy("block").rowsBetween(1, n))
+    rows = saved(rows.withColumn("behind", F.slice(F.flatten(behind), 1, n)))
+    asked = todo.withColumn("from", F.col("at") + past).withColumn("block", block(F.col("from")))
+    # the first block, at or behind a word's own, that has targets
+    both = rows.select(*key, "block", F.col("block").alias("full")).unionByName(asked.select(*key, "block").distinct().withColumn("full", F.lit(None).cast("long")))
+    next_full = F.min("full").over(W.partitionBy(*key).orderBy("block").rangeBetween(0, W.unboundedFollowing))
+    at = both.withColumn("next", next_full).where("full IS NULL").select(*key, "block", "next")
+    j = asked.join(at, [*key, "block"]).join(rows.select(*key, F.col("block").alias("next"), "here", "behind"), [*key, "next"])
+    inside = F.filter(F.concat("here", "behind"), lambda x: (x["rank"] > F.col("from")) & (x["rank"] < F.col("at") + F.col("n")))
+    # if nothing of the first block is left, its followers are n already
+    some = j.select("id", "at", F.explode(F.slice(inside, 1, n)).alias("x"))
+    return some.select("id", F.lit(False).alias("overlap"), F.lit(int(far)).alias("far"), (F.col("x.rank") - F.col("at")).alias("step"), "x.other_id")
+
+
 def distractors(words: DataFrame, n: int = 3, reach: int = 8, seed: int = 0, of: DataFrame | None = None) -> DataFrame:
     """id, k, other_id: n others of each word, those whose definition overlaps its own
     only after all that don't, then its own part of speech first, then ring order. The first
@@ -61,7 +100,7 @@ def distractors(words: DataFrame, n: int = 3, reach: int = 8, seed: int = 0, of:
     as it takes, and only they look at other parts of speech. words: id, pos, definition; of:
     the ids whose others are asked for, if not all words'."""
     own = words.select("id", "pos", "definition", shade(F.col("id"), seed=seed).alias("h"))
-    own = own.withColumn("one", F.lit(1)).withColumn("all", F.lit("all"))
+    own = own.withColumn("one", F.lit(1)).withColumn("all", F.lit("all")).withColumn("class", F.coalesce(F.sort_array(T.fold_bag(F.col("definition"))), F.expr("cast(array() as array<string>)")))
     asked = (own if of is None else own.join(of.select("id").distinct(), "id", "left_semi")).select("id")
     near = saved(_ring(own, asked.withColumn("need", F.lit(n)), "pos", False, n, reach))
     free = near.where("NOT overlap").groupBy("id").agg(F.least(F.count("*"), F.lit(n)).cast("int").alias("free"))

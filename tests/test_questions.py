@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 import pytest
 
@@ -10,7 +11,7 @@ from lexispark.operators import sessions as S
 
 
 def bag(text):
-    return set(text.split())
+    return {w for w in re.split(r"[\s,;]+", (text or "").lower()) if w}
 
 
 def brute_distractors(words, n=3):
@@ -37,6 +38,27 @@ def test_distractors_far_around_the_ring(spark):
     assert K.distractors(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n_words", [230, 6_000])
+def test_words_of_equal_definitions(spark, monkeypatch, n_words):
+    """Words of a few definitions, all but some of which overlap: the ring is searched by classes."""
+    if n_words < 1000:
+        monkeypatch.setattr(K, "_STEPS", 4)
+        monkeypatch.setattr(K, "_BLOCK", 8)
+    kinds = ["same old words", "words same old", "same old words here", "Same, old; other words"]
+    words = [(i, "noun" if i % 3 else "verb", kinds[i % 4]) for i in range(n_words)]
+    words += [(n_words + i, "noun", f"clean{i} other") for i in range(4)] + [(n_words + 9, "verb", "rare gloss"), (n_words + 10, "adverb", ""), (n_words + 11, "verb", None)]
+    d = spark.createDataFrame(words, "id long, pos string, definition string")
+    got = {}
+    for r in K.distractors(d, reach=4).orderBy("id", "k").collect():
+        got.setdefault(r.id, []).append(r.other_id)
+    assert len(got) == len(words) and all(len(x) == 3 for x in got.values())
+    if n_words < 1000:
+        assert got == brute_distractors(words)
+    else:  # the rare ones are whom the others take
+        rare = {i for i, _, t in words if i >= n_words}
+        assert all(set(got[i]) <= rare for i in range(0, n_words, 997))
+
+
 def test_unknown_kind_and_mixed_mode(spark):
     forms = "array<struct<form:string,morphology:string>>"
     rows = [(i, f"l{i}", "n", f"gloss{i}", None, [(f"f{i}", f"m{i % 3}")] if i % 2 else []) for i in range(8)]
