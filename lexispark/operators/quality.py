@@ -86,6 +86,12 @@ def verdict(meta: DataFrame, *found: DataFrame) -> DataFrame:
     return meta.join(per, "work_id", "left").select("work_id", known, failures.alias("failures"), (failures == 0).alias("ok"))
 
 
+def run_verdict(works: DataFrame) -> DataFrame:
+    """One row over all works of verdict(): works, failed, failures, ok; nothing is ok of no
+    works."""
+    return works.agg(F.count("*").alias("works"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum("failures"), F.lit(0)).cast("long").alias("failures"), F.coalesce(F.bool_and("ok"), F.lit(False)).alias("ok"))
+
+
 def coverage(words: DataFrame) -> DataFrame:
     """One row: words with gloss, etymology, contexts; translated contexts; detail."""
     many = F.coalesce(F.size("forms") >= 2, F.lit(False))

@@ -65,18 +65,21 @@ def dq_words(spark, d):
     return Q.check_words(words(spark, d))
 
 
-_META = "SELECT work_id, work_id AS title, CASE WHEN right(work_id, 1) = '3' THEN '' ELSE 'x' END AS author, sum(frequency) AS total_words, count(*) FILTER (WHERE a <> 5) AS unique_lemmas, CASE WHEN right(work_id, 1) = '1' THEN NULL ELSE 'section' END AS reference_system FROM (" + _WORDS + ") GROUP BY work_id"
+# metadata with faults by the last digit, and a work without words
+_META = "SELECT work_id, work_id AS title, CASE WHEN right(work_id, 1) = '3' THEN '' ELSE 'x' END AS author, CASE WHEN right(work_id, 1) = '4' THEN 0 ELSE sum(frequency) END AS total_words, CASE WHEN right(work_id, 1) = '5' THEN NULL ELSE count(*) FILTER (WHERE a <> 5) END AS unique_lemmas, CASE WHEN right(work_id, 1) = '1' THEN NULL ELSE 'section' END AS reference_system FROM (" + _WORDS + ") GROUP BY work_id UNION ALL SELECT 'Empty', 'Empty', 'x', 10, 5, 'section'"
 
 
 def meta(spark, d):
     own = table(spark, d, "part").groupBy(F.col("p_brand").alias("work_id"))
     m = own.agg(F.sum(F.col("p_size") - 2).alias("total_words"), F.count_if(F.col("p_partkey") % 13 != 5).alias("unique_lemmas"))
     tail = F.right("work_id", F.lit(1))
-    return m.select("work_id", F.col("work_id").alias("title"), F.when(tail == "3", "").otherwise("x").alias("author"), "total_words", "unique_lemmas", F.when(tail != "1", "section").alias("reference_system"))
+    numbers = F.when(tail == "4", 0).otherwise(F.col("total_words")).alias("total_words"), F.when(tail != "5", F.col("unique_lemmas")).alias("unique_lemmas")
+    known = m.select("work_id", F.col("work_id").alias("title"), F.when(tail == "3", "").otherwise("x").alias("author"), *numbers, F.when(tail != "1", "section").alias("reference_system"))
+    return known.unionByName(spark.createDataFrame([("Empty", "Empty", "x", 10, 5, "section")], known.schema))
 
 
-_META_FAULTS = f"SELECT work_id, 'metadata.author' AS code FROM ({_META}) WHERE author = ''"
-_WORK_FAULTS = f"SELECT work_id, 'unique_lemmas.count' AS code FROM ({_META}) m JOIN (SELECT work_id, count(*) AS n FROM ({_WORDS}) GROUP BY work_id) USING (work_id) WHERE unique_lemmas <> n UNION ALL SELECT work_id, 'levels.missing' FROM ({_WORDS}) GROUP BY work_id HAVING count(DISTINCT level) FILTER (WHERE level BETWEEN 1 AND 3) < 3 UNION ALL SELECT work_id, 'index.missing' FROM ({_META}) WHERE right(work_id, 1) = '2'"
+_META_FAULTS = f"SELECT work_id, 'metadata.author' AS code FROM ({_META}) WHERE author = '' UNION ALL SELECT work_id, 'metadata.total_words' FROM ({_META}) WHERE total_words IS NULL OR total_words <= 0 UNION ALL SELECT work_id, 'metadata.unique_lemmas' FROM ({_META}) WHERE unique_lemmas IS NULL OR unique_lemmas <= 0"
+_WORK_FAULTS = f"SELECT work_id, 'unique_lemmas.count' AS code FROM ({_META}) m JOIN (SELECT work_id, count(*) AS n FROM ({_WORDS}) GROUP BY work_id) USING (work_id) WHERE unique_lemmas <> n UNION ALL SELECT work_id, 'levels.missing' FROM ({_WORDS}) GROUP BY work_id HAVING count(DISTINCT level) FILTER (WHERE level BETWEEN 1 AND 3) < 3 UNION ALL SELECT work_id, 'index.missing' FROM ({_META}) WHERE right(work_id, 1) = '2' UNION ALL SELECT work_id, 'words.empty' FROM ({_META}) WHERE work_id NOT IN (SELECT work_id FROM ({_WORDS}))"
 
 
 @query("dq_metadata", _META_FAULTS)
@@ -99,9 +102,9 @@ def dq_verdict(spark, d):
     return Q.verdict(meta(spark, d), Q.check_words(words(spark, d)), Q.check_metadata(meta(spark, d)), _works(spark, d))
 
 
-@query("words_coverage", f"SELECT count(*) AS words, count(*) FILTER (WHERE b <> 9) AS glossed, 0::BIGINT AS etymologies, count(*) FILTER (WHERE b <> 0) AS with_contexts, count(*) FILTER (WHERE b <> 0) AS contexts, count(*) FILTER (WHERE b NOT IN (0, 3, 4)) AS translated, 0::BIGINT AS multi_form FROM ({_WORDS})")
+@query("words_coverage", f"SELECT count(*) AS words, count(*) FILTER (WHERE b <> 9) AS glossed, 0::BIGINT AS etymologies, count(*) FILTER (WHERE b <> 0) AS with_contexts, count(*) FILTER (WHERE b <> 0) AS contexts, count(*) FILTER (WHERE b NOT IN (0, 3, 4)) AS translated, 0::BIGINT AS multi_form, 0::BIGINT AS detailed FROM ({_WORDS})")
 def words_coverage(spark, d):
-    return Q.coverage(words(spark, d)).drop("detailed")
+    return Q.coverage(words(spark, d))
 
 
 @query("unresolved_highlights", f"SELECT work_id, concat_ws(':', CAST(id AS VARCHAR), '0') AS context_id, CASE WHEN trim(coalesce(form, '')) <> '' AND b <> 9 THEN form ELSE definition END AS gloss FROM ({_WORDS}) WHERE b = 6")
