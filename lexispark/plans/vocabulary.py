@@ -9,7 +9,7 @@ from lexispark.functions import text as T
 from lexispark.functions.greek import strip_marks
 from lexispark.operators import lexicon as L
 from lexispark.operators import vocab as V
-from lexispark.session import table
+from lexispark.session import saved, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -53,14 +53,14 @@ _FREQ = f"SELECT lang, token AS lemma, count(*) AS frequency FROM ({_TOK}) WHERE
 
 @query("vocab_levels", f"SELECT lang, lemma, frequency, CAST(ntile(3) OVER (PARTITION BY lang ORDER BY frequency DESC, lemma) AS INTEGER) AS level FROM ({_FREQ})")
 def vocab_levels(spark, d):
-    r = V.ranked(stopword_filtered_vocab(spark, d), ["lang"], "frequency", "lemma")
+    r = V.ranked(saved(stopword_filtered_vocab(spark, d)), ["lang"], "frequency", "lemma")  # texts are counted once
     return r.select("lang", "lemma", "frequency", V.level(F.col("rank"), F.col("n")).alias("level"))
 
 
 @query("vocab_ids", f"WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS lemma FROM benchmark) SELECT lang, lemma, row_number() OVER (PARTITION BY lang ORDER BY frequency DESC, lemma) AS id FROM ({_FREQ}) SEMI JOIN b USING (lemma)")
 def vocab_ids(spark, d):
     defined = V.tokens(table(spark, d, "benchmark"), "item_id", "text").select(F.col("token").alias("lemma")).distinct()
-    kept = stopword_filtered_vocab(spark, d).join(defined, "lemma", "left_semi")
+    kept = saved(stopword_filtered_vocab(spark, d).join(defined, "lemma", "left_semi"))
     return V.ranked(kept, ["lang"], "frequency", "lemma").select("lang", "lemma", F.col("rank").alias("id"))
 
 
@@ -69,15 +69,18 @@ def first_pos_per_lemma(spark, d):
     return tokens(spark, d).groupBy(F.col("token").alias("lemma")).agg(V.first_value(F.col("source"), F.struct("doc_id", "token_ord")).alias("pos"))
 
 
-_FORMS = r"SELECT lower(form) AS lemma, form, count(*) AS occurrences, min(doc_id * 1000000 + o) AS first_ord FROM (SELECT doc_id, unnest(t) AS form, generate_subscripts(t, 1) AS o FROM (SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS t FROM documents)) GROUP BY ALL"
+_FORMS = r"SELECT lower(form) AS lemma, form, count(*) AS occurrences, min((doc_id, o)) AS first_ord, arg_min(source, (doc_id, o)) AS morphology FROM (SELECT doc_id, source, unnest(t) AS form, generate_subscripts(t, 1) AS o FROM (SELECT doc_id, source, regexp_extract_all(text, '\p{L}+') AS t FROM documents)) GROUP BY ALL"
 
 
-@query("form_occurrences", f"SELECT lemma, string_agg(form || ':' || occurrences, ' ' ORDER BY occurrences DESC, first_ord) AS forms, CAST(sum(occurrences) AS BIGINT) AS frequency FROM ({_FORMS}) GROUP BY lemma")
+@query("form_occurrences", f"SELECT lemma, string_agg(form || ':' || occurrences || ':' || morphology, ' ' ORDER BY occurrences DESC, first_ord) AS forms, CAST(sum(occurrences) AS BIGINT) AS frequency FROM ({_FORMS}) GROUP BY lemma")
 def form_occurrences(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("o", "form"))
-    forms = rows.groupBy(F.lower("form").alias("lemma"), "form").agg(F.count("*").alias("occurrences"), F.min(F.col("doc_id") * 1_000_000 + F.col("o") + 1).alias("first_ord"))
-    nested = V.nested_forms(forms.withColumn("morphology", F.lit("")), "lemma")
-    return nested.select("lemma", F.array_join(F.transform("forms", lambda x: F.concat(x["form"], F.lit(":"), x["occurrences"].cast("string"))), " ").alias("forms"), F.aggregate("forms", F.lit(0).cast("long"), lambda a, x: a + x["occurrences"]).alias("frequency"))
+    """Forms of each lemma with their occurrences and the morphology (here the source) of the first."""
+    rows = table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("o", "form"))
+    first = F.struct("doc_id", "o")
+    forms = rows.groupBy(F.lower("form").alias("lemma"), "form").agg(F.count("*").alias("occurrences"), F.min(first).alias("first_ord"), F.min_by("source", first).alias("morphology"))
+    nested = V.nested_forms(forms, "lemma")
+    told = lambda x: F.concat_ws(":", x["form"], x["occurrences"].cast("string"), x["morphology"])
+    return nested.select("lemma", F.array_join(F.transform("forms", told), " ").alias("forms"), F.aggregate("forms", F.lit(0).cast("long"), lambda a, x: a + x["occurrences"]).alias("frequency"))
 
 
 _SENT = r"SELECT doc_id, s AS sentence, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS sentence_ord FROM (SELECT doc_id, trim(unnest(x)) AS s, generate_subscripts(x, 1) AS o FROM (SELECT doc_id, string_split(regexp_replace(text, '([.;·])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents)) WHERE s <> ''"
@@ -91,15 +94,17 @@ def sentences(spark, d):
 @query(
     "context_topk",
     f"""WITH s AS ({_SENT}), t AS (SELECT DISTINCT doc_id, sentence_ord, sentence, unnest(regexp_extract_all(lower(sentence), '\\p{{L}}+')) AS form FROM s),
-w AS (SELECT form, CAST(doc_id % 7 AS VARCHAR) AS ref, doc_id * 100000 + sentence_ord AS ord, sentence, strpos(lower(sentence), form) - 1 AS st FROM t WHERE length(form) BETWEEN 4 AND 6),
+w AS (SELECT form, CAST(doc_id % 7 AS VARCHAR) AS ref, (doc_id, sentence_ord) AS ord, sentence, strpos(lower(sentence), form) - 1 AS st FROM t),
 f AS (SELECT left(form, 4) AS lemma, ref, form, min(ord) AS ord, arg_min(st, ord) AS st FROM w WHERE st >= 0 GROUP BY ALL),
 l AS (SELECT lemma, list({{'ord': ord, 'ref': ref, 'form': form, 'st': st}} ORDER BY ord, ref, form) AS c FROM f GROUP BY lemma),
 r AS (SELECT lemma, list_reduce(c, lambda a, x: CASE WHEN len(a) < 3 AND len(list_filter(a, lambda y: y.ref = x.ref OR y.form = x.form)) = 0 THEN list_concat(a, [x]) ELSE a END, []) AS c FROM (SELECT lemma, list_transform(c, lambda x: x) AS c FROM l))
 SELECT lemma, CAST(unnest(range(0, len(c))) AS INTEGER) AS k, unnest(list_transform(c, lambda x: x.ref)) AS ref, unnest(list_transform(c, lambda x: x.form)) AS form, CAST(unnest(list_transform(c, lambda x: x.st)) AS INTEGER) AS highlight_start FROM r""",
 )
 def context_topk(spark, d):
-    s = sentences(spark, d)
-    t = s.select(F.pmod("doc_id", F.lit(7)).cast("string").alias("ref"), (F.col("doc_id") * 100_000 + F.col("sentence_ord")).alias("ord"), "sentence", F.explode(F.array_distinct(T.words(F.col("sentence")))).alias("form")).where(F.length("form").between(4, 6))
+    """Contexts of every lemma (the first four letters of a form), a seventh of the documents as ref."""
+    low = F.lower("sentence")
+    at = T.let(low, lambda x: F.transform(F.array_distinct(T.words(x)), lambda f: F.struct(f.alias("form"), (F.position(f, x) - 1).alias("start"))))
+    t = sentences(spark, d).select(F.pmod("doc_id", F.lit(7)).cast("string").alias("ref"), F.struct("doc_id", "sentence_ord").alias("ord"), F.explode(at).alias("x")).select("ref", "ord", "x.form", "x.start")
     c = V.select_contexts(t.withColumn("lemma", F.substring("form", 1, 4)), "lemma")
     return c.select("lemma", F.posexplode("contexts").alias("k", "c")).select("lemma", "k", "c.ref", "c.form", "c.highlight_start")
 
