@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from lexispark.operators import questions as K
 from lexispark.operators import study as S
+from lexispark.session import saved
 
 
 def wrong_answers(answers: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def adaptive_questions(states: DataFrame, words: DataFrame, part: str, mode: str
     same in those that last asked it by the same form."""
     can = words.where(K.eligible(F.col("forms"))) if mode == "form-id" else words
     own = states.join(can.select("id"), "id", "left_semi")
-    picked = adaptive(own, part, "id", seed).join(states.select(part, "id", "last_prompt"), [part, "id"])
+    picked = saved(adaptive(own, part, "id", seed).join(states.select(part, "id", "last_prompt"), [part, "id"]))  # a row for each session, read several times
     # sessions that ask one word in one way share its question
     ways = picked.select("id", "last_prompt").distinct()
     asked = ways.join(words, "id").withColumn("exclude_forms", F.when(F.col("last_prompt").isNotNull(), F.array("last_prompt")).otherwise(F.expr("cast(array() as array<string>)")))

@@ -246,7 +246,6 @@ _FOLDED = f"SELECT user_id AS session_id, word_id, CAST(count(*) AS INTEGER) AS
 def streaming_restored(spark, d):
     """The earlier half of the answers is a saved session of each user, of version 1; a stream
     goes on from there, and gets some of the earlier answers again."""
-    SR.settings(spark)
     e = table(spark, d, "events")
     ends = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi")).first()
     middle = F.timestamp_micros(F.lit((ends["lo"] + ends["hi"]) // 2))
@@ -265,6 +264,7 @@ def streaming_restored(spark, d):
     stats = saved(SR.word_stats(saved_.select("session_id", SR.restored(F.col("text"), F.lit(1).cast("long")).alias("session"))))
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     late = answer(stream.where(~early | (F.col("event_id") % 10 == 0)))
-    after = quizzes._drained(SR.word_sessions(late, stats), "update")
+    with SR.settings(spark):
+        after = quizzes._drained(SR.word_sessions(late, stats), "update")
     last = stats.select(*after.columns).unionByName(after).groupBy(*key).agg(F.max_by(F.struct("seen", "correct", "streak", "urgency", "last_prompt"), "seen").alias("x"))
     return last.select(*key, "x.*")

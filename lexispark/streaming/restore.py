@@ -10,6 +10,7 @@ Avro encoding), and fields they lack take their defaults when a row is read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,10 +132,20 @@ class Words(StatefulProcessor):
         pass
 
 
-def settings(spark: SparkSession) -> None:
-    """What the state needs: a store that keeps rows on disk, in an encoding that can evolve."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    spark.conf.set("spark.sql.streaming.stateStore.encodingFormat", "avro")
+@contextmanager
+def settings(spark: SparkSession) -> Iterator[None]:
+    """What the state needs when a stream starts: a store that keeps rows on disk, in an
+    encoding that can evolve. The session is then as before; other streams can't use it."""
+    wanted = {"providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "encodingFormat": "avro"}
+    wanted = {f"spark.sql.streaming.stateStore.{k}": v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def word_sessions(answers: DataFrame, saved: DataFrame | None = None, version: int = VERSION, remember_ms: int | None = None) -> DataFrame:
@@ -142,7 +153,7 @@ def word_sessions(answers: DataFrame, saved: DataFrame | None = None, version: i
     word_id, question_id, event_id, ts, correct, prompt. saved: rows of word_stats(), which a
     new stream begins with. remember_ms: how long an answered question is remembered (for
     ever, if not given); such a stream always has another batch, so let it go on, or run it
-    with trigger(once=True). Needs settings()."""
+    with trigger(once=True). Start it within settings()."""
     mode = "None" if remember_ms is None else "ProcessingTime"
     first = None if saved is None else saved.groupBy("session_id", "word_id")
     return answers.groupBy("session_id", "word_id").transformWithStateInPandas(Words(version, remember_ms), OUT, "Update", mode, initialState=first)

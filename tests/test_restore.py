@@ -24,7 +24,6 @@ def fold(answers, start=None):
 
 @pytest.mark.parametrize("remember", [None, 3_600_000])
 def test_restart_in_a_later_version(spark, tmp_path, remember):
-    R.settings(spark)
     made = [(1 + i % 2, i % 3, f"q{i}", i, i % 4 != 1, f"p{i}") for i in range(40)]
     rows = [(s, w, q, e, __import__("datetime").datetime(2024, 1, 1, 0, 0, e), ok, p) for s, w, q, e, ok, p in made]
     saved = spark.createDataFrame([(9, 9, 5, 4, 1, 2, 0, None, None, ["old"]), (1, 0, 2, 2, 0, 2, 0, "x", None, None)], "session_id long, word_id long, seen int, correct int, incorrect int, streak int, urgency int, last_prompt string, last_seen timestamp, answered array<string>")
@@ -37,8 +36,9 @@ def test_restart_in_a_later_version(spark, tmp_path, remember):
             got.update({(r.session_id, r.word_id): (r.seen, r.correct, r.incorrect, r.streak, r.urgency, r.last_prompt) for r in batch.collect()})
 
         stream = R.word_sessions(spark.readStream.schema(ANSWER).parquet(f"{tmp_path}/in"), saved, version, remember)
-        q = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(once=True).start()
-        q.awaitTermination()
+        with R.settings(spark):
+            q = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(once=True).start()
+            q.awaitTermination()
         return got
 
     start = {(9, 9): (5, 4, 1, 2, 0, None), (1, 0): (2, 2, 0, 2, 0, "x")}
