@@ -109,7 +109,15 @@ def context_topk(spark, d):
     return c.select("lemma", F.posexplode("contexts").alias("k", "c")).select("lemma", "k", "c.ref", "c.form", "c.highlight_start")
 
 
-@query("context_topk_all")
+@query(
+    "context_topk_all",
+    f"""WITH s AS ({_SENT}), t AS (SELECT DISTINCT doc_id, sentence_ord, sentence, unnest(regexp_extract_all(sentence, '\\p{{L}}+')) AS form FROM s),
+w AS (SELECT lower(form) AS lemma, form, doc_id AS ref, {{'d': doc_id, 's': sentence_ord}} AS ord, strpos(lower(sentence), lower(form)) - 1 AS st FROM t),
+f AS (SELECT lemma, ref, form, min(ord) AS ord, arg_min(st, ord) AS st FROM w WHERE st >= 0 GROUP BY ALL),
+l AS (SELECT lemma, list({{'ord': ord, 'ref': ref, 'form': form, 'st': st}} ORDER BY ord, ref, form) AS c FROM f GROUP BY lemma),
+r AS (SELECT lemma, list_reduce(c, lambda a, x: CASE WHEN len(a) < 3 AND len(list_filter(a, lambda y: y.ref = x.ref OR y.form = x.form)) = 0 THEN list_concat(a, [x]) ELSE a END, []) AS c FROM (SELECT lemma, list_transform(c, lambda x: x) AS c FROM l))
+SELECT lemma, CAST(unnest(range(0, len(c))) AS INTEGER) AS k, unnest(list_transform(c, lambda x: x.ref)) AS doc_id, unnest(list_transform(c, lambda x: x.ord.s)) AS sentence_ord, unnest(list_transform(c, lambda x: x.form)) AS form, CAST(unnest(list_transform(c, lambda x: x.st)) AS INTEGER) AS highlight_start FROM r""",
+)
 def context_topk_all(spark, d):
     """Contexts of every lemma (a form in lower case), the document as ref; no filter on forms."""
     s = sentences(spark, d)
@@ -179,9 +187,18 @@ def truncate_gloss(spark, d):
     return t.select("conv_id", "turn", T.short_definition(F.col("text")).alias("gloss"))
 
 
-@query("truncate_gloss_all")
+_LETTER = r"'[\p{L}\p{M}\p{Nd}\p{Pc}]'"
+_STOPS = f"list_filter(range(1, length(t) + 1), lambda i: t[i] = '.' AND NOT regexp_matches(coalesce(t[i + 1], ''), {_LETTER}) AND NOT (i > 1 AND regexp_matches(coalesce(t[i - 1], ''), '[A-Z]') AND (i = 2 OR NOT regexp_matches(coalesce(t[i - 2], ''), {_LETTER}))))"
+
+
+@query(
+    "truncate_gloss_all",
+    f"""WITH n AS ({_NORM}), c AS (SELECT *, trim(split_part(t, ';', 1)) AS clause, {_STOPS} AS stops, left(t, 80) AS head FROM n), d AS (SELECT *, CASE WHEN len(stops) > 0 THEN trim(left(t, stops[1] - 1)) ELSE t END AS sent FROM c)
+SELECT conv_id, turn, CASE WHEN coalesce(t, '') = '' THEN '' WHEN contains(t, ';') AND length(clause) BETWEEN 3 AND 80 THEN clause WHEN sent <> t AND length(sent) BETWEEN 3 AND 80 THEN sent
+ WHEN length(t) <= 80 THEN t WHEN contains(head, ' ') THEN regexp_extract(head, '^(.*) ', 1) || '…' ELSE head || '…' END AS gloss FROM d""",
+)
 def truncate_gloss_all(spark, d):
-    """Every row; no SQL, as DuckDB's patterns have no lookbehind."""
+    """Every row, initials and abbreviations too; the SQL looks at each period by itself."""
     return table(spark, d, "conversations").select("conv_id", "turn", T.short_definition(F.col("text")).alias("gloss"))
 
 
