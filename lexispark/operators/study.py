@@ -81,13 +81,13 @@ def weight(seen: Column, correct: Column, incorrect: Column, streak: Column, urg
     return F.when(seen.isNull(), F.lit(1.5)).otherwise(F.greatest(w, F.lit(0.2)))
 
 
-def weighted_pick(pool: DataFrame, part: str, item: str, weight_col: str, r: Column, ranges: int = 64) -> DataFrame:
+def weighted_pick(pool: DataFrame, part: str, item: str, weight_col: str, r: Column) -> DataFrame:
     """The first item, in order, at which the running weight reaches r of the total.
 
     Items are put in ranges, whose sums tell the range that has the item; only its rows are
     summed one by one, so no task sees a part as a whole."""
-    own = pool.select(part, item, F.col(weight_col).alias("_w"), r.alias("_r"))
-    own = saved(own.repartitionByRange(ranges, part, item).withColumn("_range", F.spark_partition_id()))  # ranges hold from here on
+    own = saved(pool.select(part, item, F.col(weight_col).alias("_w"), r.alias("_r")))  # ranges are drawn from a sample: a second reading
+    own = saved(own.repartitionByRange(part, item).withColumn("_range", F.spark_partition_id()))  # ranges hold from here on
     sums = own.groupBy(part, "_range").agg(F.sum("_w").alias("_sum"), F.max("_r").alias("_r"))
     upto = sums.withColumn("_upto", F.sum("_sum").over(W.partitionBy(part).orderBy("_range"))).withColumn("_total", F.sum("_sum").over(W.partitionBy(part)))
     chosen = upto.where(F.col("_upto") >= F.col("_r") * F.col("_total")).groupBy(part).agg(F.min_by(F.struct("_range", (F.col("_upto") - F.col("_sum")).alias("_before"), (F.col("_r") * F.col("_total")).alias("_at")), "_range").alias("c"))

@@ -75,10 +75,13 @@ _FORMS = r"SELECT lower(form) AS lemma, form, count(*) AS occurrences, min((doc_
 @query("form_occurrences", f"SELECT lemma, string_agg(form || ':' || occurrences || ':' || morphology, ' ' ORDER BY occurrences DESC, first_ord) AS forms, CAST(sum(occurrences) AS BIGINT) AS frequency FROM ({_FORMS}) GROUP BY lemma")
 def form_occurrences(spark, d):
     """Forms of each lemma with their occurrences and the morphology (here the source) of the first."""
-    rows = table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("o", "form"))
-    first = F.struct("doc_id", "o")
-    forms = rows.groupBy(F.lower("form").alias("lemma"), "form").agg(F.count("*").alias("occurrences"), F.min(first).alias("first_ord"), F.min_by("source", first).alias("morphology"))
-    nested = V.nested_forms(forms, "lemma")
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("o", "form"))
+    # a place as one number of 38 digits, which Spark can aggregate by hash; 12 of them are for the place in the text
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(10**12).cast("decimal(13,0)") + F.col("o")
+    forms = rows.groupBy(F.lower("form").alias("lemma"), "form").agg(F.count("*").alias("occurrences"), F.min(place).alias("first_ord"))
+    first = forms.withColumn("doc_id", F.floor(F.col("first_ord") / F.lit(10**12).cast("decimal(13,0)")).cast("long"))
+    nested = V.nested_forms(first.join(docs.select("doc_id", F.col("source").alias("morphology")), "doc_id"), "lemma")
     told = lambda x: F.concat_ws(":", x["form"], x["occurrences"].cast("string"), x["morphology"])
     return nested.select("lemma", F.array_join(F.transform("forms", told), " ").alias("forms"), F.aggregate("forms", F.lit(0).cast("long"), lambda a, x: a + x["occurrences"]).alias("frequency"))
 
