@@ -1,7 +1,10 @@
-"""Spans of a translation that render a gloss, found by ordered fallbacks.
+"""Spans of a translation that render a gloss, found by ordered fallbacks: phrases of the
+gloss, longest first; then the first word of the translation that shares a form with a
+single-word candidate.
 
-All in column functions: phrases of the gloss, longest first; then the first word of the
-translation that shares a form with a single-word candidate."""
+A gloss is compiled once (``compiled``) to its phrases and to all words that it finds, by
+undoing the stemmer; a text is then cut into words once and looked up (``spot``), so no word
+of a text is stemmed. Where glosses repeat, compile the table of distinct ones and join it."""
 
 from __future__ import annotations
 
@@ -61,8 +64,9 @@ PHRASES = {
 # Confidence of each method.
 CONFIDENCE = {"exact_phrase": "high", "phrase_override": "high", "exact_token": "medium", "model_align": "high", "none": "low"}
 _IRREGULAR = {form: min(forms.split()) for form, forms in SURFACE.items()}
-#: First two letters of irregular words.
-_BEGINS = sorted({form[:2] for form in SURFACE})
+#: Words of an irregular base, and words that stand for a form.
+_IRREGULAR_OF = {base: tuple(sorted(w for w, b in _IRREGULAR.items() if b == base)) for base in _IRREGULAR.values()}
+_STANDS_FOR = {form: tuple(sorted(w for w, fs in SURFACE.items() if form in fs.split())) for fs in SURFACE.values() for form in fs.split()}
 
 
 def _lookup(table: dict[str, tuple[str, ...]], key: Column) -> Column:
@@ -102,37 +106,67 @@ def candidates(gloss: Column) -> Column:
     return F.transform(F.sort_array(F.transform(clean, lambda v, i: F.struct((-F.length(v)).alias("n"), i.alias("i"), v.alias("v")))), lambda s: s["v"])
 
 
-def find(translation: Column, gloss: Column, definition: Column | None = None) -> Column:
-    """struct(method, confidence, start, end); no bounds if the method is none. The
-    dictionary's definition counts only where the gloss has no candidates."""
+def spellings(forms: Column) -> Column:
+    """All lower-case words that have one of the forms among their variants: words that the
+    stemmer may cut to a form, or to a word that stands for one, less those it doesn't."""
+    none = F.expr("cast(array() as array<string>)")
+    endings = [s for s, _ in T.SUFFIXES if s not in ("ied", "ies")]
+
+    def inflected(b: Column) -> Column:
+        of_y = F.concat(F.substr(b, F.lit(1), F.length(b) - 1), F.lit("i"))
+        more = F.when(F.endswith(b, F.lit("y")), F.array(F.concat(of_y, F.lit("ed")), F.concat(of_y, F.lit("es")))).otherwise(none)
+        return F.concat(F.array(b, *[F.concat(b, F.lit(s)) for s in endings]), more, _lookup(_IRREGULAR_OF, b))
+
+    bases = F.array_distinct(F.concat(forms, F.flatten(F.transform(forms, lambda f: _lookup(_STANDS_FOR, f)))))
+    words = F.array_distinct(F.flatten(F.transform(bases, inflected)))
+    return F.filter(words, lambda w: F.arrays_overlap(variants(w), forms))
+
+
+def compiled(gloss: Column, definition: Column | None = None) -> Column:
+    """struct(phrases, words) of a gloss: phrases (p, its method m) in the order they are
+    tried, and the words that its single-word candidates find. The dictionary's definition
+    counts only where the gloss has no candidates."""
     own = candidates(gloss)
     cands = own if definition is None else F.when(F.size(own) > 0, own).otherwise(candidates(definition))
-    low = F.lower(translation)
-    at = lambda p: F.regexp_instr(low, F.concat(F.lit(r"(?U)\b\Q"), p, F.lit(r"\E\b")))
     as_phrase = lambda p, m: F.struct(p.alias("p"), F.lit(m).alias("m"))
+    tried = lambda x: F.concat(F.array(as_phrase(x, "exact_phrase")), F.transform(_lookup(PHRASES, x), lambda p: as_phrase(p, "phrase_override")))
+
+    def index(c: Column) -> Column:
+        single = F.filter(F.transform(c, lambda x: F.regexp_extract_all(x, F.lit(WORD), 1)), lambda w: F.size(w) == 1)
+        forms = F.array_distinct(F.flatten(F.transform(single, lambda w: renderings(F.get(w, F.lit(0))))))
+        return F.struct(F.flatten(F.transform(c, tried)).alias("phrases"), T.let(forms, spellings).alias("words"))
+
+    return T.let(cands, index)
+
+
+def spot(translation: Column, index: Column) -> Column:
+    """struct(method, confidence, start, end) of a compiled gloss in a translation; no bounds
+    if the method is none, as for a null translation, a null index or a gloss without
+    candidates."""
     result = lambda m, start, size: F.struct(m.alias("method"), F.when(m == "exact_token", "medium").when(m == "none", "low").otherwise("high").alias("confidence"), start.cast("int").alias("start"), (start + size).cast("int").alias("end"))
     nothing = result(F.lit("none"), F.lit(None).cast("int"), F.lit(0))
 
-    def by_phrase(c: Column) -> Column:
-        phrases = F.flatten(F.transform(c, lambda x: F.concat(F.array(as_phrase(x, "exact_phrase")), F.transform(_lookup(PHRASES, x), lambda p: as_phrase(p, "phrase_override")))))
-        there = F.filter(phrases, lambda x: F.contains(low, x["p"]))  # a plain search first: few phrases need the pattern
+    def by_phrase(low: Column) -> Column:
+        at = lambda p: F.regexp_instr(low, F.concat(F.lit(r"(?U)\b\Q"), p, F.lit(r"\E\b")))
+        there = F.filter(index["phrases"], lambda x: F.contains(low, x["p"]))  # a plain search first: few phrases need the pattern
         placed = F.transform(there, lambda x: F.struct(x["m"].alias("m"), (at(x["p"]) - 1).alias("s"), F.length(x["p"]).alias("n")))
         return F.get(F.filter(placed, lambda x: x["s"] >= 0), F.lit(0))
 
-    def by_token(c: Column) -> Column:
-        single = F.filter(F.transform(c, lambda x: F.regexp_extract_all(x, F.lit(WORD), 1)), lambda w: F.size(w) == 1)
-        forms = F.array_distinct(F.flatten(F.transform(single, lambda w: renderings(F.get(w, F.lit(0))))))
-        words = F.array_distinct(F.regexp_extract_all(translation, F.lit(WORD), 1))
-        # stems keep a word's first two letters, so only words that begin as a form or an irregular word need variants
-        begins = lambda f: F.array_distinct(F.concat(F.transform(f, lambda x: F.left(x, F.lit(2))), F.array(*map(F.lit, _BEGINS))))
-        near = lambda f: T.let(begins(f), lambda b: F.filter(words, lambda w: F.array_contains(b, F.left(F.lower(w), F.lit(2)))))
-        first = T.let(forms, lambda f: F.get(F.filter(near(f), lambda w: F.arrays_overlap(variants(w), f)), F.lit(0)))
-        # the first place where it stands as a word of its own
-        alone = lambda w: F.regexp_instr(translation, F.concat(F.lit(r"(?<![A-Za-z])(?<![A-Za-z]')\Q"), w, F.lit(r"\E(?![A-Za-z]|'[A-Za-z])")))
-        return T.let(first, lambda w: F.when(w.isNull(), nothing).otherwise(T.let(alone(w), lambda i: result(F.lit("exact_token"), F.when(i > 0, i).otherwise(F.position(w, translation)) - 1, F.length(w)))))
-
-    found = T.let(cands, lambda c: T.let(by_phrase(c), lambda h: F.when(h.isNotNull(), result(h["m"], h["s"], h["n"])).otherwise(by_token(c))))
-    return F.when(F.coalesce(translation.rlike("[A-Za-z]"), F.lit(False)), found).otherwise(nothing)
+    def by_token(tokens: Column) -> Column:
+        lowered = F.split(F.lower(F.array_join(tokens, " ")), " ")
+        first = T.let(lowered, lambda t: F.array_position(t, F.get(F.array_intersect(t, index["words"]), F.lit(0))).cast("int"))
+        size = lambda parts, n: F.length(F.array_join(F.slice(parts, F.lit(1), n), ""))
+        start = lambda k: size(F.split(translation, WORD, -1), k) + size(tokens, k - 1)
+        return T.let(first, lambda k: F.when(k > 0, result(F.lit("exact_token"), start(k), F.length(F.get(tokens, k - 1)))).otherwise(nothing))
+
+    token = F.when(F.size(index["words"]) > 0, T.let(F.regexp_extract_all(translation, F.lit(WORD), 1), by_token)).otherwise(nothing)
+    found = T.let(T.let(F.lower(translation), by_phrase), lambda h: F.when(h.isNotNull(), result(h["m"], h["s"], h["n"])).otherwise(token))
+    return F.when(F.coalesce(translation.rlike("[A-Za-z]") & index.isNotNull(), F.lit(False)), found).otherwise(nothing)
+
+
+def find(translation: Column, gloss: Column, definition: Column | None = None) -> Column:
+    """struct(method, confidence, start, end) of a gloss in a translation, see spot()."""
+    return T.let(compiled(gloss, definition), lambda index: spot(translation, index))
 
 
 def locate_occurrence(text: Column, needle: Column, k: Column) -> Column:

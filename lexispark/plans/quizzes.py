@@ -95,19 +95,9 @@ SELECT doc_id, CASE WHEN e THEN 'exact_phrase' WHEN k THEN 'exact_token' ELSE 'n
  CAST(CASE WHEN e THEN length(regexp_extract(l, '(?s)^(.*?)\bonon\b', 1)) WHEN k THEN length(regexp_extract(l, '(?s)^(.*?)\bonon(ingly|edly|ing|ed|es|s)\b', 1)) END AS INTEGER) AS start FROM p""",
 )
 def highlight_span(spark, d):
-    t = table(spark, d, "documents").where("lang = 'en'")
-    return t.select("doc_id", H.find(F.col("text"), F.lit("onon, of (it)")).alias("h")).select("doc_id", "h.method", "h.confidence", "h.start")
-
-
-@query("highlight_span_all")
-def highlight_span_all(spark, d):
-    """Every document against a gloss of its own: the short form of a benchmark item, taken in
-    turn by doc_id, and the item's whole text as definition."""
-    items = V.ranked(table(spark, d, "benchmark").select(F.lit(1).alias("one"), F.col("item_id").cast("string").alias("item"), "text"), ["one"], "one", "item")
-    items = items.select(F.col("rank").alias("_rank"), F.col("text").alias("definition"), T.short_definition(F.col("text")).alias("gloss"))
-    docs = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(items.agg(F.count("*").alias("_n"))), how="cross")  # a single row
-    placed = docs.withColumn("_rank", F.pmod("doc_id", F.nullif("_n", F.lit(0))) + 1).join(items, "_rank", "left")
-    return placed.select("doc_id", H.find(F.col("text"), F.col("gloss"), F.col("definition")).alias("h")).select("doc_id", "h.method", "h.confidence", "h.start")
+    gloss = spark.range(1).select(H.compiled(F.lit("onon, of (it)")).alias("gloss"))
+    t = table(spark, d, "documents").where("lang = 'en'").join(F.broadcast(gloss), how="cross")  # a single row
+    return t.select("doc_id", H.spot(F.col("text"), F.col("gloss")).alias("h")).select("doc_id", "h.method", "h.confidence", "h.start")
 
 
 _J = "FROM documents d LEFT JOIN labels l USING (doc_id)"

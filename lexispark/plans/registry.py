@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.plans import contracts, details, enrichment, files, quizzes, stores, study, vocabulary
+from lexispark.plans import contracts, details, enrichment, files, highlights, quizzes, stores, study, vocabulary
 
-MODULES = (vocabulary, study, enrichment, quizzes, contracts, stores, files, details)
+MODULES = (vocabulary, study, enrichment, quizzes, contracts, stores, files, details, highlights)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
