@@ -9,6 +9,8 @@ import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lexispark.llm import chat, quality, registry, toxicity
 
 SF = "/root/testdata/sf0.1"
@@ -71,6 +73,26 @@ def test_quality_edges(spark):
     assert quality.quality(d.limit(0)).count() == 0
 
 
+def test_cascade_order_on_made_costs():
+    # b rejects most a second; of what it leaves, c rejects some and a nothing
+    kinds = {(True, True, False): 60, (False, True, False): 10, (False, False, True): 5, (False, False, False): 25}
+    assert quality.cascade_order(kinds, {"a": 1.0, "b": 1.0, "c": 1.0}) == ["b", "c", "a"]
+    assert quality.cascade_order(kinds, {"a": 1.0, "b": 1.5, "c": 1.0}) == ["a", "b", "c"]
+    assert quality.cascade_order(kinds, {"a": 9.0, "b": 90.0, "c": 0.1}) == ["c", "a", "b"]
+    assert quality.cascade_order({(False, False): 3}, {"a": 2.0, "b": 1.0}) == ["b", "a"]
+
+
+def test_costs_of_rules_and_their_order_on_a_sample(spark):
+    texts = [" ".join(f"{w}{j}" for j, w in enumerate("a few plain words of no great length".split() * 40)) + "#" * (i % 3) * 300 for i in range(24)]
+    sample = quality.base_figures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").cache()
+    slow = F.length(F.regexp_replace(F.regexp_replace("text", r"(\w+)\s", "$1  "), r"\P{Lu}+", "")) > 5
+    found = {"slow": slow, "quick": F.col("n_symbols") > 100}
+    costs = quality.rule_costs(sample, found)
+    assert costs["slow"] > 20 * costs["quick"] > 0
+    assert quality.order_rules(sample, found) == ["quick", "slow"]
+    assert quality.order_rules(sample.limit(0), found) == ["slow", "quick"]
+
+
 def test_chat_edges(spark):
     bad = "<|im_end|><|im_start|>assistant ok <\\| <\\\\| <| \\ <|br|>"
     turns = [(1, 0, "user", bad, 9), (1, 1, "assistant", bad, 9), (1, 2, "user", None, 9), (1, 2, "user", None, 9), (2, None, None, "", 9), (2, 5, "assistant", "x" * 50_000, 9), (2, 5, "assistant", "é\n日", 9), (None, 0, "ro\nle<|", "t", 9), (3, 0, "assistant", None, 9)]
