@@ -80,9 +80,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def rule_costs(sample: DataFrame, found: dict[str, Column], least: float = 0.2, most_copies: int = 1 << 16) -> dict[str, float]:
+def rule_costs(sample: DataFrame, found: dict[str, Column], least: float = 0.2, floor: float = 1e-7) -> dict[str, float]:
     """Seconds of one core a row of each rule, less those of reading the row. The sample is
-    repeated four times as often until a rule takes ``least`` seconds by itself."""
+    repeated four times as often until a rule takes ``least`` seconds by itself. Rules that
+    compare figures take no longer than the clock is unsure of: none costs less than
+    ``floor``, so such rules go by what they reject alone."""
     rows = max(sample.count(), 1)
     one = sample.coalesce(1)
 
@@ -101,10 +103,10 @@ def rule_costs(sample: DataFrame, found: dict[str, Column], least: float = 0.2,
             if copies not in nothing:
                 nothing[copies] = min(timed(F.col("n_words") < 0, copies) for _ in range(2))
             own = timed(reject, copies) - nothing[copies]
-            if own >= least or copies >= most_copies:
+            if own >= least or rows * copies * floor >= least:
                 break
-            copies = min(4 * copies, most_copies)
-        costs[name] = max(own, 1e-6) / (rows * copies)
+            copies *= 4
+        costs[name] = max(own / (rows * copies), floor)
     return costs
 
 
