@@ -5,7 +5,8 @@ characters and tokens below them. An edit (start, end, replacement; code points
 text as it then is) finds its block from the root, splits anew from the last pre-token
 boundary that the edit cannot reach until a boundary falls on an old one again, encodes
 the pre-tokens between, and updates the sums on the way to the root. The total is the
-root's; nothing else is split or encoded again.
+root's; nothing else is split or encoded again. A block that edits have grown to more than
+twice its size is cut up, and the tree is set up anew over the sums of its blocks.
 
 Why that is exact: the pattern has no look-behind, so what follows a boundary depends on
 the text after it alone; and a pre-token depends on its own characters and the two after
@@ -71,22 +72,41 @@ class TokenTree:
 
     def __init__(self, text: str, counts: PieceCounts, block: int = 64) -> None:
         self.counts = counts
-        pieces = _split.findall(text)
-        self.blocks = [pieces[i : i + block] for i in range(0, len(pieces), block)] or [[]]
-        self.leaves = 1 << (len(self.blocks) - 1).bit_length()
-        self.chars = [0] * (2 * self.leaves)
-        self.tokens = [0] * (2 * self.leaves)
-        for i, b in enumerate(self.blocks):
-            self._leaf(i, b)
+        self.block = block
+        self._build([self._summed(b) for b in self._cut(_split.findall(text))] or [([], 0, 0)])
+        self.reencoded = 0
+
+    def _cut(self, pieces: list[str]) -> list[list[str]]:
+        return [pieces[i : i + self.block] for i in range(0, len(pieces), self.block)]
+
+    def _summed(self, pieces: list[str]) -> tuple[list[str], int, int]:
+        return pieces, sum(map(len, pieces)), sum(map(self.counts.__getitem__, pieces))
+
+    def _build(self, leaves: list[tuple[list[str], int, int]]) -> None:
+        """The tree over these blocks and their sums."""
+        self.blocks = [b for b, _, _ in leaves]
+        self.leaves = 1 << (len(leaves) - 1).bit_length()
+        pad = [0] * (self.leaves - len(leaves))
+        self.chars = [0] * self.leaves + [c for _, c, _ in leaves] + pad
+        self.tokens = [0] * self.leaves + [t for _, _, t in leaves] + pad
         for i in range(self.leaves - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-        self.reencoded = 0
 
     def _leaf(self, i: int, pieces: list[str]) -> None:
-        self.blocks[i] = pieces
-        self.chars[self.leaves + i] = sum(map(len, pieces))
-        self.tokens[self.leaves + i] = sum(map(self.counts.__getitem__, pieces))
+        at = self.leaves + i
+        self.blocks[i], self.chars[at], self.tokens[at] = self._summed(pieces)
+
+    def _cut_up(self, grown: int) -> None:
+        """The tree with the grown block cut up and without empty blocks; sums of all other
+        blocks are taken over. It takes ``block`` new pre-tokens or more to come here."""
+        leaves = []
+        for i, b in enumerate(self.blocks):
+            if i == grown:
+                leaves += [self._summed(part) for part in self._cut(b)]
+            elif b:
+                leaves.append((b, self.chars[self.leaves + i], self.tokens[self.leaves + i]))
+        self._build(leaves)
 
     def _update(self, i: int) -> None:
         i = (self.leaves + i) // 2
@@ -157,6 +177,9 @@ class TokenTree:
         self._leaf(first, kept + new + tail)
         for i in range(first + 1, last + 1):
             self._leaf(i, [])
+        if len(self.blocks[first]) > 2 * self.block:
+            self._cut_up(first)
+            return
         for i in range(first, last + 1):
             self._update(i)
 

@@ -1,5 +1,6 @@
 """Operator 7 against encoding every edited text anew."""
 
+import random
 import zlib
 
 import public_tokenizers
@@ -61,3 +62,16 @@ def test_odd_cases(spark):
     want = [(1, 1, full("new")), (2, 0, 0), (None, 0, full("a b")), (3, 2, full(applied("word " * 40_000, [(0, 0, "x"), (5, 9, "")]))), (4, 1, full("to")), (4, 1, full("to"))]
     assert got == sorted(want, key=repr)
     assert token_counts.token_counts(token_counts.revision_edits(d.limit(0)), "unused").count() == 0
+
+
+def test_grown_blocks_are_cut_up():
+    rng = random.Random(5)
+    text = " ".join(f"w{i}" for i in range(40))
+    tree = token_counts.TokenTree(text, COUNTS, block=4)
+    for n in range(60):
+        start = rng.randrange(len(text) + 1)
+        end, new = start + rng.choice((0, 0, 3, 200)), " x1, y" * rng.choice((0, 1, 2, 90)) + rng.choice(("", "'", " ", "é"))
+        tree.edit(start, end, new)
+        text = text[:start] + new + text[end:]
+        assert "".join(map("".join, tree.blocks)) == text and tree.chars[1] == len(text)
+        assert max(map(len, tree.blocks)) <= 8 and tree.total == full(text), n
