@@ -74,3 +74,26 @@ def test_columns_of_any_name_and_an_empty_table(spark):
         assert out.columns == more.columns, name
         assert all(r[n] == r.doc_id for r in out.collect() for n in names), name
         assert stage(spark, more.limit(0), SF).count() == 0
+
+
+def test_later_stages_with_columns_of_any_name_ties_long_texts_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    long = " ".join(f"long{i}" for i in range(60_000))
+    made = [(900_002, long), (900_001, long + " end"), (900_003, None), (900_004, ""), (900_005, "one two"), (900_005, "one two")]
+    d = docs.limit(40).unionByName(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in made], docs.schema))
+    names = ["n", "node", "k1", "h", "first", "row", "component_id", "uid", "n_hit", "n_words", "start", "length", "sequence_id", "ids"]
+    more = d.selectExpr("*", *[f"doc_id AS {n}" for n in names]).cache()
+    for name, stage in corpus_pipeline.STAGES[2:4]:
+        out = stage(spark, more, SF)
+        assert out.columns == more.columns, name
+        got = out.collect()
+        assert all(r[n] == r.doc_id for r in got for n in names), name
+        own = sorted(r.doc_id for r in got if r.doc_id >= 900_000)
+        tied = [900_001, 900_003, 900_004, 900_005] if name == "n-gram Jaccard join" else sorted(i for i, _ in made)
+        assert own == tied, name
+        assert stage(spark, more.limit(0), SF).count() == 0
+    plain = [(r.doc_id, r.text) for r in more.select("doc_id", "text").collect()]
+    name, stage = corpus_pipeline.STAGES[4]
+    pieces = stage(spark, more.where("doc_id <> 900005"), SF).drop("ids").collect()
+    packs.check_packing(spark, [x for x in plain if x[0] != 900_005], pieces)
+    assert stage(spark, more.limit(0), SF).count() == 0
