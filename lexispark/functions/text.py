@@ -12,6 +12,9 @@ JUNK_GLOSSES = ("cf", "v", "f", "al", "ib", "sq", "prob", "dub", "perh", "sc")
 # Suffixes of the stemmer, each with the shortest word it is cut from.
 SUFFIXES = (("ingly", 6), ("edly", 6), ("ing", 5), ("ied", 5), ("ies", 5), ("ed", 4), ("es", 4), ("s", 4))
 
+#: Blanks that sentences are trimmed of: Unicode's space separators.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value) with the value computed once."""
@@ -38,7 +41,8 @@ def greek_words(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences end behind a delimiter that white space follows."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.;·])\s+"), F.trim), lambda s: s != "")
+    # F.trim itself has a second parameter, which F.transform would take for the place
+    return F.filter(F.transform(F.split(c, r"(?<=[.;·])\s+"), lambda s: F.trim(s, F.lit(BLANKS))), lambda s: s != "")
 
 
 def usable_gloss(c: Column) -> Column:
