@@ -18,7 +18,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["sentences", "best_context_for_prompt", "context_topk"])
+@pytest.mark.parametrize("name", ["sentences", "best_context_for_prompt", "context_topk", "context_topk_all"])
 def test_digits_and_blanks(spark, tmp_path, name):
     rows = [(i, t, "en", "web") for i, t in enumerate(TEXTS)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "made"))
