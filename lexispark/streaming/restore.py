@@ -16,9 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from lexispark.functions.text import truthy
+from lexispark.streaming import answers as SA
 
 #: The version of restored sessions, and how many recent words they keep. Fixed values.
 VERSION, RECENT = 3, 4
@@ -89,44 +90,54 @@ OUT = StructType([StructField("session_id", LongType()), StructField("word_id",
 
 
 class Words(StatefulProcessor):
-    """Folds answers into the state of a word in a session. Of a question the first answer
-    counts, as long as it is remembered."""
+    """Folds answers into the states of a block of words in a session. Of a question on a
+    word the first answer counts, as long as it is remembered."""
 
     def __init__(self, version: int, remember_ms: int | None) -> None:
-        self.size, self.schema, self.remember_ms = len(STATES[version]), STATES[version], remember_ms
+        self.size, self.remember_ms = len(STATES[version]), remember_ms
+        self.schema = StructType([StructField("word_id", LongType()), *STATES[version]])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        key, value = StructType([StructField("question_id", StringType())]), StructType([StructField("correct", BooleanType())])
-        self.totals = handle.getValueState("totals", self.schema)
-        self.answered = handle.getMapState("answered", key, value, self.remember_ms)
+        self.totals = handle.getListState("totals", self.schema)
+        self.answered = handle.getListState("answered", SA.ANSWERED, self.remember_ms)
 
-    def _read(self) -> list:
-        found = tuple(self.totals.get()) if self.totals.exists() else ()
-        found += (None,) * (len(_DEFAULTS) - len(found))
-        return [d if x is None else x for x, d in zip(found, _DEFAULTS, strict=True)]
+    def _read(self) -> dict[int | None, list]:
+        out = {}
+        for w, *found in self.totals.get():
+            found += [None] * (len(_DEFAULTS) - len(found))
+            out[w] = [d if x is None else x for x, d in zip(found, _DEFAULTS, strict=True)]
+        return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen, right, wrong, streak, urgency, prompt, last = self._read()
-        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False):
-            if self.answered.containsKey((str(row.question_id),)):
+        states = self._read()
+        known, new, met = SA.pairs(self.answered.get()) if states else set(), [], {}
+        for row in SA.in_order(rows).itertuples(index=False):
+            w, q, ok = row.word_id, row.question_id, bool(row.correct)
+            met[w] = None
+            if (w, q) in known:
                 continue
-            ok = bool(row.correct)
-            self.answered.updateValue((str(row.question_id),), (ok,))
-            seen, right, wrong = seen + 1, right + ok, wrong + (not ok)
-            streak = streak + 1 if ok else 0
-            urgency = max(urgency - 1, 0) if ok else min(urgency + 3, 12)
-            prompt, last = row.prompt, row.ts.to_pydatetime()
-        state = (seen, right, wrong, streak, urgency, prompt, last)
-        self.totals.update(state[: self.size])
-        yield pd.DataFrame([(*key, *state)], columns=OUT.names)
+            known.add((w, q))
+            new.append((w, q))
+            seen, right, wrong, streak, urgency, _, _ = states.get(w, _DEFAULTS)
+            streak, urgency = (streak + 1, max(urgency - 1, 0)) if ok else (0, min(urgency + 3, 12))
+            states[w] = (seen + 1, right + ok, wrong + (not ok), streak, urgency, row.prompt, row.ts.to_pydatetime())
+        if new:
+            self.answered.appendValue(tuple(map(list, zip(*new, strict=True))))
+            self.totals.put([(w, *state[: self.size]) for w, state in states.items()])
+        yield pd.DataFrame([(key[0], w, *states.get(w, _DEFAULTS)) for w in met], columns=OUT.names, dtype=object)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        states, asked = [], []
         for row in initialState.itertuples(index=False):
+            w = None if pd.isna(row.word_id) else int(row.word_id)
             prompt, last = (None if pd.isna(x) else x for x in (row.last_prompt, row.last_seen))
             state = (*(int(row[row._fields.index(c)]) for c in (*_COUNTS, "urgency")), prompt, last.to_pydatetime() if last is not None else None)
-            self.totals.update(state[: self.size])
-            for q in row.answered if row.answered is not None else ():
-                self.answered.updateValue((str(q),), (True,))
+            states.append((w, *state[: self.size]))
+            asked += [(w, str(q)) for q in (row.answered if row.answered is not None else ())]
+        if states:
+            self.totals.appendList(states)
+        if asked:
+            self.answered.appendValue(tuple(map(list, zip(*asked, strict=True))))
 
     def close(self) -> None:
         pass
@@ -155,5 +166,5 @@ def word_sessions(answers: DataFrame, saved: DataFrame | None = None, version: i
     ever, if not given); such a stream always has another batch, so let it go on, or run it
     with trigger(once=True). Start it within settings()."""
     mode = "None" if remember_ms is None else "ProcessingTime"
-    first = None if saved is None else saved.groupBy("session_id", "word_id")
-    return answers.groupBy("session_id", "word_id").transformWithStateInPandas(Words(version, remember_ms), OUT, "Update", mode, initialState=first)
+    first = None if saved is None else SA.by_blocks(saved)
+    return SA.by_blocks(answers).transformWithStateInPandas(Words(version, remember_ms), OUT, "Update", mode, initialState=first)

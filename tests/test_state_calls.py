@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from lexispark.streaming import answers as SA
+from lexispark.streaming import restore as R
 
 
 class Kept:
@@ -28,7 +29,7 @@ class Handle:
         return lambda *a, **b: Kept(self.calls)
 
 
-@pytest.mark.parametrize("make", [SA.WordState])
+@pytest.mark.parametrize("make", [SA.WordState, lambda: R.Words(3, None)])
 def test_a_session_asks_a_few_times_whatever_its_words(make):
     processor, handle = make(), Handle()
     processor.init(handle)
