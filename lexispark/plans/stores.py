@@ -234,7 +234,8 @@ def _saved_json(spark, d):
     "CASE WHEN k % 4 = 1 THEN 'p-7' END AS parent_id, CASE WHEN k % 4 = 1 THEN least(k % 3, 1) END AS parent_index, coalesce(startTime_, 5000) AS updated FROM j",
 )
 def restored_records(spark, d):
-    s = _saved_json(spark, d).select("k", SR.restored(F.col("text"), F.lit(5000).cast("long")).alias("s")).where("s IS NOT NULL")
+    # exploded, as a filter on s would be pushed down and restore each session twice
+    s = _saved_json(spark, d).select("k", F.explode(F.array_compact(F.array(SR.restored(F.col("text"), F.lit(5000).cast("long"))))).alias("s"))
     own = {"version": "s.version", "id": "s.id", "kind": "s.kind", "current_index": "s.currentIndex", "next_ordinal": "s.nextQuestionOrdinal", "seen": "s.stats.seen", "ended": "s.ended", "ended_at": "s.endedAt", "parent_id": "s.returnToSession.id", "parent_index": "s.returnToSession.currentIndex", "updated": "s.updatedAt"}
     return s.select("k", *[F.col(c).alias(n) for n, c in own.items()], F.size("s.questions").cast("long").alias("n_questions"), F.get("s.questions", F.lit(2))["id"].alias("third"), F.array_join(F.transform("s.recentWordIds", lambda x: x.cast("string")), ",").alias("recent"))
 

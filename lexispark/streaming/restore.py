@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-from lexispark.functions.text import truthy
+from lexispark.functions.text import let, truthy
 from lexispark.streaming import answers as SA
 
 #: The version of restored sessions, and how many recent words they keep. Fixed values.
@@ -41,7 +41,7 @@ def _one(s: Column, now: Column, parent: Column | None) -> Column:
     some = lambda n: F.when((n > 0) | (n < 0), n)  # noqa: E731  JavaScript's ||: 0 is none
     number = lambda c: F.when(c == F.floor(c), c.cast("long"))
     questions = F.transform(s["questions"], lambda q, i: q.withField("id", F.coalesce(truthy(q["id"]), F.concat(F.lit("q"), (i + 1).cast("string")))))
-    size = F.size(questions).cast("long")
+    size = F.size(s["questions"]).cast("long")
     index = F.coalesce(F.greatest(F.lit(0).cast("long"), F.least(number(s["currentIndex"]), F.greatest(size - 1, F.lit(0).cast("long")))), F.lit(0).cast("long"))
     index = F.when(number(s["currentIndex"]).isNull(), F.lit(0).cast("long")).otherwise(index)
     stats = F.struct(*[F.coalesce(s["stats"][c], F.lit(0)).alias(c) for c in ("seen", "correct", "incorrect", "streak", "bestStreak")])
@@ -67,8 +67,8 @@ def restored(text: Column, now: Column) -> Column:
     """A saved session (JSON) in the present form, as a struct; null if it is none, that is,
     if it has no list of questions. So is the session it returns to; reviews are not
     reviewed, so that one returns to none. now: milliseconds, for sessions without a time."""
-    s = F.from_json(text, SAVED)
-    return _one(s, now, _one(s["returnToSession"], now, None))
+    # a name for the parsed text, which Spark would else parse anew for each field
+    return let(F.from_json(text, SAVED), lambda s: _one(s, now, let(s["returnToSession"], lambda r: _one(r, now, None))))
 
 
 def word_stats(sessions: DataFrame, session: str = "session") -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lexispark.plans import stores
 from lexispark.streaming import restore as R
 
 ANSWER = "session_id long, word_id long, question_id string, event_id long, ts timestamp, correct boolean, prompt string"
@@ -68,3 +69,8 @@ def test_odd_sessions(spark):
     assert [got[i].ended for i in range(11, 18)] == [True, False, False, True, False, True, False]
     assert got[18].returnToSession.id == "session-77" and got[19].returnToSession is None
     assert got[20].recentWordIds == [5, 6, 7, 8] and got[20].stats.seen == 0 and got[20].answersById == {} and got[20].version == 3
+
+
+def test_a_session_is_parsed_once(spark):
+    d = stores.restored_records(spark, "/root/testdata/sf0.001")
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
