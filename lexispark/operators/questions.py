@@ -2,7 +2,9 @@
 
 Random choices follow md5 of seed and id, so that they can be repeated anywhere. A word's
 distractors are its next neighbours on a ring in md5 order, first of its own part of
-speech, then of all, as far as it takes: equi joins in rounds, never a join of all with all."""
+speech, then of all, as far as it takes: equi joins in rounds, never a join of all with all.
+Joins with tables that grow with the words have a hint, since Spark would send such tables
+through the driver, one a join, for as long as their files are small."""
 
 from __future__ import annotations
 
@@ -36,11 +38,11 @@ def _ring(own: DataFrame, todo: DataFrame, ring: str, far: bool, n: int, reach:
     ring is searched by classes of words that have equal definitions."""
     r = saved(V.ranked(own, [ring], "one", "h", prefix=4).select("id", "pos", "definition", "class", F.col(ring).alias("ring"), "rank", "n"))
     right = r.select("ring", "rank", F.col("id").alias("other_id"), F.col("pos").alias("other_pos"), F.col("definition").alias("other_def"))
-    todo = saved(todo.join(r, "id").select("id", "need", F.col("pos").alias("own_pos"), F.col("definition").alias("own_def"), F.col("class").alias("own_class"), "ring", F.col("rank").alias("at"), "n"))
+    todo = saved(todo.join(r.hint("merge"), "id").select("id", "need", F.col("pos").alias("own_pos"), F.col("definition").alias("own_def"), F.col("class").alias("own_class"), "ring", F.col("rank").alias("at"), "n"))
     found, low, high = [], 1, reach
     while True:
         steps = todo.withColumn("step", F.explode(F.sequence(F.lit(low), F.lit(high)))).where("step < n")
-        j = steps.withColumn("rank", F.pmod(F.col("at") - 1 + F.col("step"), F.col("n")) + 1).join(right, ["ring", "rank"])
+        j = steps.withColumn("rank", F.pmod(F.col("at") - 1 + F.col("step"), F.col("n")) + 1).join(right.hint("merge"), ["ring", "rank"])
         j = j.where("own_pos <> other_pos") if far else j
         j = j.select("id", "need", F.lit(int(far)).alias("far"), "step", T.fold_overlap(F.col("other_def"), F.col("own_def")).alias("overlap"), "other_id")
         row = F.struct("overlap", "far", "step", "other_id")
@@ -48,7 +50,7 @@ def _ring(own: DataFrame, todo: DataFrame, ring: str, far: bool, n: int, reach:
         free, rest = F.filter("all", lambda x: ~x["overlap"]), F.filter("all", lambda x: x["overlap"])
         got = saved(lists.select("id", "need", F.size(free).alias("free"), F.concat(F.slice(free, 1, n), F.slice(rest, 1, n)).alias("found")))
         found.append(got.select("id", F.explode("found").alias("x")).select("id", "x.*"))
-        todo = todo.join(got.select("id", "free"), "id", "left").withColumn("need", F.col("need") - F.coalesce("free", F.lit(0))).drop("free")
+        todo = todo.join(got.select("id", "free").hint("merge"), "id", "left").withColumn("need", F.col("need") - F.coalesce("free", F.lit(0))).drop("free")
         todo = saved(todo.where((F.col("need") > 0) & (F.col("n") > high + 1)))
         if todo.isEmpty():
             break
@@ -74,7 +76,7 @@ def _by_class(r: DataFrame, todo: DataFrame, far: bool, n: int, past: int) -> Da
     kinds = r.groupBy("ring", "class").agg(F.first("definition").alias("other_def"))
     asking = todo.groupBy(*key).agg(F.first("own_def").alias("own_def"))
     open_ = asking.join(kinds, "ring").where(~T.fold_overlap(F.col("other_def"), F.col("own_def"))).select(*key, "class")
-    targets = saved(open_).join(r.select("ring", "class", "rank", "n", F.col("id").alias("other_id"), F.col("pos").alias("other_pos")), ["ring", "class"])
+    targets = saved(open_).join(r.select("ring", "class", "rank", "n", F.col("id").alias("other_id"), F.col("pos").alias("other_pos")).hint("merge"), ["ring", "class"])
     targets = targets.where("own_pos <> other_pos") if far else targets
     twice = targets.select(*key, "other_id", F.explode(F.array(F.col("rank"), F.col("rank") + F.col("n"))).alias("rank"))
     block = lambda c: F.floor(c / _BLOCK)
@@ -86,7 +88,7 @@ def _by_class(r: DataFrame, todo: DataFrame, far: bool, n: int, past: int) -> Da
     both = rows.select(*key, "block", F.col("block").alias("full")).unionByName(asked.select(*key, "block").distinct().withColumn("full", F.lit(None).cast("long")))
     next_full = F.min("full").over(W.partitionBy(*key).orderBy("block").rangeBetween(0, W.unboundedFollowing))
     at = both.withColumn("next", next_full).where("full IS NULL").select(*key, "block", "next")
-    j = asked.join(at, [*key, "block"]).join(rows.select(*key, F.col("block").alias("next"), "here", "behind"), [*key, "next"])
+    j = asked.join(at.hint("merge"), [*key, "block"]).join(rows.select(*key, F.col("block").alias("next"), "here", "behind").hint("merge"), [*key, "next"])
     inside = F.filter(F.concat("here", "behind"), lambda x: (x["rank"] > F.col("from")) & (x["rank"] < F.col("at") + F.col("n")))
     # if nothing of the first block is left, its followers are n already
     some = j.select("id", "at", F.explode(F.slice(inside, 1, n)).alias("x"))
@@ -104,7 +106,7 @@ def distractors(words: DataFrame, n: int = 3, reach: int = 8, seed: int = 0, of:
     asked = (own if of is None else own.join(of.select("id").distinct(), "id", "left_semi")).select("id")
     near = saved(_ring(own, asked.withColumn("need", F.lit(n)), "pos", False, n, reach))
     free = near.where("NOT overlap").groupBy("id").agg(F.least(F.count("*"), F.lit(n)).cast("int").alias("free"))
-    short = saved(asked.join(free, "id", "left").select("id", (n - F.coalesce("free", F.lit(0))).alias("need")).where("need > 0"))
+    short = saved(asked.join(free.hint("merge"), "id", "left").select("id", (n - F.coalesce("free", F.lit(0))).alias("need")).where("need > 0"))
     found = near if short.isEmpty() else near.unionByName(_ring(own, short, "all", True, n, reach))
     best = F.slice(F.sort_array(F.collect_list(F.struct("overlap", "far", "step", "other_id"))), 1, n)
     return found.groupBy("id").agg(best.alias("b")).select("id", F.posexplode("b").alias("k", "b")).select("id", "k", "b.other_id")
@@ -173,11 +175,11 @@ def build(words: DataFrame, kind: str, seed: int = 0, others: DataFrame | None =
     else:
         gloss = F.coalesce(T.truthy(F.col("context_definition")), F.col("definition"))
         shown = gloss if kind == "greek-to-english" else lemma
-        d = distractors(pool, seed=seed, of=None if others is None else words).join(pool.select(F.col("id").alias("other_id"), shown.alias("shown")), "other_id")
+        d = distractors(pool, seed=seed, of=None if others is None else words).join(pool.select(F.col("id").alias("other_id"), shown.alias("shown")).hint("merge"), "other_id")
         lists = d.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "shown"))), lambda s: s["shown"]).alias("others"))
         form = pick_form(F.col("forms"), lemma, no_form, excluded, pick)
         prompt, answer = (F.coalesce(form["form"], lemma), gloss) if kind == "greek-to-english" else (gloss, lemma)
-        j, choices = words.join(lists, "id", "left"), F.concat(F.array(answer), F.coalesce("others", none))
+        j, choices = words.join(lists.hint("merge"), "id", "left"), F.concat(F.array(answer), F.coalesce("others", none))
     return j.select(*carry, F.col("id").alias("word_id"), F.lit(kind).alias("type"), prompt.alias("prompt"), answer.alias("correct_answer"), shuffled(choices, [F.col("id")], seed).alias("choices"))
 
 

@@ -35,16 +35,17 @@ def ranked(df: DataFrame, part: list[str], measure: str, name: str, prefix: int
     """rank (1, 2, ...) by measure descending, then name, and n, the rows of the part.
 
     No window holds a whole part: rows are ranked among those of equal measure and name
-    prefix, and the counts of these small groups, cumulated, give the ranks before."""
+    prefix, and the counts of these small groups, cumulated, give the ranks before. Groups
+    grow in number with the rows, so they don't go through the driver (the hint)."""
     own = df.withColumn("_p", F.substring(name, 1, prefix))
     groups = own.groupBy(*part, measure, "_p").agg(F.count("*").alias("_c"))
     measures = groups.groupBy(*part, measure).agg(F.sum("_c").alias("_m"))
     by_measure = W.partitionBy(*part).orderBy(F.desc(measure))
     measures = measures.select(*part, measure, (F.sum("_m").over(by_measure) - F.col("_m")).alias("_before"), F.sum("_m").over(W.partitionBy(*part)).alias("n"))
     inside = W.partitionBy(*part, measure).orderBy("_p")
-    groups = groups.withColumn("_inside", F.sum("_c").over(inside) - F.col("_c")).join(measures, [*part, measure]).select(*part, measure, "_p", (F.col("_before") + F.col("_inside")).alias("_before"), "n")
+    groups = groups.withColumn("_inside", F.sum("_c").over(inside) - F.col("_c")).join(measures.hint("merge"), [*part, measure]).select(*part, measure, "_p", (F.col("_before") + F.col("_inside")).alias("_before"), "n")
     row = F.row_number().over(W.partitionBy(*part, measure, "_p").orderBy(name))
-    return own.withColumn("_r", row).join(groups, [*part, measure, "_p"]).withColumn("rank", (F.col("_r") + F.col("_before")).cast("long")).drop("_r", "_p", "_before")
+    return own.withColumn("_r", row).join(groups.hint("merge"), [*part, measure, "_p"]).withColumn("rank", (F.col("_r") + F.col("_before")).cast("long")).drop("_r", "_p", "_before")
 
 
 def level(rank: Column, n: Column, k: int = 3) -> Column:
