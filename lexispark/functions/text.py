@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -15,6 +16,18 @@ SUFFIXES = (("ingly", 6), ("edly", 6), ("ing", 5), ("ied", 5), ("ies", 5), ("ed"
 #: Blanks that sentences are trimmed of: Unicode's space separators.
 BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
+# Letters of Unicode 14 and 15, which Java 17 doesn't know.
+_NEWER = (
+    "870-887 889-88e 8b5 8c8-8c9 c5d cdd 170d 171f 1b4c 2c2f 2c5f 9ffd-9fff a7c0-a7c1 a7d0-a7d1 a7d3 a7d5-a7d9 a7f2-a7f4 10570-1057a 1057c-1058a "
+    "1058c-10592 10594-10595 10597-105a1 105a3-105b1 105b3-105b9 105bb-105bc 10780-10785 10787-107b0 107b2-107ba 10f70-10f81 11071-11072 11075 1123f-11240 "
+    "11740-11746 11ab0-11abf 11f02 11f04-11f10 11f12-11f33 12f90-12ff0 1342f 13441-13446 16a70-16abe 1aff0-1aff3 1aff5-1affb 1affd-1affe 1b11f-1b122 1b132 "
+    "1b155 1df00-1df1e 1df25-1df2a 1e030-1e06d 1e290-1e2ad 1e4d0-1e4eb 1e7e0-1e7e6 1e7e8-1e7eb 1e7ed-1e7ee 1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 31350-323af"
+)
+#: A letter, as a class of Java's expressions; the newer ones are looked for behind their first alone.
+LETTER = r"[\p{L}[\x{870}-\x{323af}&&[" + re.sub(r"\w+", r"\\x{\g<0>}", _NEWER).replace(" ", "") + "]]]"
+#: What parts sentences: white space behind a delimiter.
+SENTENCE_END = r"(?<=[.;·])\s+"
+
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value) with the value computed once."""
@@ -26,9 +39,20 @@ def truthy(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def lower(c: Column) -> Column:
+    """Lower case code point by code point: places stay, and a word is the same in any
+    surroundings. (Java makes two of İ, and of Σ what its neighbours ask for.)"""
+    return F.lower(F.replace(F.replace(c, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
+
+
+def letter_runs(c: Column) -> Column:
+    """Runs of letters."""
+    return F.regexp_extract_all(c, F.lit(f"({LETTER}+)"), 1)
+
+
 def words(c: Column) -> Column:
     """Lower-cased runs of letters."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), 1)
+    return letter_runs(lower(c))
 
 
 def greek_words(c: Column) -> Column:
@@ -39,10 +63,10 @@ def greek_words(c: Column) -> Column:
     return F.transform(runs, lambda w: F.when(capital(w) & (F.length(w) > 1), F.lower(w)).otherwise(w))
 
 
-def sentences(c: Column) -> Column:
+def sentences(c: Column, end: str = SENTENCE_END) -> Column:
     """Sentences end behind a delimiter that white space follows."""
     # F.trim itself has a second parameter, which F.transform would take for the place
-    return F.filter(F.transform(F.split(c, r"(?<=[.;·])\s+"), lambda s: F.trim(s, F.lit(BLANKS))), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, end), lambda s: F.trim(s, F.lit(BLANKS))), lambda s: s != "")
 
 
 def usable_gloss(c: Column) -> Column:

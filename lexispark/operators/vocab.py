@@ -87,9 +87,9 @@ def context_candidates(candidates: DataFrame, *by: str, most: int = 3, ref_first
 
 
 def select_contexts(candidates: DataFrame, *by: str, most: int = 3, ref_first: bool = False) -> DataFrame:
-    """Per lemma the first contexts whose ref and form are both new, at most ``most``.
-    candidates: ord, ref, form, sentence; or start, the form's place, in place of sentence,
-    and the contexts have none.
+    """Per lemma the first contexts whose ref and form are both new, at most ``most``; a ref
+    that is missing is always new. candidates: ord, ref, form, sentence; or start, the form's
+    place, in place of sentence, and the contexts have none.
 
     Forms not found in their sentence are no candidates. The lists are short, however many
     candidates a lemma has (context_candidates)."""
@@ -97,7 +97,8 @@ def select_contexts(candidates: DataFrame, *by: str, most: int = 3, ref_first: b
     carry = ["sentence"] if "sentence" in first.columns else []
     item = F.struct("ord", "ref", "form", *carry, F.col("start").alias("highlight_start"), (F.col("start") + F.length("form")).alias("highlight_end"))
     lists = first.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("_c"))
-    new = lambda acc, x: (F.size(acc) < most) & ~F.exists(acc, lambda y: y["ref"].eqNullSafe(x["ref"]) | y["form"].eqNullSafe(x["form"]))
+    seen = lambda acc, x: F.coalesce(F.exists(acc, lambda y: (y["ref"] == x["ref"]) | (y["form"] == x["form"])), F.lit(False))
+    new = lambda acc, x: (F.size(acc) < most) & ~seen(acc, x)
     return lists.withColumn("contexts", F.aggregate("_c", F.slice("_c", 1, 0), lambda acc, x: F.when(new(acc, x), F.concat(acc, F.array(x))).otherwise(acc))).drop("_c")
 
 
