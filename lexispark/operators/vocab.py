@@ -79,7 +79,7 @@ def context_candidates(candidates: DataFrame, *by: str, most: int = 3, ref_first
     found = candidates.withColumn("start", T.find_form(F.col("sentence"), F.col("form"))) if carry else candidates
     found = found.where("start >= 0")
     if ref_first:
-        found = found.withColumn("_r", F.dense_rank().over(W.partitionBy(*by, "form").orderBy("ref"))).where(F.col("_r") <= most).drop("_r")
+        found = found.withColumn("_r", F.dense_rank().over(W.partitionBy(*by, "form").orderBy(F.asc_nulls_last("ref")))).where(F.col("_r") <= most).drop("_r")
     first = found.groupBy(*by, "ref", "form").agg(F.min_by(F.struct("ord", *carry, "start"), "ord").alias("c")).select(*by, "ref", "form", "c.*")
     for part, n in ((["ref"], most), (["form"], most), ([], (2 * most - 1) * (most - 1) + 1)):
         first = first.withColumn("_r", F.row_number().over(W.partitionBy(*by, *part).orderBy("ord", "ref", "form"))).where(F.col("_r") <= n).drop("_r")

@@ -14,7 +14,7 @@ TEXTS = {
     "mark": [(1, "One\x01two. Three\x01. \x01"), (2, "\x01Four. Five")],
     "none": [(None, "One two ONE. Two one One oneself"), (3, "one two. three ONE"), (-5, "One Two two")],
 }
-CASES = [("context_topk", k) for k in TEXTS] + [(n, k) for n in ("form_occurrences", "lemma_frequency", "best_context_for_prompt") for k in ("sigma", "dotted", "newer")] + [("sentences", "mark")]
+CASES = [(n, k) for n in ("context_topk", "context_topk_all") for k in TEXTS] + [(n, k) for n in ("form_occurrences", "lemma_frequency", "best_context_for_prompt") for k in ("sigma", "dotted", "newer")] + [("sentences", "mark")]
 
 
 @pytest.mark.parametrize("name,texts", CASES)
